@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from corpuskin.llm import sharding
+from corpuskin.llm import secrets, sharding
 
 QUERIES = {
+    "op2_secret_scan": secrets.op2_secret_scan,
     "op10_rendezvous_sharding": sharding.op10_rendezvous_sharding,
 }
 
 ORACLE_SQL = {
+    "op2_secret_scan": secrets.ORACLE_OP2,
     "op10_rendezvous_sharding": sharding.ORACLE_OP10,
 }
