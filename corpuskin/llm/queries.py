@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from corpuskin.llm import secrets, sharding
+from corpuskin.llm import licenses, secrets, sharding
 
 QUERIES = {
     "op2_secret_scan": secrets.op2_secret_scan,
+    "op5_license_scan": licenses.op5_license_scan,
     "op10_rendezvous_sharding": sharding.op10_rendezvous_sharding,
 }
 
 ORACLE_SQL = {
     "op2_secret_scan": secrets.ORACLE_OP2,
+    "op5_license_scan": licenses.ORACLE_OP5,
     "op10_rendezvous_sharding": sharding.ORACLE_OP10,
 }
