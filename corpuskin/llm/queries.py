@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpuskin.llm import licenses, secrets, sharding
+from corpuskin.llm import licenses, secrets, sharding, simhash
 
 QUERIES = {
+    "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op5_license_scan": licenses.op5_license_scan,
     "op10_rendezvous_sharding": sharding.op10_rendezvous_sharding,
