@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from corpuskin.llm import licenses, secrets, sharding, simhash
+from corpuskin.llm import decontaminate, licenses, secrets, sharding, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op5_license_scan": licenses.op5_license_scan,
+    "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
     "op10_rendezvous_sharding": sharding.op10_rendezvous_sharding,
 }
 
 ORACLE_SQL = {
     "op2_secret_scan": secrets.ORACLE_OP2,
     "op5_license_scan": licenses.ORACLE_OP5,
+    "op6_benchmark_decontamination": decontaminate.ORACLE_OP6,
     "op10_rendezvous_sharding": sharding.ORACLE_OP10,
 }
