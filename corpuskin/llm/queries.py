@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpuskin.llm import decontaminate, langid, licenses, secrets, sharding, simhash
+from corpuskin.llm import decontaminate, langid, licenses, secrets, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_language_id": langid.op8_language_id,
     "op10_rendezvous_sharding": sharding.op10_rendezvous_sharding,
 }
