@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuskin.llm import decontaminate, langid, licenses, packing, secrets, sharding, simhash, toxicity
+from corpuskin.llm import decontaminate, langid, licenses, packing, repeats, secrets, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_language_id": langid.op8_language_id,
+    "op9_repeated_passages": repeats.op9_repeated_passages,
     "op10_rendezvous_sharding": sharding.op10_rendezvous_sharding,
 }
 
