@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Labelled rows that training takes at most, a documented bound: half of them of each label where there are as many.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 6000
 #: Distinct terms of a training text that are used, the ones with the smallest hashes; scoring uses all.
 SAMPLE_TERMS = 4000
 #: Hashed terms that the model keeps at most: those that are furthest from independent of the label, by standard deviations.
@@ -75,10 +75,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [sorted({h for w in words(b.column(0)[i].as_py()) for h in hashed_terms(w)})[:SAMPLE_TERMS] for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int64())), b.column(1), b.column(2)], names=["ids", "y", "h"])
+            ids = [np.array(sorted({h for w in words(b.column(0)[i].as_py()) for h in hashed_terms(w)})[:SAMPLE_TERMS], np.uint32) for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([_lists(ids), b.column(1), b.column(2)], names=["ids", "y", "h"])
 
-    rows = got.select("text", "y", "h").mapInArrow(run, "ids array<bigint>, y int, h bigint").orderBy("h", "y").limit(2 * limit).toPandas()
+    rows = got.select("text", "y", "h").mapInArrow(run, "ids array<int>, y int, h bigint").orderBy("h", "y").limit(2 * limit).toPandas()
     return rows
 
 
@@ -86,7 +86,7 @@ def _chosen(fit: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
     """The hashed terms to keep, sorted, and their input values: 0 to 1, growing with the evidence of dependence."""
     n1 = sum(y for _, y in fit)
     n0 = len(fit) - n1
-    every = [np.concatenate([x for x, y in fit if y == k] or [np.zeros(0, np.int64)]) for k in (0, 1)]
+    every = [np.concatenate([x for x, y in fit if y == k] or [np.zeros(0, np.uint32)]) for k in (0, 1)]
     hashes, counts = np.unique(np.concatenate(every), return_counts=True)
     pos = np.zeros(len(hashes))
     got, n = np.unique(every[1], return_counts=True)
@@ -106,17 +106,22 @@ def _found(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return at[hashes[at] == ids]
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays or [np.zeros(0, np.uint32)]).view(np.int32)))
+
+
 def train(rows: pd.DataFrame, rank: int = 4, epochs: int = 20, rate: float = 0.1, decay: float = 1e-4, seed: int = 11) -> ToxicModel:
     """AdaGrad on the logistic loss, labels weighted to count alike; a fifth of the rows calibrates the score.
 
     Without both labels there is nothing to learn: the model scores 0.5 for every text.
     """
     rng = np.random.default_rng(seed)
-    data = [(np.asarray(x, np.int64), int(y)) for x, y in zip(rows["ids"], rows["y"], strict=True)]
+    data = [(np.asarray(x, np.int32).view(np.uint32), int(y)) for x, y in zip(rows["ids"], rows["y"], strict=True)]
     fit, held = [d for i, d in enumerate(data) if i % 5 != 4], [d for i, d in enumerate(data) if i % 5 == 4]
     n1 = sum(y for _, y in fit)
     if not n1 or n1 == len(fit):
-        none = np.zeros(0, np.int64)
+        none = np.zeros(0, np.uint32)
         return ToxicModel(none, none.astype(float), 0.0, none.astype(float), np.zeros((0, rank)), 1.0, 0.0)
     hashes, values = _chosen(fit)
     linear, factors, bias = np.zeros(len(hashes)), rng.normal(0, 0.05, (len(hashes), rank)), 0.0
