@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from corpuskin.llm import decontaminate, langid, licenses, packing, repeats, secrets, sharding, simhash, toxicity
+from corpuskin.llm import decontaminate, langid, licenses, packing, repeats, secrets, sharding, simhash, toxicity, vectors
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_secret_scan": secrets.op2_secret_scan,
+    "op3_embedding_near_dedup": vectors.op3_embedding_near_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
