@@ -179,8 +179,11 @@ def span_text(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
 
 
-def mask_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc_id", text: str = "text", mask: str = "[secret]") -> DataFrame:
-    """``docs`` with each secret replaced by ``mask``: spans that touch or overlap are replaced together. Texts without secrets stay as they are."""
+def mask_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc_id", text: str = "text", mask: str = "[secret]", length: str | None = None) -> DataFrame:
+    """``docs`` with each secret replaced by ``mask``: spans that overlap are replaced together. Texts without secrets stay as they are.
+
+    ``length`` names a column, if there is one, that holds the text's length in characters and follows the text.
+    """
     scanned = scan_secrets(docs, rules, key, text)
     spans = F.col("secret_spans")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
@@ -191,7 +194,10 @@ def mask_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc
         return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(fresh, F.concat(a["out"], before, F.lit(mask))).otherwise(a["out"]).alias("out"))
 
     masked = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(F.col(text), (a["at"] + 1).cast("int"), F.lit(2147483647))))
-    return scanned.withColumn(text, F.when(F.size(spans) > 0, masked).otherwise(F.col(text))).drop("secret_spans")
+    changed = scanned.withColumn(text, F.when(F.size(spans) > 0, masked).otherwise(F.col(text))).drop("secret_spans")
+    if length is not None and length in docs.columns:
+        changed = changed.withColumn(length, F.char_length(text).cast(docs.schema[length].dataType))
+    return changed
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
