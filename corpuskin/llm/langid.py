@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -15,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words: runs of letters. Case is folded, digits and marks say nothing about a language.
-_WORD = re.compile(r"[^\W\d_]+")
+#: Blanks ASCII marks and digits, which say nothing about a language.
+_BLANK = bytes(i if i >= 128 or chr(i).isalpha() else 32 for i in range(256))
 #: Longer words are read in pieces, so that a text without blanks costs no more than others.
 WORD_CHARS = 40
 #: Rows that training takes at most, a documented bound; drawn evenly over languages by a hash of the text.
@@ -24,7 +23,7 @@ SAMPLE_ROWS = 6000
 #: Characters of a training text that are read; predictions read whole texts.
 SAMPLE_CHARS = 2000
 #: Words that a worker keeps the scores of; then it starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 
 
 @dataclass(frozen=True)
@@ -38,19 +37,44 @@ class LangModel:
     least: float
 
 
-def subwords(word: str, buckets: int) -> list[int]:
-    """Buckets of a word's runs of 1 to 4 characters, with its ends marked, and of the word itself."""
-    marked = f"<{word}>"
-    made = [marked[i : i + n] for n in (1, 2, 3, 4) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(x.encode("utf-8", "replace")) % buckets for x in [*made, marked]]
+class Subwords:
+    """word -> buckets of its runs of 1 to 4 characters, with its ends marked, and of the word itself.
 
+    Words of over ``WORD_CHARS`` characters give those of their pieces of as many. Keeps the buckets of runs that it has
+    seen, up to ``CACHE_WORDS``.
+    """
 
-def words_of(text: str) -> Iterator[str]:
-    for w in _WORD.findall(text.lower()):
-        if len(w) <= WORD_CHARS:
-            yield w
-        else:
-            yield from (w[i : i + WORD_CHARS] for i in range(0, len(w), WORD_CHARS))
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+        self.seen: dict[str, int] = {}
+
+    def bucket(self, run: str) -> int:
+        return zlib.crc32(run.encode("utf-8", "replace")) % self.buckets
+
+    def __call__(self, word: bytes) -> list[int]:
+        text = word.decode("utf-8", "replace")
+        found: list[int] = []
+        seen = self.seen
+        for at in range(0, len(text), WORD_CHARS):
+            m = f"<{text[at : at + WORD_CHARS]}>"
+            n = len(m)
+            runs = [*m, *map("".join, zip(m, m[1:])), *(m[i : i + 3] for i in range(n - 2)), *(m[i : i + 4] for i in range(n - 3))]  # noqa: B905
+            try:
+                found += [seen[r] for r in runs]
+            except KeyError:
+                if len(seen) > CACHE_WORDS:
+                    seen.clear()
+                for r in runs:
+                    if r not in seen:
+                        seen[r] = self.bucket(r)
+                found += [seen[r] for r in runs]
+            found.append(self.bucket(m))
+        return found
+
+
+def words_of(text: str) -> list[bytes]:
+    """Lower-cased UTF-8 words: ASCII other than letters parts them."""
+    return text.lower().encode("utf-8", "replace").translate(_BLANK).split()
 
 
 def has_letter(text: str | None) -> bool:
@@ -85,6 +109,7 @@ def train(rows: pd.DataFrame, buckets: int = 1 << 16, width: int = 16, epochs: i
     most 0.35: texts that score less are rejected.
     """
     rng = np.random.default_rng(seed)
+    subwords = Subwords(buckets)
     langs = tuple(sorted(set(rows["lang"]))) or ("und",)
     at = {x: i for i, x in enumerate(langs)}
     emb = rng.normal(0, 0.1, (buckets, width))
@@ -93,10 +118,10 @@ def train(rows: pd.DataFrame, buckets: int = 1 << 16, width: int = 16, epochs: i
     pieces: list[tuple[np.ndarray, int, bool]] = []
     for n, (lang, text) in enumerate(zip(rows["lang"], rows["text"], strict=True)):
         apart = n % 10 == 9
-        words = list(words_of(text))
+        words = words_of(text)
         cuts = [words[:60], words[60:70], words[70:74]]
         for cut in cuts:
-            ids = [b for w in cut for b in subwords(w, buckets)]
+            ids = [b for w in cut for b in subwords(w)]
             if ids:
                 pieces.append((np.array(ids, np.int64), at[lang], apart))
     fit, held = [p for p in pieces if not p[2]], [p for p in pieces if p[2]]
@@ -130,25 +155,37 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def scorer(model: LangModel):
-    """text -> probabilities, or None without a letter. Keeps the sums of words that it has seen."""
-    seen: dict[str, tuple[np.ndarray, int]] = {}
-    buckets = len(model.table)
+    """text -> probabilities, or None without a letter. Keeps the sums of words that it has seen, up to ``CACHE_WORDS``."""
+    subwords, width = Subwords(len(model.table)), len(model.langs)
+    place: dict[bytes, int] = {}
+    sums = np.zeros((1024, width + 1))  # of a word's subwords, and their number
+
+    def learn(words: list[bytes]) -> None:
+        nonlocal sums
+        ids = [subwords(w) for w in words]
+        sizes = np.array([len(x) for x in ids])
+        first = len(place)
+        while first + len(words) > len(sums):
+            sums = np.concatenate([sums, np.zeros_like(sums)])
+        flat = np.fromiter((i for x in ids for i in x), np.int64, int(sizes.sum()))
+        sums[first : first + len(words), :width] = np.add.reduceat(model.table[flat], np.cumsum(sizes) - sizes, axis=0)
+        sums[first : first + len(words), width] = sizes
+        place.update(zip(words, range(first, first + len(words)), strict=True))
 
     def score(text: str | None) -> np.ndarray | None:
         if not has_letter(text):
             return None
-        total, n = np.zeros(len(model.langs)), 0
+        if len(place) > CACHE_WORDS:
+            place.clear()
         counts = Counter(words_of(text))
-        if len(seen) > CACHE_WORDS:
-            seen.clear()
-        for w, k in counts.items():
-            got = seen.get(w)
-            if got is None:
-                ids = subwords(w, buckets)
-                got = seen[w] = (model.table[ids].sum(0, dtype=np.float64), len(ids))
-            total += got[0] * k
-            n += got[1] * k
-        return _softmax((total / max(n, 1) + model.bias) / model.heat)
+        new = [w for w in counts if w not in place]
+        if new:
+            learn(new)
+        rows = [place[w] for w in counts]
+        if not rows:  # letters beyond what words are made of
+            return _softmax(model.bias / model.heat)
+        total = np.fromiter(counts.values(), np.float64, len(counts)) @ sums[rows]
+        return _softmax((total[:width] / max(total[width], 1.0) + model.bias) / model.heat)
 
     return score
 
