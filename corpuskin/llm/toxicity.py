@@ -71,7 +71,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS,
         bound = int((1 << 40) * min(1.0, 0.6 * limit / r["count"]))
         most = F.when(F.col("y") == r["y"], F.lit(bound)).otherwise(most)
     chosen = marks.where(F.col("h") <= most).orderBy("h").limit(2 * limit).select("_id", "y", "h")
-    got = docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(chosen, "_id")
+    got = docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id")  # 2 * limit rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
