@@ -113,52 +113,62 @@ def contaminated_words(
     return merged.select(key, "n_words", F.aggregate(F.array_sort("hits"), empty, add).alias("hits"), F.array_sort(F.array_distinct("items")).alias("items"))
 
 
-def _match_block(spark: SparkSession, rows: DataFrame, block: list[tuple], width: int, key: str, shingle: int) -> DataFrame:
+def _index(spark: SparkSession, texts: DataFrame, block: list[tuple], width: int, shingle: int) -> dict[tuple[bytes, ...], list]:
+    """Prefix shingle -> [(its place in the window, the window, item ids)]; ``texts`` is one column, for the frequencies."""
     windows: dict[tuple[bytes, ...], set[str]] = {}
     for i, t in block:
         for w in item_windows(words_of(t), width):
             windows.setdefault(w, set()).add(i or "")
     wanted = spark.sparkContext.broadcast({s for w in windows for s in _shingles(w, shingle)})
-    often = _count_shingles(rows.select("_text"), wanted, shingle) if windows else {}
-    # prefix: rarest shingle -> [(its place in the window, the window, items)]
+    often = _count_shingles(texts, wanted, shingle) if windows else {}
     index: dict[tuple[bytes, ...], list] = {}
     for w, ids in windows.items():
-        order = sorted(range(len(_shingles(w, shingle))), key=lambda p: (often.get(_shingles(w, shingle)[p], 0), _shingles(w, shingle)[p], p))
-        p = order[0]
-        s = _shingles(w, shingle)[p]
-        if often.get(s, 0):  # a window whose rarest shingle is nowhere is nowhere
-            index.setdefault(s, []).append((p, w, sorted(ids)))
-    sent = spark.sparkContext.broadcast(index)
+        made = _shingles(w, shingle)
+        p = min(range(len(made)), key=lambda p: (often.get(made[p], 0), made[p], p))  # noqa: B023
+        if often.get(made[p], 0):  # a window whose rarest shingle is nowhere is nowhere
+            index.setdefault(made[p], []).append((p, w, sorted(ids)))
+    return index
+
+
+class Matcher:
+    """text -> (number of words, merged spans of hit words, ids of the items that hit)."""
+
+    def __init__(self, index: dict[tuple[bytes, ...], list]):
+        self.index, self.keys = index, set(index)
+        self.sizes = sorted({len(s) for s in index})
+
+    def __call__(self, text: str | None) -> tuple[int, list[tuple[int, int]], list[str]]:
+        w = words_of(text)
+        spans, ids = set(), set()
+        for n in self.sizes:
+            grams = lambda: zip(*(w[k:] for k in range(n)), strict=False)  # noqa: B023, E731
+            if self.keys.isdisjoint(grams()):
+                continue
+            for at, s in enumerate(grams()):
+                for p, window, names in self.index.get(s, ()):
+                    start = at - p
+                    if 0 <= start <= len(w) - len(window) and tuple(w[start : start + len(window)]) == window:
+                        spans.add((start, start + len(window)))
+                        ids.update(names)
+        joined: list[tuple[int, int]] = []
+        for s, e in sorted(spans):
+            if joined and s <= joined[-1][1]:
+                joined[-1] = joined[-1][0], max(joined[-1][1], e)
+            else:
+                joined.append((s, e))
+        return len(w), joined, sorted(ids)
+
+
+def _match_block(spark: SparkSession, rows: DataFrame, block: list[tuple], width: int, key: str, shingle: int) -> DataFrame:
+    sent = spark.sparkContext.broadcast(_index(spark, rows.select("_text"), block, width, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        sizes = sorted({len(s) for s in known})
-        keys = set(known)
+        match = Matcher(sent.value)
         for b in batches:
-            n_words, hits, items = [], [], []
-            for i in range(b.num_rows):
-                w = words_of(b.column(1)[i].as_py())
-                spans, ids = [], set()
-                for n in sizes:
-                    if keys.isdisjoint(zip(*(w[k:] for k in range(n)), strict=False)):
-                        continue
-                    for at, s in enumerate(zip(*(w[k:] for k in range(n)), strict=False)):
-                        for p, window, names in known.get(s, ()):
-                            start = at - p
-                            if 0 <= start <= len(w) - len(window) and tuple(w[start : start + len(window)]) == window:
-                                spans.append((start, start + len(window)))
-                                ids.update(names)
-                joined: list[list[int]] = []
-                for s, e in sorted(spans):
-                    if joined and s <= joined[-1][1]:
-                        joined[-1][1] = max(joined[-1][1], e)
-                    else:
-                        joined.append([s, e])
-                n_words.append(len(w))
-                hits.append([{"start": s, "end": e} for s, e in joined])
-                items.append(sorted(ids))
+            found = [match(b.column(1)[i].as_py()) for i in range(b.num_rows)]
+            hits = [[{"start": s, "end": e} for s, e in f[1]] for f in found]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
+                [b.column(0), b.column(2), pa.array([f[0] for f in found], pa.int64()), pa.array(hits, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([f[2] for f in found], pa.list_(pa.string()))],
                 names=[key, "_row", "n_words", "hits", "items"],
             )
 
@@ -197,8 +207,20 @@ FROM d LEFT JOIN h ON d.r = h.r LEFT JOIN i ON d.r = i.r
 """
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows of keys of which a row is hit."""
-    found = contaminated_words(docs, benchmark, key=key, text=text, **options)
-    bad = found.where(F.size("hits") > 0).select(F.col(key).alias("_key")).distinct()
-    return docs.join(bad, docs[key].eqNullSafe(bad["_key"]), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", shingle: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows in which a window of an item occurs. Rows are judged one by one and not shuffled; all columns stay."""
+    spark = docs.sparkSession
+    for block in _blocks(benchmark, item, item_text, block_bytes):
+        sent = spark.sparkContext.broadcast(_index(spark, docs.select(text), block, width, shingle))
+        docs = docs.mapInArrow(_clean(sent, text), docs.schema)
+    return docs
+
+
+def _clean(sent, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = Matcher(sent.value)
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(text))
+            yield b.filter(pa.array([not match(texts[i].as_py())[1] for i in range(b.num_rows)], pa.bool_()))
+
+    return run

@@ -189,9 +189,14 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, radius: int = 3) -> DataFrame:
-    """``docs`` with one row of each group: the one with the group's smallest key (of rows that repeat that key, one)."""
-    groups = near_duplicate_groups(docs, key, text, width, radius)
-    keep = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_key")).distinct()
-    kept = docs.join(keep, docs[key].eqNullSafe(keep["_key"]), "left_semi")
-    # rows that repeat a key (ids are unique in a sound table): one of them stays
-    return kept.dropDuplicates([key])
+    """``docs`` with one row of each group: the one with the smallest key, nulls last, then an arbitrary but fixed one.
+
+    Rows are told apart by a hash of key and text, so that rows that repeat a key are judged by their own texts; of rows
+    that repeat both, one stays. The texts are shuffled once.
+    """
+    row = F.xxhash64(F.col(key), F.col(text))
+    named = docs.select(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), row.alias("r")).alias("_id"), F.col(text).alias("text"))
+    groups = near_duplicate_groups(named, "_id", "text", width, radius)
+    keep = groups.where("_id = component_id").select(F.col("_id.r").alias("_keep")).distinct()
+    numbered = docs.withColumn("_row", row)
+    return numbered.join(keep, numbered["_row"] == keep["_keep"], "left_semi").dropDuplicates(["_row"]).drop("_row")
