@@ -35,12 +35,16 @@ def token_links(rows: DataFrame, threshold: float = TOKEN_THRESHOLD) -> DataFram
     ordered = some.select("file_id", "_s", F.explode("t").alias("token")).join(often, "token")
     ordered = ordered.groupBy("file_id", "_s").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("o"))
     n = F.size("o")
-    prefix = ordered.select("file_id", "_s", F.transform("o", lambda x: x["token"]).alias("t"), F.explode(F.slice("o", F.lit(1), n - F.ceil(n * threshold).cast("int") + 1)).alias("p"))
-    a = prefix.select(F.col("file_id").alias("a"), "_s", F.col("p.token").alias("p"), F.col("t").alias("ta"))
-    b = prefix.select(F.col("file_id").alias("b"), "_s", F.col("p.token").alias("p"), F.col("t").alias("tb"))
-    sizes = (F.size("ta") >= F.size("tb") * threshold) & (F.size("tb") >= F.size("ta") * threshold)
+    prefix = ordered.select("file_id", "_s", n.alias("n"), F.explode(F.slice("o", F.lit(1), n - F.ceil(n * threshold).cast("int") + 1)).alias("p"))
+    a = prefix.select(F.col("file_id").alias("a"), "_s", F.col("p.token").alias("p"), F.col("n").alias("na"))
+    b = prefix.select(F.col("file_id").alias("b"), "_s", F.col("p.token").alias("p"), F.col("n").alias("nb"))
+    sizes = (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold)
+    met = a.join(b, ["_s", "p"]).where("a < b").where(sizes).select("a", "b").distinct()
+    # each pair that meets is verified once, over all of its tokens
+    sets = some.select("file_id", F.transform("t", lambda t: F.xxhash64(t)).alias("h"))
+    met = met.join(sets.select(F.col("file_id").alias("a"), F.col("h").alias("ta")), "a").join(sets.select(F.col("file_id").alias("b"), F.col("h").alias("tb")), "b")
     both = F.size(F.array_intersect("ta", "tb"))
-    near = a.join(b, ["_s", "p"]).where("a < b").where(sizes).where(both / (F.size("ta") + F.size("tb") - both) >= threshold).select("a", "b").distinct()
+    near = met.where(both / (F.size("ta") + F.size("tb") - both) >= threshold).select("a", "b")
     none = held.where(F.size("t") == 0).select("file_id", "_s")
     first = none.groupBy("_s").agg(F.min("file_id").alias("a"))
     return near.union(none.join(first, "_s").where("a < file_id").select("a", F.col("file_id").alias("b")))

@@ -20,17 +20,21 @@ def shared_runs(descriptions: DataFrame, least: int = MIN_SHARED) -> DataFrame:
     """
     if least < 1:
         raise ValueError("least must be 1 or more")
-    first = descriptions.groupBy("group_id").agg(F.min("path").alias("path"))
-    lead = descriptions.join(first, ["group_id", "path"]).where("bytes is not null").select("group_id", "ifd_index", F.length("bytes").alias("n_lead"))
-    rows = descriptions.where("bytes is not null").join(lead, ["group_id", "ifd_index"])
-    members = rows.groupBy("group_id", "ifd_index").agg(F.count("*").alias("members"))
-    digits = rows.where(F.length("bytes") > 0).select("group_id", "ifd_index", F.hex("bytes").alias("h"), F.explode(F.sequence(F.lit(0), F.least(F.length("bytes"), F.col("n_lead")) - 1)).alias("pos"))
-    at = digits.select("group_id", "ifd_index", "pos", F.substring("h", F.col("pos") * 2 + 1, F.lit(2)).alias("byte"))
-    agreed = at.groupBy("group_id", "ifd_index", "pos").agg(F.count("*").alias("n"), F.min("byte").alias("lo"), F.max("byte").alias("hi"))
-    agreed = agreed.join(members, ["group_id", "ifd_index"]).where("n = members and lo = hi")
+    first = descriptions.groupBy("group_id").agg(F.min("path").alias("_lead"))
+    rows = descriptions.where("bytes is not null").join(first, "group_id").select("group_id", "ifd_index", "path", "_lead", F.col("bytes").alias("h"))
+    lead = rows.where("path = _lead").select("group_id", "ifd_index", F.col("h").alias("hl"))
+    others = rows.where("path <> _lead").select("group_id", "ifd_index", "h")
+    n_others = others.groupBy("group_id", "ifd_index").agg(F.count("*").alias("others"))
+    byte = lambda text, i: F.substring(text, i + 1, F.lit(1))  # noqa: E731  of binaries, in constant time
+    shorter = F.least(F.length("h"), F.length("hl"))
+    places = F.when(shorter > 0, F.sequence(F.lit(0), shorter - 1)).otherwise(F.array().cast("array<int>"))
+    # only positions at which a member agrees with the representative become rows
+    equal = others.join(lead, ["group_id", "ifd_index"]).select("group_id", "ifd_index", F.explode(F.filter(places, lambda i: byte(F.col("h"), i) == byte(F.col("hl"), i))).alias("pos"))
+    agreed = equal.groupBy("group_id", "ifd_index", "pos").agg(F.count("*").alias("n")).join(n_others, ["group_id", "ifd_index"]).where("n = others")
     island = F.col("pos") - F.row_number().over(Window.partitionBy("group_id", "ifd_index").orderBy("pos"))
-    runs = agreed.withColumn("_i", island).groupBy("group_id", "ifd_index", "_i").agg(F.min("pos").alias("run_start"), (F.max("pos") + 1).alias("run_end"))
-    return runs.where(F.col("run_end") - F.col("run_start") >= least).drop("_i")
+    runs = agreed.withColumn("_i", island).groupBy("group_id", "ifd_index", "_i").agg(F.min("pos").alias("run_start"), (F.max("pos") + 1).alias("run_end")).drop("_i")
+    alone = lead.join(n_others, ["group_id", "ifd_index"], "left_anti").select("group_id", "ifd_index", F.lit(0).alias("run_start"), F.length("hl").alias("run_end"))
+    return runs.unionByName(alone).where(F.col("run_end") - F.col("run_start") >= least)
 
 
 def segments(descriptions: DataFrame, least: int = MIN_SHARED) -> DataFrame:

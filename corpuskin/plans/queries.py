@@ -14,8 +14,10 @@ from corpuskin.sources import tables
 
 
 def _candidates(spark: SparkSession, d: str, payload: bool = False) -> tuple[dedup.Report, DataFrame, DataFrame]:
+    """Payloads only where content is confirmed; the fingerprints, which several aggregates read, are computed once."""
     files, units = tables.document_files(spark, d), tables.document_lines(spark, d)
-    return dedup.find_candidates(units if payload else units.drop("payload"), files), units, files
+    units = materialize(units if payload else units.drop("payload"), "units")
+    return dedup.find_candidates(units, files), units, files
 
 
 def _confirmed(spark: SparkSession, d: str) -> tuple[dedup.Report, dedup.Report, DataFrame, DataFrame]:

@@ -22,6 +22,8 @@ def session(cpus: int | None = None, partitions: int | None = None, memory: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.driver.memory": memory,
+        "spark.sql.files.maxPartitionBytes": "4m",
+        "spark.sql.files.openCostInBytes": "256k",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
