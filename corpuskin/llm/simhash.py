@@ -15,6 +15,8 @@ from corpuskin.plans.shared import connected_components, materialize
 #: Texts are taken in pieces of about so many bytes, cut at white space, so that a long one needs no more memory than its own size.
 PIECE_BYTES = 1 << 20
 SEED = 42
+#: Fingerprints of a text where near copies are dropped.
+PRINTS = 4
 #: A key with more exact members than this is split by the bits that it doesn't fix.
 HOT_KEY = 128
 
@@ -37,40 +39,63 @@ def word_pieces(data: bytes, size: int = PIECE_BYTES) -> Iterator[list[bytes]]:
         at = end
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """64 bits: each is 1 if it is set in over half of the shingles' XXH64 values (repeats count). 0 without words."""
+def _mixed(values: np.ndarray, number: int) -> np.ndarray:
+    """Further hash values of the shingles, from their first ones (SplitMix64's finalizer); number 0 is the first itself."""
+    if not number:
+        return values
+    x = values + np.uint64(number * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprints(text: str | None, width: int = 3, prints: int = 1) -> list[int]:
+    """``prints`` times 64 bits: each is 1 if it is set in over half of the shingles' hashes (repeats count). 0 without words.
+
+    The first fingerprint's hashes are XXH64, the others' are made from it, independent of it and each other.
+    """
     data = (text or "").encode("utf-8", "replace").lower()  # bytes.lower() folds A-Z only
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((prints, 64), np.int64)
     total = 0
     held: list[bytes] = []
+    digest = xxhash.xxh64_intdigest
+
+    def count(shingles: list[bytes]) -> None:
+        values = np.fromiter((digest(s, SEED) for s in shingles), np.uint64, len(shingles))
+        for k in range(prints):
+            mixed = _mixed(values, k)
+            ones[k] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
     for piece in word_pieces(data):
         words = held + piece
         if len(words) >= width:
             made = [b" ".join(x) for x in zip(*(words[i:] for i in range(width)), strict=False)]
-            digest = xxhash.xxh64_intdigest
-            values = np.fromiter((digest(s, SEED) for s in made), np.uint64, len(made))
+            count(made)
             total += len(made)
-            ones += np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         held = words[-(width - 1) :] if width > 1 else []
     if not total and held:  # fewer words than a shingle has
         total = 1
-        value = np.array([xxhash.xxh64_intdigest(b" ".join(held), SEED)], np.uint64)
-        ones = np.unpackbits(value.view(np.uint8), bitorder="little").astype(np.int64)
-    bits = (2 * ones > total) if total else np.zeros(64, bool)
-    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        count([b" ".join(held)])
+    bits = (2 * ones > total) if total else np.zeros((prints, 64), bool)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0].tolist()
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    return fingerprints(text, width)[0]
 
 
-def with_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, out: str = "fp") -> DataFrame:
-    """(``key``, ``out``): a fingerprint per row, as the signed long of the same 64 bits."""
+def with_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, prints: int = 1) -> DataFrame:
+    """(``key``, fp, fp1, ...): a row's fingerprints, as the signed longs of the same 64 bits."""
     named = docs.select(F.col(key).alias(key), F.col(text).alias("text"))
+    columns = ["fp", *(f"fp{k}" for k in range(1, prints))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1)
-            made = np.fromiter((fingerprint(texts[i].as_py(), width) for i in range(len(texts))), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made.view(np.int64))], names=[key, out])
+            made = np.array([fingerprints(texts[i].as_py(), width, prints) for i in range(len(texts))], np.uint64).reshape(-1, prints).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(made[:, k]) for k in range(prints))], names=[key, *columns])
 
-    return named.mapInArrow(run, f"`{key}` {named.schema[key].dataType.simpleString()}, `{out}` bigint")
+    return named.mapInArrow(run, f"`{key}` {named.schema[key].dataType.simpleString()}, " + ", ".join(f"{c} bigint" for c in columns))
 
 
 def _popcount(x: Column) -> Column:
@@ -160,23 +185,33 @@ def _hot(exact: DataFrame, balls: DataFrame, low: int, side: int, near, hot: int
     return found
 
 
-def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3, prints: int = 1) -> DataFrame:
     """One row per input row: ``key``, fp (long), component_id: the smallest key reachable over linked fingerprints.
 
-    Equal fingerprints are one node, combined before the shuffle, so that a group of copies costs a row. A null or empty
-    text has the fingerprint 0 and is linked like any other. Null keys are kept; a group of null keys only has a null
-    component. Repeated keys give a row each. Other columns are left out. An empty table gives an empty result.
+    With several ``prints``, rows link that are within ``radius`` bits in any of their fingerprints, each of which has its
+    own hashes: pairs that one fingerprint misses by chance are found by another. Equal fingerprints are one node, combined
+    before the shuffle, so that a group of copies costs a row. A null or empty text has the fingerprint 0 and is linked
+    like any other. Null keys are kept; a group of null keys only has a null component. Repeated keys give a row each.
+    Other columns are left out. An empty table gives an empty result.
     """
-    prints = materialize(with_fingerprints(docs, key, text, width), "prints")
-    nodes = prints.groupBy("fp").agg(F.min(key).alias("least"))
-    nodes = materialize(nodes, "nodes")
-    graph = connected_components(links(nodes.select("fp"), radius))
+    made = materialize(with_fingerprints(docs, key, text, width, prints), "prints")
+    nodes = materialize(made.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
+    edges = links(nodes.select("fp"), radius)
+    for k in range(1, prints):
+        # a further fingerprint stands for the least first one that it occurs with, and connects the others with it
+        pairs = made.select("fp", F.col(f"fp{k}").alias("other")).distinct()
+        stands = materialize(pairs.groupBy("other").agg(F.min("fp").alias("node")), "stands")
+        edges = edges.unionByName(pairs.join(stands, "other").where("fp <> node").select(F.col("fp").alias("src"), F.col("node").alias("dst")))
+        found = links(stands.select(F.col("other").alias("fp")), radius)
+        found = found.join(stands.select(F.col("other").alias("src"), F.col("node").alias("a")), "src").join(stands.select(F.col("other").alias("dst"), F.col("node").alias("b")), "dst")
+        edges = edges.unionByName(found.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    graph = connected_components(edges)
     # only fingerprints with links are in the graph; the rest are their own component
     placed = nodes.join(graph.select(F.col("node").alias("fp"), "component"), "fp", "left")
     placed = placed.withColumn("component", F.coalesce("component", "fp"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     placed = placed.join(least, "component").select("fp", "component_id")
-    return prints.join(placed, "fp").select(key, "fp", "component_id")
+    return made.select(key, "fp").join(placed, "fp").select(key, "fp", "component_id")
 
 
 def hex_print(fp: Column) -> Column:
@@ -188,15 +223,16 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(docs).select("doc_id", hex_print(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, radius: int = 3) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, radius: int = 3, prints: int = PRINTS) -> DataFrame:
     """``docs`` with one row of each group: the one with the smallest key, nulls last, then an arbitrary but fixed one.
 
-    Rows are told apart by a hash of key and text, so that rows that repeat a key are judged by their own texts; of rows
+    A similarity of 61/64 in any of ``prints`` fingerprints makes a near copy; texts that differ by one word in a hundred
+    or two mostly have one. Rows are told apart by a hash of key and text, so that rows that repeat a key are judged by their own texts; of rows
     that repeat both, one stays. The texts are shuffled once.
     """
     row = F.xxhash64(F.col(key), F.col(text))
     named = docs.select(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), row.alias("r")).alias("_id"), F.col(text).alias("text"))
-    groups = near_duplicate_groups(named, "_id", "text", width, radius)
+    groups = near_duplicate_groups(named, "_id", "text", width, radius, prints)
     keep = groups.where("_id = component_id").select(F.col("_id.r").alias("_keep")).distinct()
     numbered = docs.withColumn("_row", row)
     return numbered.join(keep, numbered["_row"] == keep["_keep"], "left_semi").dropDuplicates(["_row"]).drop("_row")

@@ -102,3 +102,25 @@ def test_drop_keeps_one(spark):
 def test_empty(spark):
     assert simhash.near_duplicate_groups(cases.none(spark)).collect() == []
     assert simhash.drop_near_duplicates(cases.none(spark)).collect() == []
+
+
+def test_several_prints(spark):
+    """Groups over several fingerprints are the components of all pairs that any of them links."""
+    rng = random.Random(6)
+    base = [cases.prose(rng, 150).split() for _ in range(8)]
+    made = []
+    for i in range(120):
+        w = list(base[i % 8])
+        for k in rng.sample(range(len(w)), rng.randint(0, 6)):
+            w[k] = cases.prose(rng, 1)
+        made.append((i, " ".join(w)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(spark.createDataFrame(made, "doc_id long, text string"), width=5, prints=3).collect()}
+    fps = [simhash.fingerprints(t, 5, 3) for _, t in made]
+    comp = list(range(len(made)))
+    for _ in made:
+        for a in range(len(made)):
+            for b in range(a):
+                if any((x ^ y).bit_count() <= 3 for x, y in zip(fps[a], fps[b], strict=True)):
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+    assert got == dict(enumerate(comp)) and len(set(comp)) > 8
+    assert fps[0][0] == simhash.fingerprint(made[0][1], 5) and len(set(fps[0])) == 3
