@@ -23,7 +23,7 @@ SAMPLE_ROWS = 6000
 #: Characters of a training text that are read; predictions read whole texts.
 SAMPLE_CHARS = 2000
 #: Words that a worker keeps the scores of; then it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 @dataclass(frozen=True)
