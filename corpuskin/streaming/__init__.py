@@ -1 +1 @@
-
+"""Incremental work over growing corpora."""
