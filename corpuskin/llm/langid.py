@@ -20,8 +20,8 @@ _BLANK = bytes(i if i >= 128 or chr(i).isalpha() else 32 for i in range(256))
 WORD_CHARS = 40
 #: Rows that training takes at most, a documented bound; drawn evenly over languages by a hash of the text.
 SAMPLE_ROWS = 6000
-#: Characters of a training text that are read; predictions read whole texts.
-SAMPLE_CHARS = 2000
+#: Words of the pieces that a training text gives, from places anywhere in it; predictions read whole texts.
+PIECES = (60, 10, 4)
 #: Words that a worker keeps the scores of; then it starts anew.
 CACHE_WORDS = 250_000
 
@@ -81,32 +81,47 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(c.isalpha() for c in text)
 
 
+def pieces_of(text: str | None, h: int) -> list[str]:
+    """Runs of ``PIECES`` words of a text, from places that ``h`` decides."""
+    words = words_of(text or "")
+    starts = [zlib.crc32(b"%d:%d" % (h, n)) % max(1, len(words) - n + 1) for n in PIECES]
+    return [b" ".join(words[s : s + n]).decode("utf-8", "replace") for s, n in zip(starts, PIECES, strict=True)]
+
+
 def training_rows(docs: DataFrame, limit: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text", lang: str = "lang") -> pd.DataFrame:
-    """Up to ``limit`` rows, an even share of each language where it has as many; the same ones whatever the partitions.
+    """(lang, pieces, h) of up to ``limit`` rows, an even share of each language where it has as many; the same whatever the partitions.
 
     A row's hash decides: a language's share of the rows, and half as much again, are those below its bound; the ones
-    with the smallest hashes are kept. Only ``SAMPLE_CHARS`` of their texts leave the executors.
+    with the smallest hashes are kept. Only pieces of their texts leave the executors.
     """
     spark = docs.sparkSession
-    named = docs.select(F.col(lang).alias("lang"), F.substring(F.col(text), 1, SAMPLE_CHARS).alias("text"), F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(1 << 40)).alias("h"))
-    named = named.where("lang is not null and text is not null")
+    named = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     # the 512 most frequent languages: a bounded table
-    counts = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(512).collect()
+    counts = named.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(512).collect()
     share = max(1, limit // max(1, len(counts)))
-    bounds = [(r["lang"], min(1 << 40, int((1 << 40) * min(1.0, 1.5 * share / r["count"])) + (1 << 40) // max(1, r["count"]))) for r in counts]
+    whole = 1 << 40
+    bounds = [(r["lang"], min(whole, int(whole * min(1.0, 1.5 * share / r["count"])) + whole // max(1, r["count"]))) for r in counts]
     if not bounds:
-        return pd.DataFrame({"lang": [], "text": [], "h": []})
+        return pd.DataFrame({"lang": [], "pieces": [], "h": []})
     table = F.broadcast(spark.createDataFrame(bounds, "lang string, most long"))
-    got = named.join(table, "lang").where("h <= most").select("lang", "text", "h").orderBy("h", "text").limit(3 * limit).toPandas()
+    hashed = named.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(whole)).alias("h"))
+    chosen = hashed.join(table, "lang").where("h <= most").select("lang", "text", "h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [pieces_of(t.as_py(), h.as_py()) for t, h in zip(b.column(1), b.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.string())), b.column(2)], names=["lang", "pieces", "h"])
+
+    got = chosen.mapInArrow(run, "lang string, pieces array<string>, h bigint").orderBy("h", "pieces").limit(3 * limit).toPandas()
     return got.groupby("lang", sort=True).head(share).reset_index(drop=True)
 
 
 def train(rows: pd.DataFrame, buckets: int = 1 << 16, width: int = 16, epochs: int = 4, rate: float = 0.5, seed: int = 7) -> LangModel:
     """Embeddings of subwords, averaged over a text's words, with a linear softmax; a tenth of the rows calibrates.
 
-    Texts are cut to pieces of 60, 10 and 4 words, as short texts have to be told too. The calibration finds the
+    Texts give pieces of several lengths, as short texts have to be told too. The calibration finds the
     temperature with the least loss on the rows set apart, and the score that all but 1 in 1,000 of those exceed, at
-    most 0.35: texts that score less are rejected.
+    most 1.2 times an even guess: texts that score less are rejected.
     """
     rng = np.random.default_rng(seed)
     subwords = Subwords(buckets)
@@ -116,12 +131,10 @@ def train(rows: pd.DataFrame, buckets: int = 1 << 16, width: int = 16, epochs: i
     out = np.zeros((width, len(langs)))
     bias = np.zeros(len(langs))
     pieces: list[tuple[np.ndarray, int, bool]] = []
-    for n, (lang, text) in enumerate(zip(rows["lang"], rows["text"], strict=True)):
+    for n, (lang, cuts) in enumerate(zip(rows["lang"], rows["pieces"], strict=True)):
         apart = n % 10 == 9
-        words = words_of(text)
-        cuts = [words[:60], words[60:70], words[70:74]]
         for cut in cuts:
-            ids = [b for w in cut for b in subwords(w)]
+            ids = [b for w in words_of(cut) for b in subwords(w)]
             if ids:
                 pieces.append((np.array(ids, np.int64), at[lang], apart))
     fit, held = [p for p in pieces if not p[2]], [p for p in pieces if p[2]]
@@ -145,7 +158,7 @@ def train(rows: pd.DataFrame, buckets: int = 1 << 16, width: int = 16, epochs: i
         y = np.array([y for _, y, _ in held])
         losses = {t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in (0.05, 0.1, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0)}
         heat = min(losses, key=lambda t: (losses[t], t))
-        least = float(min(0.35, np.quantile(_softmax(z / heat).max(1), 0.001)))
+        least = float(min(1.2 / len(langs), np.quantile(_softmax(z / heat).max(1), 0.001)))
     return LangModel(langs, table, bias, heat, least)
 
 

@@ -27,8 +27,8 @@ def test_languages_held_out(spark):
 @pytest.fixture(scope="module")
 def languages():
     rng = random.Random(1)
-    rows = [(lang, cases.prose(rng, 60, s)) for _ in range(60) for lang, s in (("aa", ("ba", "de", "fo")), ("bb", ("ki", "lu", "mo")))]
-    return langid.train(pd.DataFrame(rows, columns=["lang", "text"]))
+    rows = [(lang, langid.pieces_of(cases.prose(rng, 100, s), i)) for i in range(60) for lang, s in (("aa", ("ba", "de", "fo")), ("bb", ("ki", "lu", "mo")))]
+    return langid.train(pd.DataFrame(rows, columns=["lang", "pieces"]))
 
 
 def test_language_of_odd_texts(spark, languages):
@@ -57,7 +57,7 @@ def test_sample_is_bounded_and_even(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.when(F.col("id") % 10 == 0, "xx").otherwise("yy").alias("lang"))
     got = langid.training_rows(df, 200)
     assert got.groupby("lang").size().to_dict() == {"xx": 100, "yy": 100}
-    assert set(got["text"]) == set(langid.training_rows(df.repartition(9), 200)["text"])
+    assert set(got["h"]) == set(langid.training_rows(df.repartition(9), 200)["h"])
 
 
 @tables
