@@ -34,7 +34,7 @@ def file_entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def candidate_groups(spark: SparkSession, d: str) -> DataFrame:
-    return _candidates(spark, d)[0].groups
+    return dedup.in_order(_candidates(spark, d)[0].groups)
 
 
 def candidate_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +46,7 @@ def candidate_per_file(spark: SparkSession, d: str) -> DataFrame:
 
 
 def confirmed_groups(spark: SparkSession, d: str) -> DataFrame:
-    return _confirmed(spark, d)[0].groups
+    return dedup.in_order(_confirmed(spark, d)[0].groups)
 
 
 def confirmed_totals(spark: SparkSession, d: str) -> DataFrame:

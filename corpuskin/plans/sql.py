@@ -219,7 +219,7 @@ FROM cl JOIN e ON e.file_id = cl.file_id LEFT JOIN (SELECT cluster_id, min(score
     "ifd_count_dist": _PROFILES + "SELECT ifd_count, count(*) AS n_files FROM p GROUP BY 1",
     "position_dist": _DIST + "SELECT * FROM d",
     "position_modes": _DIST + f"SELECT position, field, value, n_files FROM d QUALIFY row_number() OVER (PARTITION BY position, field ORDER BY n_files DESC, {_VALUE_ORDER.replace(', coalesce', ' DESC, coalesce')} DESC) = 1",
-    "dist_top3": _DIST + f"SELECT *, row_number() OVER (PARTITION BY position, field ORDER BY n_files DESC, {_VALUE_ORDER}) AS rank, greatest(count(*) OVER (PARTITION BY position, field) - 3, 0) AS more FROM d QUALIFY rank <= 3",
+    "dist_top3": _DIST + f"SELECT *, row_number() OVER (PARTITION BY position, field ORDER BY n_files DESC, {_VALUE_ORDER})::INTEGER AS rank, greatest(count(*) OVER (PARTITION BY position, field) - 3, 0) AS more FROM d QUALIFY rank <= 3",
     "structural_signature": _IFDS + "SELECT file_id, 'n=' || count(*) || ' ' || string_agg('[' || ifd_index || ':' || width || 'x' || height || '/c=' || coalesce(compression::VARCHAR, '?') || '/' || CASE WHEN tile_width IS NULL THEN 'strip' ELSE 'tiled=256x256' END || ']', ' ' ORDER BY ifd_index) AS signature FROM i GROUP BY 1",
     "structural_pairs": _PAIRS + "SELECT * FROM sp",
     "structural_pairs_min_score": _PAIRS + "SELECT * FROM sp WHERE score >= 0.6 ORDER BY score DESC, a, b LIMIT 200",
