@@ -45,12 +45,16 @@ def encoder(path: str):
     import tiktoken
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(path)
-    spec = json.loads(whole.to_str())
-    marks = [t["content"] for t in spec.get("added_tokens", [])]
-    plain = lambda t: whole.encode(t, add_special_tokens=False).ids
+    @lru_cache(maxsize=1)
+    def whole() -> Tokenizer:  # loaded where it is needed only
+        return Tokenizer.from_file(path)
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    marks = [t["content"] for t in spec.get("added_tokens") or []]
+    plain = lambda t: whole().encode(t, add_special_tokens=False).ids
     pre = spec.get("pre_tokenizer") or {}
-    if spec["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
+    if spec["model"].get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
         return plain
     # the printable stand-ins that byte-level vocabularies use for bytes
     direct = [*range(33, 127), *range(161, 173), *range(174, 256)]
