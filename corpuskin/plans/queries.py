@@ -62,21 +62,16 @@ def false_positive_groups(spark: SparkSession, d: str) -> DataFrame:
     return dedup.false_positives(candidates, confirmed)
 
 
-def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(overlaps, entries, files) of documents by their lines. Content alone decides: equal bytes have equal samples."""
+def _members(spark: SparkSession, d: str) -> tuple[DataFrame, list[str], DataFrame, DataFrame]:
+    """(lines with their hashes, their group key, entries, files). Content alone decides: equal bytes have equal samples."""
     files, units = tables.document_files(spark, d), tables.document_lines(spark, d, fingerprints=False)
     groups = [k for k in dedup.KEY if k != "coarse_fp"] + ["strong_hash"]
-    hashed = units.withColumn("strong_hash", F.sha2("payload", 256)).drop("payload")
-    return overlap.pair_overlaps(hashed, groups), overlap.file_entries(files, units), files
+    return units.withColumn("strong_hash", F.sha2("payload", 256)).drop("payload"), groups, overlap.file_entries(files, units), files
 
 
 def pair_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    return _overlaps(spark, d)[0]
-
-
-def _scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    overlaps, entries, files = _overlaps(spark, d)
-    return overlap.score_pairs(entries, overlaps), entries, files
+    members, groups, _, _ = _members(spark, d)
+    return overlap.pair_overlaps(members, groups)
 
 
 def pair_scores_all(spark: SparkSession, d: str) -> DataFrame:
@@ -86,32 +81,33 @@ def pair_scores_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pair_scores_top(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.top_pairs(_scores(spark, d)[0], 100)
+    members, groups, entries, _ = _members(spark, d)
+    return overlap.top_pairs(overlap.score_pairs(entries, overlap.pair_overlaps(members, groups)), 100)
 
 
 def similarity_edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph.similarity_edges(_scores(spark, d)[0])
+    members, groups, entries, _ = _members(spark, d)
+    return graph.similarity_edges(overlap.similar_pairs(entries, members, groups))
 
 
 def node_degrees(spark: SparkSession, d: str) -> DataFrame:
-    scores, _, files = _scores(spark, d)
-    edges = materialize(graph.similarity_edges(scores), "similar")
+    files = tables.document_files(spark, d)
+    edges = materialize(similarity_edges(spark, d), "similar")
     return graph.node_degrees(graph.graph_nodes(files, edges), edges)
 
 
-def _clusters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    scores, entries, files = _scores(spark, d)
-    scores = materialize(scores, "scores")
-    edges = graph.similarity_edges(scores)
-    return graph.clusters(graph.graph_nodes(files, edges), edges), entries, scores
-
-
 def components(spark: SparkSession, d: str) -> DataFrame:
-    return _clusters(spark, d)[0]
+    files = tables.document_files(spark, d)
+    edges = materialize(similarity_edges(spark, d), "similar")
+    return graph.clusters(graph.graph_nodes(files, edges), edges)
 
 
 def cluster_stats(spark: SparkSession, d: str) -> DataFrame:
-    return graph.cluster_stats(*_clusters(spark, d))
+    """Scores within clusters only, of pairs below the graph's threshold too."""
+    members, groups, entries, _ = _members(spark, d)
+    placed = materialize(components(spark, d), "clusters")
+    scores = overlap.score_pairs(entries, overlap.pair_overlaps_within(members, groups, placed))
+    return graph.cluster_stats(placed, entries, scores)
 
 
 def _profiles(spark: SparkSession, d: str) -> DataFrame:

@@ -111,3 +111,22 @@ def test_long_chain_and_hub(spark):
     df = spark.createDataFrame(chain + hub + [(5, 5)], "src long, dst long")
     got = {r["node"]: r["component"] for r in connected_components(df).collect()}
     assert all(got[i] == 0 for i in range(301)) and all(got[1000 + i] == 1000 for i in range(400)) and len(got) == 701
+
+
+@pytest.mark.parametrize("threshold", [0.05, 0.35, 0.5, 1.0])
+def test_similar_pairs_are_the_scores_that_reach_the_threshold(spark, threshold):
+    import random
+
+    rng = random.Random(4)
+    rows = [(f, f"g{g}", rng.choice([0, 1, 5, 100, 1000]) if g % 5 else 30) for f in range(40) for g in rng.sample(range(60), rng.randint(0, 12))]
+    size = {g: n for _, g, n in rows}
+    rows = [(f, g, size[g]) for f, g, _ in rows] + [(f, "all", 40) for f in range(40)] + [(41, "big", 9000), (42, "big", 9000), (42, "big", 9000), (43, "big", 9000)]
+    m = spark.createDataFrame(rows, "file_id long, g string, length long")
+    rows.remove((41, "all", 40)) if (41, "all", 40) in rows else None
+    fs = files(spark, range(45))
+    e = overlap.file_entries(fs, m)
+    want = overlap.score_pairs(e, overlap.pair_overlaps(m, ["g"])).where(f"score >= {threshold}")
+    got = overlap.similar_pairs(e, m, ["g"], threshold)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+    with pytest.raises(ValueError):
+        overlap.similar_pairs(e, m, ["g"], 0)
