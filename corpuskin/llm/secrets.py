@@ -120,9 +120,10 @@ def candidates(docs: DataFrame, rules: Sequence[Rule], key: str = "doc_id", text
     if not plans:
         return None
     vocabulary = sorted({t for clauses in plans.values() for c in clauses for t in c})
-    folded = F.lower(F.col(text))
-    present = F.array_compact(F.array(*[F.when(F.contains(folded, F.lit(t)), F.lit(t)) for t in vocabulary]))
-    postings = docs.select(F.col(key).alias("_key"), F.explode(present).alias("_trigram"))
+    # folded in a projection of its own, which isn't merged into one that uses it often: once a text, not once a trigram
+    folded = docs.select(F.col(key).alias("_key"), F.lower(F.col(text)).alias("_folded"))
+    present = F.array_compact(F.array(*[F.when(F.contains("_folded", F.lit(t)), F.lit(t)) for t in vocabulary]))
+    postings = folded.select("_key", F.explode(present).alias("_trigram"))
     spark = docs.sparkSession
     # one row for each (rule, clause, trigram): as many as the rules' text gives, whatever the input
     wanted = [(kind, n, t, 1 << i, (1 << len(c)) - 1) for kind, cs in plans.items() for n, c in enumerate(cs) for i, t in enumerate(sorted(c))]
