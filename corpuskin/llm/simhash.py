@@ -124,9 +124,11 @@ def _halves(rows: DataFrame, keys: list[str], low: int, bits: int, ball: bool) -
     return sides[0].unionByName(sides[1])
 
 
-def links(prints: DataFrame, radius: int = 3, hot: int = HOT_KEY) -> DataFrame:
+def links(prints: DataFrame, radius: int = 3, hot: int = HOT_KEY, within: tuple[str, ...] = ()) -> DataFrame:
     """(src, dst), src > dst: all pairs of distinct fingerprints (``fp`` long) that differ in ``radius`` (at most 3) bits or fewer.
 
+    With columns ``within``, only pairs that agree in them, which come along.
+
     Meet in the middle: of two fingerprints within 3 bits, one half differs in at most 1 bit, half of the radius. Each
     fingerprint emits all variants of each half within that distance (2 x 33 rows) and meets the fingerprints whose half
     is exactly the variant. (Variants of all 64 bits at once would need distance 2 on one side: 2,081 rows each, 31 times
@@ -137,51 +139,43 @@ def links(prints: DataFrame, radius: int = 3, hot: int = HOT_KEY) -> DataFrame:
     """
     if not 0 <= radius <= 3:
         raise ValueError("radius must be 0 to 3")
-    found: list[DataFrame] = []
+    keys = list(within)
+    on = [*keys, "half", "value"]
     near = lambda a, b: _popcount(a.bitwiseXOR(b)) <= radius
-
-    exact = _halves(prints.select("fp"), [], 0, 64, False)
-    balls = _halves(prints.select("fp"), [], 0, 64, True)
-    crowd = exact.groupBy("half", "value").count().where(F.col("count") > hot).select("half", "value")
-    crowd = materialize(crowd, "hot-keys")
+    exact = _halves(prints, keys, 0, 64, False)
+    balls = _halves(prints, keys, 0, 64, True)
+    crowd = materialize(exact.groupBy(*on).count().where(F.col("count") > hot).select(*on), "hot-keys")
     any_hot = bool(crowd.head(1))
     e0, b0 = exact, balls
     if any_hot:
-        e0 = exact.join(crowd, ["half", "value"], "left_anti")
-        b0 = balls.join(crowd, ["half", "value"], "left_anti")
+        e0 = exact.join(crowd, on, "left_anti")
+        b0 = balls.join(crowd, on, "left_anti")
     once = (F.col("half") == 0) | (_popcount(_part(F.col("a").bitwiseXOR(F.col("b")), 32, 32)) > 1)
-    met = b0.withColumnRenamed("fp", "a").join(e0.withColumnRenamed("fp", "b"), ["half", "value"])
-    found.append(met.where((F.col("a") > F.col("b")) & near(F.col("a"), F.col("b")) & once).select("a", "b"))
+    met = b0.withColumnRenamed("fp", "a").join(e0.withColumnRenamed("fp", "b"), on)
+    out = met.where((F.col("a") > F.col("b")) & near(F.col("a"), F.col("b")) & once).select(*keys, "a", "b")
     if any_hot:
         for side, low in ((0, 0), (1, 32)):  # a key that fixes the upper half leaves the lower 32 bits open
-            here = crowd.where(F.col("half") == side).select("value")
-            e1 = exact.where(F.col("half") == side).join(here, "value", "left_semi").select(F.col("value").alias("k"), "fp")
-            b1 = balls.where(F.col("half") == side).join(here, "value", "left_semi").select(F.col("value").alias("k"), "fp")
-            found += _hot(e1, b1, low, side, near, hot)
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    # keys of split groups can find a pair more than once
-    out = out.distinct() if any_hot else out
-    return out.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-
-
-def _hot(exact: DataFrame, balls: DataFrame, low: int, side: int, near, hot: int) -> list[DataFrame]:
-    """Pairs within crowded keys ``k``: both parts of the open 32 bits, by 16-bit halves, then by 8-bit ones."""
-    found = []
-    e = _halves(exact, ["k"], low, 32, False)
-    b = _halves(balls, ["k"], low, 32, True)
-    crowd = e.groupBy("k", "half", "value").count().where(F.col("count") > hot).select("k", "half", "value")
-    on = ["k", "half", "value"]
+            here = crowd.where(F.col("half") == side).select(*keys, "value")
+            pick = lambda x: x.where(F.col("half") == side).join(here, [*keys, "value"], "left_semi").select(*keys, F.col("value").alias("k"), "fp")  # noqa: B023, E731
+            for found in _hot(pick(exact), pick(balls), [*keys, "k"], low, near, hot):
+                out = out.unionByName(found.select(*keys, "a", "b"))
+        out = out.distinct()  # keys of split groups can find a pair more than once
+    return out.select(*keys, F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def _hot(exact: DataFrame, balls: DataFrame, keys: list[str], low: int, near, hot: int) -> list[DataFrame]:
+    """Pairs within crowded ``keys``: both parts of the open 32 bits, by 16-bit halves, then by 8-bit ones."""
+    e, b = _halves(exact, keys, low, 32, False), _halves(balls, keys, low, 32, True)
+    on = [*keys, "half", "value"]
+    crowd = e.groupBy(*on).count().where(F.col("count") > hot).select(*on)
     met = b.join(crowd, on, "left_anti").withColumnRenamed("fp", "a").join(e.join(crowd, on, "left_anti").withColumnRenamed("fp", "b"), on)
-    found.append(met.where((F.col("a") > F.col("b")) & near(F.col("a"), F.col("b"))).select("a", "b"))
+    found = [met.where((F.col("a") > F.col("b")) & near(F.col("a"), F.col("b")))]
     for half, at in ((0, low), (1, low + 16)):
-        here = crowd.where(F.col("half") == half).select("k", "value")
-        pick = lambda x, half=half: x.where(F.col("half") == half).join(here, ["k", "value"], "left_semi").select("k", F.col("value").alias("k2"), "fp")  # noqa: B023, E731
-        e2 = _halves(pick(e), ["k", "k2"], at, 16, False)
-        b2 = _halves(pick(b), ["k", "k2"], at, 16, True)
-        met2 = b2.withColumnRenamed("fp", "a").join(e2.withColumnRenamed("fp", "b"), ["k", "k2", "half", "value"])
-        found.append(met2.where((F.col("a") > F.col("b")) & near(F.col("a"), F.col("b"))).select("a", "b"))
+        here = crowd.where(F.col("half") == half).select(*keys, "value")
+        pick = lambda x: x.where(F.col("half") == half).join(here, [*keys, "value"], "left_semi").select(*keys, F.col("value").alias("k2"), "fp")  # noqa: B023, E731
+        e2, b2 = _halves(pick(e), [*keys, "k2"], at, 16, False), _halves(pick(b), [*keys, "k2"], at, 16, True)
+        met = b2.withColumnRenamed("fp", "a").join(e2.withColumnRenamed("fp", "b"), [*keys, "k2", "half", "value"])
+        found.append(met.where((F.col("a") > F.col("b")) & near(F.col("a"), F.col("b"))))
     return found
 
 
@@ -196,15 +190,18 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
     """
     made = materialize(with_fingerprints(docs, key, text, width, prints), "prints")
     nodes = materialize(made.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
-    edges = links(nodes.select("fp"), radius)
-    for k in range(1, prints):
-        # a further fingerprint stands for the least first one that it occurs with, and connects the others with it
-        pairs = made.select("fp", F.col(f"fp{k}").alias("other")).distinct()
-        stands = materialize(pairs.groupBy("other").agg(F.min("fp").alias("node")), "stands")
-        edges = edges.unionByName(pairs.join(stands, "other").where("fp <> node").select(F.col("fp").alias("src"), F.col("node").alias("dst")))
-        found = links(stands.select(F.col("other").alias("fp")), radius)
-        found = found.join(stands.select(F.col("other").alias("src"), F.col("node").alias("a")), "src").join(stands.select(F.col("other").alias("dst"), F.col("node").alias("b")), "dst")
-        edges = edges.unionByName(found.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    if prints == 1:
+        edges = links(nodes.select("fp"), radius)
+    else:
+        # a fingerprint stands for the least first one that it occurs with, and connects the others with it
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("print"), F.col(f"fp{k}" if k else "fp").alias("other")) for k in range(prints)]))
+        pairs = made.select("fp", each.alias("x")).select("fp", "x.print", "x.other").distinct()
+        stands = materialize(pairs.groupBy("print", "other").agg(F.min("fp").alias("node")), "stands")
+        same = pairs.join(stands, ["print", "other"]).where("fp <> node").select(F.col("fp").alias("src"), F.col("node").alias("dst"))
+        found = links(stands.select("print", F.col("other").alias("fp")), radius, within=("print",))
+        found = found.join(stands.select("print", F.col("other").alias("src"), F.col("node").alias("a")), ["print", "src"])
+        found = found.join(stands.select("print", F.col("other").alias("dst"), F.col("node").alias("b")), ["print", "dst"])
+        edges = same.unionByName(found.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     graph = connected_components(edges)
     # only fingerprints with links are in the graph; the rest are their own component
     placed = nodes.join(graph.select(F.col("node").alias("fp"), "component"), "fp", "left")
