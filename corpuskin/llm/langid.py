@@ -207,8 +207,9 @@ def with_language(docs: DataFrame, model: LangModel, text: str = "text") -> Data
     """``docs`` with lang_pred, lang_score (0 to 1) and lang_rejected.
 
     A null text, or one without a letter, is ``und`` with score 0 and is rejected; so is a text whose best score is below
-    the model's least. All columns of ``docs`` stay.
+    the model's least. All other columns of ``docs`` stay; ones of these three names are replaced.
     """
+    docs = docs.drop("lang_pred", "lang_score", "lang_rejected")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages, whatever the input
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("lang_pred string, lang_score double, lang_rejected boolean").fields])
 
@@ -250,6 +251,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_known_languages(docs: DataFrame, model: LangModel, text: str = "text") -> DataFrame:
-    """``docs`` without the texts that the model rejects."""
-    found = with_language(docs, model, text)
-    return found.where(~F.col("lang_rejected")).select(*docs.columns)
+    """``docs`` without the texts that the model rejects; its columns stay as they are, whatever their names."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        score = scorer(model)
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(text))
+            got = [score(texts[i].as_py()) for i in range(b.num_rows)]
+            yield b.filter(pa.array([p is not None and p.max() >= model.least for p in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

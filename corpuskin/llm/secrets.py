@@ -16,7 +16,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskin.llm.textcols import prefix_sums
+from corpuskin.llm.textcols import fresh, prefix_sums
 
 #: More alternatives than this for one stretch of literals give up on that stretch (it then demands nothing).
 _MOST_STRINGS = 64
@@ -157,15 +157,20 @@ def _named(rank: int, kind: str):
 _EMPTY = "array<struct<start:bigint,end:bigint>>"
 
 
-def scan_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs``' rows with ``secret_spans``: array<struct<start, rank, kind, end>> by start, then the rules' order.
+def scan_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc_id", text: str = "text", out: str = "secret_spans") -> DataFrame:
+    """``docs``' rows with ``out``: array<struct<start, rank, kind, end>> by start, then the rules' order.
 
-    A null text has no spans. Repeated keys and rows are scanned row by row. All columns of ``docs`` stay; names that
-    begin with an underscore are used on the way and must not be among them.
+    A null text has no spans. Repeated keys and rows are scanned row by row. All columns of ``docs`` stay, whatever their
+    names; one that is named ``out`` is replaced.
     """
+    docs = docs.drop(out)
     found = candidates(docs, rules, key, text)
-    rows = docs if found is None else docs.join(found, docs[key].eqNullSafe(found["_key"]), "left")
-    chosen = F.coalesce(F.col("_rules"), F.array().cast("array<string>")) if found is not None else F.array().cast("array<string>")
+    k, r = fresh(docs, "_key"), fresh(docs, "_rules")
+    rows, chosen = docs, F.array().cast("array<string>")
+    if found is not None:
+        found = found.select(F.col("_key").alias(k), F.col("_rules").alias(r))
+        rows = docs.join(found, docs[key].eqNullSafe(found[k]), "left")
+        chosen = F.coalesce(F.col(r), chosen)
     parts = []
     for rank, rule in enumerate(rules):
         spans = find_spans(F.col(text), rule)
@@ -173,7 +178,7 @@ def scan_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc
             spans = F.when(F.array_contains(chosen, rule.kind), spans)
         spans = F.coalesce(spans, F.array().cast(_EMPTY))
         parts.append(F.transform(spans, _named(rank, rule.kind)))
-    return rows.withColumn("secret_spans", F.array_sort(F.concat(*parts))).drop("_key", "_rules")
+    return rows.withColumn(out, F.array_sort(F.concat(*parts))).drop(k, r)
 
 
 def span_text(spans: Column) -> Column:
@@ -185,8 +190,9 @@ def mask_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc
 
     ``length`` names a column, if there is one, that holds the text's length in characters and follows the text.
     """
-    scanned = scan_secrets(docs, rules, key, text)
-    spans = F.col("secret_spans")
+    held = fresh(docs, "_spans")
+    scanned = scan_secrets(docs, rules, key, text, held)
+    spans = F.col(held)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
@@ -195,7 +201,7 @@ def mask_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc
         return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(fresh, F.concat(a["out"], before, F.lit(mask))).otherwise(a["out"]).alias("out"))
 
     masked = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(F.col(text), (a["at"] + 1).cast("int"), F.lit(2147483647))))
-    changed = scanned.withColumn(text, F.when(F.size(spans) > 0, masked).otherwise(F.col(text))).drop("secret_spans")
+    changed = scanned.withColumn(text, F.when(F.size(spans) > 0, masked).otherwise(F.col(text))).drop(held)
     if length is not None and length in docs.columns:
         changed = changed.withColumn(length, F.char_length(text).cast(docs.schema[length].dataType))
     return changed

@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuskin.llm.textcols import fresh
 from corpuskin.plans.shared import connected_components, materialize
 
 #: Texts are taken in pieces of about so many bytes, cut at white space, so that a long one needs no more memory than its own size.
@@ -230,6 +231,7 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     row = F.xxhash64(F.col(key), F.col(text))
     named = docs.select(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), row.alias("r")).alias("_id"), F.col(text).alias("text"))
     groups = near_duplicate_groups(named, "_id", "text", width, radius, prints)
+    at = fresh(docs, "_row")
     keep = groups.where("_id = component_id").select(F.col("_id.r").alias("_keep")).distinct()
-    numbered = docs.withColumn("_row", row)
-    return numbered.join(keep, numbered["_row"] == keep["_keep"], "left_semi").dropDuplicates(["_row"]).drop("_row")
+    numbered = docs.withColumn(at, row)
+    return numbered.join(keep, numbered[at] == keep["_keep"], "left_semi").dropDuplicates([at]).drop(at)

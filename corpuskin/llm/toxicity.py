@@ -172,7 +172,8 @@ def _calibrate(scored: list[tuple[float, int]], steps: int = 300) -> tuple[float
 
 
 def with_toxicity(docs: DataFrame, model: ToxicModel, text: str = "text") -> DataFrame:
-    """``docs`` with toxic_score (0 to 1) from all distinct terms of the whole text. Null and empty texts have no terms and get the model's score for none."""
+    """``docs`` with toxic_score (0 to 1) from all distinct terms of the whole text. Null and empty texts have no terms and get the model's score for none. A column of that name is replaced."""
+    docs = docs.drop("toxic_score")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most TERMS rows, whatever the input
     schema = T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType())])
 

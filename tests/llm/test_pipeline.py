@@ -55,3 +55,18 @@ def test_empty_documents(spark, tmp_path):
     for t in ("documents", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_clashing_columns(spark):
+    """Columns that are named like the operators' own come through the stages unchanged."""
+    from corpuskin.llm import langid, secrets, simhash, toxicity
+
+    own = ["_key", "_rules", "_row", "_keep", "_spans", "_id", "fp", "lang_pred", "lang_score", "lang_rejected", "toxic_score", "secret_spans", "component_id", "text2"]
+    df = spark.createDataFrame([(1, "token=abcdef1 some words here", "en", *own), (2, None, None, *own)], "doc_id long, text string, lang string, " + ", ".join(f"{c} string" for c in own))
+    model = langid.fit_language_model(spark.read.parquet(f"{SF}/documents.parquet"))
+    for got in (secrets.mask_secrets(df), simhash.drop_near_duplicates(df), langid.keep_known_languages(df, model)):
+        assert got.columns == df.columns
+        assert got.collect() and all(r[c] == c for r in got.collect() for c in own)
+    assert langid.with_language(df, model).count() == secrets.scan_secrets(df).count() == 2
+    blank = toxicity.fit_toxic_model(df.select("doc_id", "text"), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert toxicity.with_toxicity(df, blank).count() == 2
