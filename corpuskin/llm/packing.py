@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 from corpuskin.plans.shared import ranked
 
 CAPACITY = 2048
+#: Shares of the program's solution that rounding tries: a smaller one leaves more pieces to fill gaps with.
+ROUND_PARTS = (1.0, 0.95, 0.85, 0.7)
 #: Sequences of one kind: ((length, times), ...) longest first, and how many of them.
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]
 
@@ -181,19 +183,14 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = 300,
     """Covers the histogram's pieces with sequences, as few as it can.
 
     Multiplicative weights for the covering program: a length weighs the more the less of it is covered; each step adds
-    the configuration of the greatest weight, by as much as its scarcest length allows. Configurations are then taken
-    greedily as whole sequences while pieces last, in the order of their share in the solution, and the rest is packed
-    best fit. The plain best-fit packing is kept instead where it needs no more.
+    the configuration of the greatest weight, by as much as its scarcest length allows. The solution is rounded down to
+    whole sequences at each of ``ROUND_PARTS`` of its scale, what is left is packed best fit, and the fewest sequences win.
     """
     histogram = {int(k): int(n) for k, n in histogram.items() if n}
-    plain = best_fit(histogram, capacity)
-    bound = -(-sum(k * n for k, n in histogram.items()) // capacity)
-    if not histogram or sum(n for _, n in plain) <= bound:
-        return plain
     # full pieces are sequences of their own in any packing
     lengths = np.array(sorted((k for k in histogram if k < capacity), reverse=True))
     if not len(lengths):
-        return plain
+        return best_fit(histogram, capacity)
     counts = np.array([histogram[k] for k in lengths], float)
     covered = np.zeros(len(lengths))
     share: dict[tuple[int, ...], float] = defaultdict(float)
@@ -209,6 +206,11 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = 300,
         share[tuple(times)] += step
     least = float((covered / counts).min())
     scale = 1 / max(least, 1.0, float(np.median(covered / counts)))
+    return min((_rounded(histogram, lengths, counts, share, scale * part, capacity) for part in ROUND_PARTS), key=lambda p: sum(n for _, n in p))
+
+
+def _rounded(histogram: dict[int, int], lengths: np.ndarray, counts: np.ndarray, share: dict, scale: float, capacity: int) -> Plan:
+    """Whole sequences of the solution's full configurations, the most used first, while pieces last; the rest best fit."""
     left = counts.astype(np.int64).copy()
     plan: Counter = Counter()
     for times, x in sorted(share.items(), key=lambda s: (-s[1], s[0])):
@@ -223,8 +225,7 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = 300,
         rest[capacity] = histogram[capacity]
     for content, n in best_fit(rest, capacity):
         plan[content] += n
-    rounded = list(plan.items())
-    return rounded if sum(n for _, n in rounded) < sum(n for _, n in plain) else plain
+    return list(plan.items())
 
 
 def _places(plan: Plan) -> list[tuple[int, int, int, int, int, int]]:
