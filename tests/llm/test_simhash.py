@@ -124,3 +124,34 @@ def test_several_prints(spark):
                     comp[a] = comp[b] = min(comp[a], comp[b])
     assert got == dict(enumerate(comp)) and len(set(comp)) > 8
     assert fps[0][0] == simhash.fingerprint(made[0][1], 5) and len(set(fps[0])) == 3
+
+
+def plain_set(text, width=5):
+    words = text.lower().split()
+    return {" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def similar_pairs(rng, n=150):
+    """Texts of which each two in turn have a Jaccard similarity of five-word shingles just over 0.8."""
+    made = []
+    for _ in range(n):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(250, 450))]
+        a, changed, last = " ".join(w), list(w), w
+        for k in rng.sample(range(len(w)), len(w)):
+            changed[k] = f"v{rng.randrange(10**6)}"
+            x, y = plain_set(a), plain_set(" ".join(changed))
+            if len(x & y) < 0.8 * len(x | y):
+                break
+            last = list(changed)
+        made += [a, " ".join(last)]
+    return made
+
+
+def test_drop_finds_pairs_at_the_threshold(spark):
+    texts = similar_pairs(random.Random(4))
+    sims = [len(plain_set(a) & plain_set(b)) / len(plain_set(a) | plain_set(b)) for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    assert min(sims) >= 0.8 and sum(sims) / len(sims) < 0.82
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept >= set(range(0, len(texts), 2))
+    print("recall at 0.8:", 1 - len(kept & set(range(1, len(texts), 2))) / len(sims))
+    assert len(kept & set(range(1, len(texts), 2))) <= 0.01 * len(sims)
