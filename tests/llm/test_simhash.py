@@ -155,3 +155,37 @@ def test_drop_finds_pairs_at_the_threshold(spark):
     assert kept >= set(range(0, len(texts), 2))
     print("recall at 0.8:", 1 - len(kept & set(range(1, len(texts), 2))) / len(sims))
     assert len(kept & set(range(1, len(texts), 2))) <= 0.01 * len(sims)
+
+
+def test_drop_needs_more_than_a_repeated_line(spark):
+    """A line repeated a hundred times decides the fingerprints of texts that share nothing else."""
+    rng = random.Random(8)
+    line = " ".join(f"line{i}" for i in range(11)) + "\n"
+    own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(1000)) for _ in range(3)]
+    made = list(enumerate(line * 100 + t for t in own))
+    a, b = (simhash.fingerprints(t, 5, 4) for _, t in made[:2])
+    assert any((x ^ y).bit_count() <= 3 for x, y in zip(a, b, strict=True))
+    kept = simhash.drop_near_duplicates(spark.createDataFrame([*made, (3, made[0][1] + " end")], "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in kept} == {0, 1, 2}
+
+
+def test_drop_links_by_brute_force(spark):
+    """Chains of edits: the components of all pairs at 0.8 or more, also where a band's least node is none of the two."""
+    rng = random.Random(12)
+    made = []
+    for _ in range(6):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        for _ in range(15):
+            v = list(w)
+            for k in rng.sample(range(len(v)), rng.randint(0, 8)):
+                v[k] = f"v{rng.randrange(10**6)}"
+            made.append(" ".join(v))
+    sets = [plain_set(t) for t in made]
+    comp = list(range(len(made)))
+    for a in range(len(made)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                lo, hi = sorted((comp[a], comp[b]))
+                comp = [lo if c == hi else c for c in comp]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"), "doc_id").collect()}
+    assert got == dict(enumerate(comp)) and 6 < len(set(comp)) < len(made)
