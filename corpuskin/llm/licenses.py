@@ -1,4 +1,4 @@
-"""License scanning: an exact set-similarity (containment) join of license templates with the lines of texts.
+"""License scanning: an exact set-similarity (containment) join of license templates with the lines of texts, and with runs of words over line ends.
 
 DataFrame functions only. A template's tokens are ordered by their frequency over all text blocks of the input, rarest
 first; a block that contains the required share of them must contain one of the first few (the prefix). Blocks are joined
@@ -73,9 +73,10 @@ def find_licenses(
 ) -> DataFrame:
     """One row per input row: ``key``, n_words, n_base, first_word, last_word, base_labels, labels, score, matches.
 
-    Text blocks are lines. A block matches a template if it contains at least ``threshold`` of its distinct words. A null
+    Text blocks are lines, and for each template all runs over line ends of as many words as it has, so that wrapped notices
+    are found. A block matches a template if it contains at least ``threshold`` of its distinct words. A null
     text is empty: no words, no places. ``score`` is 1 with a base phrase, else the best containment found (0 if none).
-    ``matches`` lists (line, label, containment), sorted. Rows of equal key and text get the same answer, one row each.
+    ``matches`` lists (line, label, containment), sorted, a run under the line that it starts in. Rows of equal key and text get the same answer, one row each.
     """
     spark = docs.sparkSession
     tokens = [template_tokens(t) for _, t in templates]
@@ -88,8 +89,29 @@ def find_licenses(
         words = F.array_distinct(F.split(F.lower(line), SEPARATORS, -1))
         return F.struct(i.alias("line"), F.array_intersect(words, known).alias("tokens"), F.size(words).alias("n"))
 
+    lines = F.split("_t", "\n", -1)
+    has = lambda words, t: F.array_intersect(words, F.array(*[F.lit(w) for w in t]))
+    # (place, line, word) of all template words, of texts of several lines that have enough of a template anywhere
+    any_words = F.array_intersect(F.split(F.lower(F.col("_t")), SEPARATORS, -1), known)
+    enough = F.exists(F.array(*[F.size(has(F.col("_w"), t)) >= need for t, need in zip(tokens, least, strict=True)]), lambda x: x)
+    numbered = F.flatten(F.transform(lines, lambda x, i: F.transform(F.filter(F.split(F.lower(x), SEPARATORS, -1), lambda w: w != ""), lambda w: F.struct(i.alias("line"), w.alias("w")))))
+    placed = F.filter(F.transform(numbered, lambda x, at: F.struct(at.alias("at"), x["line"].alias("line"), x["w"].alias("w"))), lambda x: F.array_contains(known, x["w"]))
+
+    def runs(number: int) -> Column:
+        """Of each run over a line end that starts with a word of the template and holds enough of them: (line, only, tokens, n)."""
+        length = len([w for w in "".join(c if c.isalnum() else " " for c in templates[number][1]).split() if w])
+        mine = F.filter("_placed", lambda x: x["w"].isin(tokens[number]))
+
+        def run(x: Column, k: Column) -> Column:
+            inside = F.filter(F.slice(mine, k + 1, length), lambda y: y["at"] < x["at"] + length)
+            there = F.array_distinct(F.transform(inside, lambda y: y["w"]))
+            over = F.array_max(F.transform(inside, lambda y: y["line"])) > x["line"]
+            return F.when(over & (F.size(there) >= least[number]), F.struct(x["line"].alias("line"), F.lit(number).alias("only"), there.alias("tokens"), F.lit(length).alias("n")))
+
+        return F.when(F.size(has(F.transform("_placed", lambda x: x["w"]), tokens[number])) >= least[number], F.array_compact(F.transform(mine, run)))
+
     body = F.coalesce(F.col(text), F.lit(""))
-    split = docs.select(F.col(key).alias(key), F.xxhash64(F.col(key), body).alias("_k"), body.alias("_t"))
+    split = docs.select(F.col(key).alias(key), F.xxhash64(F.col(key), body).alias("_k"), body.alias("_t")).withColumn("_w", any_words)
     words = _words(F.col("_t"))
     mentions = F.contains(F.lower(F.col("_t")), F.lit(_PHRASE_HEAD))
     none = F.array().cast("array<bigint>")
@@ -98,11 +120,18 @@ def find_licenses(
         "_k",
         F.size(words).cast("long").alias("n_words"),
         *[F.when(mentions, _places(_words(_fold(F.col("_t"))), p)).otherwise(none).alias(f"_p{i}") for i, (p, _) in enumerate(PHRASES)],
-        F.filter(F.transform(F.split("_t", "\n", -1), block), lambda b: F.size(b["tokens"]) >= smallest).alias("_blocks"),
+        F.filter(F.transform(lines, block), lambda b: F.size(b["tokens"]) >= smallest).alias("_blocks"),
+        F.when(F.contains("_t", F.lit("\n")) & enough, placed).alias("_placed"),
     )
     rows = materialize(rows, "licenses")  # no texts: counts, places, and the template words of blocks that have enough
     # equal (key, text) rows share their blocks, so each is joined once
     blocks = rows.select("_k", F.explode("_blocks").alias("b")).select("_k", "b.line", "b.tokens", "b.n").dropDuplicates(["_k", "line"])
+    wrapped = rows.where("_placed IS NOT NULL").select("_k", F.explode(F.array(*[F.coalesce(runs(i), F.array()) for i in range(len(tokens))])).alias("r"))
+    wrapped = wrapped.select("_k", F.explode("r").alias("r")).select("_k", "r.*")
+    # of the runs of a template that start in a line, the one with the most of its words
+    wrapped = wrapped.groupBy("_k", "line", "only").agg(F.max_by("tokens", F.size("tokens")).alias("tokens"), F.first("n").alias("n"))
+    blocks = blocks.withColumn("only", F.lit(-1)).unionByName(wrapped)
+    blocks = materialize(blocks, "blocks")
 
     seen = blocks.select(F.explode("tokens").alias("w")).groupBy("w").count().collect()  # a row per template word at most
     often = {r["w"]: r["count"] for r in seen}
@@ -118,11 +147,12 @@ def find_licenses(
     order = F.create_map(*[x for w, i in rank.items() for x in (F.lit(w), F.lit(i))])
     arranged = blocks.withColumn("tokens", F.transform(F.array_sort(F.transform("tokens", lambda w: F.struct(order[w].alias("r"), w.alias("w")))), lambda x: x["w"]))
     hits = (
-        arranged.select("_k", "line", "tokens", "n", F.posexplode("tokens").alias("at", "w"))
+        arranged.select("_k", "line", "only", "tokens", "n", F.posexplode("tokens").alias("at", "w"))
         .join(F.broadcast(prefixes), "w")  # as many rows as the templates' text has words
+        .where("only IN (-1, template)")
         .where("n >= need")  # length
         .where("1 + least(size - pos - 1, size(tokens) - at - 1) >= need or pos > 0 and at > 0")  # position, at the first common word
-        .dropDuplicates(["_k", "line", "template"])
+        .dropDuplicates(["_k", "line", "only", "template"])
         .withColumn("share", F.size(F.array_intersect("tokens", "all_tokens")) / F.col("size"))
         .where(F.size(F.array_intersect("tokens", "all_tokens")) >= F.col("need"))
     )

@@ -60,3 +60,23 @@ def test_matches_name_lines(spark):
 
 def test_empty(spark):
     assert licenses.find_licenses(cases.none(spark)).collect() == []
+
+
+def test_wrapped_notices(spark):
+    """Each template wrapped at 40 to 80 columns, in a comment among other words, has its label; one cut apart by other words hasn't."""
+    import textwrap
+
+    made, want = [], {}
+    for n, (label, notice) in enumerate(licenses.TEMPLATES):
+        for width in (40, 70, 80):
+            lead = "other words " * 5
+            text = "\n".join(" * " + x for x in textwrap.wrap(lead + notice + " and so on", width))
+            made.append((len(made), text))
+            want[len(made) - 1] = label
+        far = notice.replace(" ", "\n" + "far apart " * 20)
+        made.append((len(made), far))
+    got = {r["doc_id"]: r for r in licenses.find_licenses(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    for i, label in want.items():
+        assert label in got[i]["labels"].split(",") and got[i]["score"] == 1.0, made[i]
+        assert any(m["label"] == label and m["share"] == 1.0 for m in got[i]["matches"]), made[i]
+    assert all(not got[i]["matches"] for i in got if i not in want)
