@@ -25,6 +25,10 @@ from corpuskin.plans.shared import ranked
 CAPACITY = 2048
 #: Shares of the program's solution that rounding tries: a smaller one leaves more pieces to fill gaps with.
 ROUND_PARTS = (1.0, 0.95, 0.85, 0.7)
+#: Neighbouring lengths are pooled to so many for the program, which takes the longest of a pool for all of it.
+POOLS = 160
+#: The program is solved once its cover takes at most this share more than the least that its prices prove.
+TOLERANCE = 0.01
 #: Sequences of one kind: ((length, times), ...) longest first, and how many of them.
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]
 
@@ -114,8 +118,11 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capac
     return named.mapInArrow(run, f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
 
 
-def best_fit(histogram: dict[int, int], capacity: int) -> Plan:
-    """Best fit, longest first, over a histogram: sequences of equal content are one entry, however many they are."""
+def best_fit(histogram: dict[int, int], capacity: int, begun: Plan | None = None) -> Plan:
+    """Best fit, longest first, over a histogram: sequences of equal content are one entry, however many they are.
+
+    Sequences ``begun`` with some content are filled up and returned with the others.
+    """
     open_: dict[int, Counter] = defaultdict(Counter)  # space left -> contents -> how many
     spaces: list[int] = []
     full: Counter = Counter()
@@ -128,6 +135,8 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Plan:
             bisect.insort(spaces, space)
         open_[space][content] += n
 
+    for content, n in begun or []:
+        put(content, capacity - sum(length * times for length, times in content), n)
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:
@@ -179,53 +188,109 @@ def _price(lengths: np.ndarray, weights: np.ndarray, most: np.ndarray, capacity:
     return np.minimum(times, most)
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = 300, rate: float = 0.3) -> Plan:
+def _pools(histogram: dict[int, int], lengths: list[int]) -> list[list[int]]:
+    """The lengths, longest first, in at most about ``POOLS`` runs of about as many pieces each; each length alone if they are few."""
+    if len(lengths) <= POOLS:
+        return [[k] for k in lengths]
+    most = sum(histogram[k] for k in lengths) / POOLS
+    pools: list[list[int]] = []
+    held = most
+    for k in lengths:
+        if held + histogram[k] > most:
+            pools.append([])
+            held = 0
+        pools[-1].append(k)
+        held += histogram[k]
+    return pools
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = 1200, rate: float = 0.3) -> Plan:
     """Covers the histogram's pieces with sequences, as few as it can.
 
-    Multiplicative weights for the covering program: a length weighs the more the less of it is covered; each step adds
-    the configuration of the greatest weight, by as much as its scarcest length allows. The solution is rounded down to
-    whole sequences at each of ``ROUND_PARTS`` of its scale, what is left is packed best fit, and the fewest sequences win.
+    Multiplicative weights for the covering program: a pool of lengths weighs the more the less of it is covered; each step
+    adds the configuration of the greatest weight, by as much as its scarcest pool allows, until the cover is within
+    ``TOLERANCE`` of the bound of its prices or ``steps`` are done. The solution is scaled to a full cover and rounded to
+    whole sequences at each of ``ROUND_PARTS`` of it; what is left is packed best fit, into the gaps too. The fewest sequences win, those of best
+    fit alone among them.
     """
     histogram = {int(k): int(n) for k, n in histogram.items() if n}
     # full pieces are sequences of their own in any packing
-    lengths = np.array(sorted((k for k in histogram if k < capacity), reverse=True))
-    if not len(lengths):
-        return best_fit(histogram, capacity)
-    counts = np.array([histogram[k] for k in lengths], float)
+    own = sorted((k for k in histogram if k < capacity), reverse=True)
+    plain = best_fit(histogram, capacity)
+    if not own:
+        return plain
+    pools = _pools(histogram, own)
+    lengths = np.array([p[0] for p in pools])
+    counts = np.array([sum(histogram[k] for k in p) for p in pools], float)
     covered = np.zeros(len(lengths))
     share: dict[tuple[int, ...], float] = defaultdict(float)
+    total, bound = 0.0, 0.0
     for _ in range(steps):
         done = covered / counts
         weights = np.exp(-rate * 20 * (done - done.min())) / counts
         # lengths of equal need are worth their length, so that full configurations win among them
         weights = weights / weights.max() + lengths / capacity * 1e-3
-        times = _price(lengths, weights * lengths, counts.astype(np.int64), capacity)
+        whole = _price(lengths, weights * lengths, np.full(len(lengths), capacity), capacity)
+        times = np.minimum(whole, counts.astype(np.int64))
         used = times > 0
         step = float((counts[used] / times[used]).min()) / 20
         covered[used] += step * times[used]
         share[tuple(times)] += step
-    least = float((covered / counts).min())
-    scale = 1 / max(least, 1.0, float(np.median(covered / counts)))
-    return min((_rounded(histogram, lengths, counts, share, scale * part, capacity) for part in ROUND_PARTS), key=lambda p: sum(n for _, n in p))
-
-
-def _rounded(histogram: dict[int, int], lengths: np.ndarray, counts: np.ndarray, share: dict, scale: float, capacity: int) -> Plan:
-    """Whole sequences of the solution's full configurations, the most used first, while pieces last; the rest best fit."""
-    left = counts.astype(np.int64).copy()
-    plan: Counter = Counter()
-    for times, x in sorted(share.items(), key=lambda s: (-s[1], s[0])):
-        t = np.array(times)
-        used = t > 0
-        n = int(min(x * scale, (left[used] // t[used]).min()))
-        if n and int(t @ lengths) >= capacity * 0.99:
-            plan[tuple((int(lengths[i]), int(t[i])) for i in np.nonzero(used)[0])] += n
-            left -= n * t
-    rest = {int(k): int(n) for k, n in zip(lengths, left, strict=True) if n}
-    if capacity in histogram:
-        rest[capacity] = histogram[capacity]
-    for content, n in best_fit(rest, capacity):
-        plan[content] += n
-    return list(plan.items())
+        total += step
+        bound = max(bound, float(counts @ (weights * lengths)) / float(whole @ (weights * lengths)))
+        least = float((covered / counts).min())
+        if least > 0 and total / least <= (1 + TOLERANCE) * bound:
+            break
+    scales = {1 / x for x in (float((covered / counts).min()), float(np.median(covered / counts))) if x > 0}
+    plans = [_rounded(histogram, pools, lengths, share, scale * part, capacity, up) for scale in sorted(scales) for part in ROUND_PARTS for up in (False, True)]
+    return min([*plans, plain], key=lambda p: sum(n for _, n in p))
+
+
+def _rounded(histogram: dict[int, int], pools: list[list[int]], lengths: np.ndarray, share: dict, scale: float, capacity: int, up: bool) -> Plan:
+    """Whole sequences of the solution's full configurations, the most used first, while pieces last; the rest best fit.
+
+    With ``up`` fractions of sequences follow as whole ones, the largest first.
+    """
+    stock = [[[k, histogram[k]] for k in reversed(p)] for p in pools]  # a pool's longest pieces go first
+    left = np.array([sum(n for _, n in s) for s in stock], np.int64)
+    begun: Counter = Counter()
+
+    def take(t: np.ndarray, n: int) -> None:
+        left[:] -= n * t
+        used = np.nonzero(t)[0]
+        while n:
+            # sequences of equal lengths at once, as many as the lengths at hand give
+            m = min(n, *(max(1, stock[i][-1][1] // int(t[i])) for i in used))
+            content: Counter = Counter()
+            for i in used:
+                need = int(t[i]) * m if stock[i][-1][1] >= t[i] else int(t[i])
+                each = m if stock[i][-1][1] >= t[i] else 1
+                while need:
+                    k, have = stock[i][-1]
+                    got = min(have, need)
+                    content[k] += got // each
+                    need -= got
+                    stock[i][-1][1] -= got
+                    if not stock[i][-1][1]:
+                        stock[i].pop()
+            begun[tuple(sorted(content.items(), reverse=True))] += m
+            n -= m
+
+    ordered = sorted(share.items(), key=lambda s: (-s[1], s[0]))
+    full = [(np.array(t), x * scale) for t, x in ordered if int(np.array(t) @ lengths) >= capacity * 0.99]
+    for t, x in full:
+        n = int(min(x, (left[t > 0] // t[t > 0]).min()))
+        if n:
+            take(t, n)
+    if up:
+        for t, _ in sorted(full, key=lambda f: -(f[1] % 1)):
+            if (left >= t).all():
+                take(t, 1)
+    rest = Counter({capacity: histogram.get(capacity, 0)})
+    for s in stock:
+        for k, n in s:
+            rest[k] += n
+    return best_fit({k: n for k, n in rest.items() if n}, capacity, list(begun.items()))
 
 
 def _places(plan: Plan) -> list[tuple[int, int, int, int, int, int]]:

@@ -112,3 +112,11 @@ def test_same_ids(tokenizer):
 
 def test_empty(spark):
     assert packing.pack(cases.none(spark)).collect() == []
+
+
+def test_solver_takes_rare_lengths():
+    """Lengths around a third of the sequence, few pieces of each: configurations of three fill what best fit can't."""
+    for h in ({k: 3 for k in range(520, 845)}, {k: 1 for k in range(500, 860)}):
+        plan = packing.solve(h)
+        check_plan(h, plan, 2048)
+        assert sum(n for _, n in plan) < 0.97 * sum(n for _, n in packing.best_fit(h, 2048))
