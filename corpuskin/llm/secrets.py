@@ -16,7 +16,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskin.llm.textcols import fresh, prefix_sums
+from corpuskin.llm.textcols import fresh, let, prefix_sums
 
 #: More alternatives than this for one stretch of literals give up on that stretch (it then demands nothing).
 _MOST_STRINGS = 64
@@ -137,24 +137,42 @@ def candidates(docs: DataFrame, rules: Sequence[Rule], key: str = "doc_id", text
     return met.groupBy("_key").agg(F.collect_set("_kind").alias("_rules"))
 
 
-def find_spans(text: Column, rule: Rule) -> Column:
-    """array<struct<start, end>> (long, code points, end exclusive) of the rule's spans in a text."""
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    checked = found if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    sizes = F.transform(found, lambda m: F.char_length(m).cast("long"))
-    gaps = F.transform(F.split(text, rule.pattern, -1), lambda g: F.char_length(g).cast("long"))
-    # the i-th match begins after i matches and i + 1 gaps
-    begun = F.zip_with(prefix_sums(sizes), F.slice(F.zip_with(prefix_sums(gaps), gaps, lambda a, b: a + b), F.lit(1), F.size(found)), lambda a, b: a + b)
-    spans = F.zip_with(F.zip_with(begun, sizes, lambda b, s: F.struct(b.alias("start"), (b + s).alias("end"))), checked, lambda x, c: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.char_length(c).alias("n")))
-    kept = F.filter(spans, lambda x: x["n"] >= rule.least)
-    return F.when(F.size(found) > 0, F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+def rule_table(rules: Sequence[Rule]) -> Column:
+    """The rules as an array of structs: a constant."""
+    one = lambda n, r: {"rank": n, "kind": r.kind, "pattern": r.pattern, "group": r.group, "least": r.least, "full": trigram_clauses(r.pattern) is None}
+    return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in one(n, r).items()]) for n, r in enumerate(rules)])
 
 
-def _named(rank: int, kind: str):
-    return lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["end"].alias("end"))
+def find_spans(text: Column, rule: Column) -> Column:
+    """array<struct<start, rank, kind, end>> (long, code points, end exclusive) of a rule's spans in a text.
 
+    ``rule`` is an item of :func:`rule_table`. A text is searched once if nothing matches; else once more for the group and
+    once for what lies between the matches. What is used more than once is bound first, as an expression is computed wherever it stands.
+    """
+    lengths = lambda strings: F.transform(strings, lambda m: F.char_length(m).cast("long"))
+    search = lambda group: F.regexp_extract_all(text, rule["pattern"], group)
+
+    def located(found: Column) -> Column:
+        parts = F.struct(
+            lengths(found).alias("sizes"),
+            lengths(F.split(text, rule["pattern"], -1)).alias("gaps"),
+            lengths(F.when(rule["group"] == 0, found).otherwise(search(rule["group"]))).alias("checked"),
+        )
+        return F.when(F.size(found) > 0, let(parts, placed))
+
+    def placed(p: Column) -> Column:
+        # the i-th match begins after i matches and i + 1 gaps
+        after = F.zip_with(prefix_sums(p["gaps"]), p["gaps"], lambda a, b: a + b)
+        begun = F.zip_with(prefix_sums(p["sizes"]), F.slice(after, F.lit(1), F.size(p["sizes"])), lambda a, b: a + b)
+        ends = F.zip_with(begun, p["sizes"], lambda b, n: F.struct(b.alias("start"), (b + n).alias("end")))
+        spans = F.zip_with(ends, p["checked"], lambda x, n: F.struct(x["start"].alias("start"), rule["rank"].alias("rank"), rule["kind"].alias("kind"), x["end"].alias("end"), n.alias("n")))
+        kept = F.filter(spans, lambda x: x["n"] >= rule["least"])
+        return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["kind"].alias("kind"), x["end"].alias("end")))
 
-_EMPTY = "array<struct<start:bigint,end:bigint>>"
+    return F.coalesce(let(search(F.lit(0)), located), F.array().cast(_SPANS))
+
+
+_SPANS = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
 
 
 def scan_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc_id", text: str = "text", out: str = "secret_spans") -> DataFrame:
@@ -171,14 +189,10 @@ def scan_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc
         found = found.select(F.col("_key").alias(k), F.col("_rules").alias(r))
         rows = docs.join(found, docs[key].eqNullSafe(found[k]), "left")
         chosen = F.coalesce(F.col(r), chosen)
-    parts = []
-    for rank, rule in enumerate(rules):
-        spans = find_spans(F.col(text), rule)
-        if trigram_clauses(rule.pattern) is not None:
-            spans = F.when(F.array_contains(chosen, rule.kind), spans)
-        spans = F.coalesce(spans, F.array().cast(_EMPTY))
-        parts.append(F.transform(spans, _named(rank, rule.kind)))
-    return rows.withColumn(out, F.array_sort(F.concat(*parts))).drop(k, r)
+    # one expression for all rules, so that the plan's size doesn't grow with them
+    mine = F.filter(rule_table(rules), lambda x: x["full"] | F.array_contains(chosen, x["kind"]))
+    spans = F.array_sort(F.flatten(F.transform(mine, lambda x: find_spans(F.col(text), x))))
+    return rows.withColumn(out, F.when(F.col(text).isNotNull(), spans).otherwise(F.array().cast(_SPANS))).drop(k, r)
 
 
 def span_text(spans: Column) -> Column:
@@ -193,15 +207,26 @@ def mask_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc
     held = fresh(docs, "_spans")
     scanned = scan_secrets(docs, rules, key, text, held)
     spans = F.col(held)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        fresh = x["start"] >= a["at"]
-        before = F.substring(F.col(text), (a["at"] + 1).cast("int"), F.greatest(F.lit(0).cast("long"), x["start"] - a["at"]).cast("int"))
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(fresh, F.concat(a["out"], before, F.lit(mask))).otherwise(a["out"]).alias("out"))
 
-    masked = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(F.col(text), (a["at"] + 1).cast("int"), F.lit(2147483647))))
-    changed = scanned.withColumn(text, F.when(F.size(spans) > 0, masked).otherwise(F.col(text))).drop(held)
+    def apart(done: Column, x: Column) -> Column:
+        """Spans that overlap become one."""
+        last = F.try_element_at(done, F.lit(-1))
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        more = F.struct(x["start"].alias("start"), x["end"].alias("end"))
+        over = F.coalesce(x["start"] < last["end"], F.lit(False))
+        return F.when(over, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(more)))
+
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    # four bytes a character, so that a place in the text is found without reading what comes before it
+    wide = F.struct(F.encode(F.col(text), "UTF-32").alias("text"), F.aggregate(spans, none, apart).alias("cuts"))
+
+    def cut(w: Column) -> Column:
+        piece = lambda start, end: F.decode(F.substring(w["text"], (start * 4 + 1).cast("int"), ((end - start) * 4).cast("int")), "UTF-32")
+        starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(w["cuts"], lambda c: c["end"]))
+        ends = F.concat(F.transform(w["cuts"], lambda c: c["start"]), F.array((F.length(w["text"]) / 4).cast("long")))
+        return F.array_join(F.zip_with(starts, ends, piece), mask)
+
+    changed = scanned.withColumn(text, F.when(F.size(spans) > 0, let(wide, cut)).otherwise(F.col(text))).drop(held)
     if length is not None and length in docs.columns:
         changed = changed.withColumn(length, F.char_length(text).cast(docs.schema[length].dataType))
     return changed

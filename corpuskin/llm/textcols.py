@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,15 +18,24 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def prefix_sums(values: Column) -> Column:
     """Exclusive prefix sums of an array of numbers, in about n times sqrt(n) steps, so that thousands of matches in one text stay cheap."""
-    n = F.size(values)
-    chunk = F.greatest(F.lit(1), F.ceil(F.sqrt(n.cast("double"))).cast("int"))
     add = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
-    starts = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).otherwise(F.array().cast("array<int>"))
-    chunks = F.transform(starts, lambda j: add(F.slice(values, j * chunk + 1, chunk)))
-    bases = F.transform(starts, lambda j: add(F.slice(chunks, F.lit(1), j)))
-    return F.transform(
-        values,
-        lambda _, i: bases[F.floor(i / chunk).cast("int")] + add(F.slice(values, F.floor(i / chunk).cast("int") * chunk + 1, i % chunk)),
-    )
+
+    def sums(s: Column) -> Column:
+        v, chunk = s["v"], s["chunk"]
+        n = F.size(v)
+        starts = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).otherwise(F.array().cast("array<int>"))
+        totals = F.transform(starts, lambda j: add(F.slice(v, j * chunk + 1, chunk)))
+        bases = lambda t: F.transform(t, lambda _, j: add(F.slice(t, F.lit(1), j)))
+        nth = lambda i: F.floor(i / chunk).cast("int")
+        each = lambda b: F.transform(v, lambda _, i: b[nth(i)] + add(F.slice(v, nth(i) * chunk + 1, i % chunk)))
+        return let(totals, lambda t: let(bases(t), each))
+
+    chunk = lambda v: F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v).cast("double"))).cast("int"))
+    return let(values, lambda v: let(F.struct(v.alias("v"), chunk(v).alias("chunk")), sums))

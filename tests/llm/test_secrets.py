@@ -67,3 +67,24 @@ def test_rule_without_trigrams():
     assert trigram_clauses(r"[0-9]+") is None
     assert trigram_clauses(r"ab|cdef") is None
     assert trigram_clauses(r"abc(d|e)") == [frozenset({"abc", "bcd"}), frozenset({"abc", "bce"})]
+
+
+def test_mask_brute_force(spark):
+    """Masked texts against a plain loop: overlaps, many matches, characters beyond the first plane, a text of several MB."""
+    long = "é😀 token=abcdef12 filler words " * 60000
+    made = [*((r[0], r[1]) for r in cases.rows()), *enumerate([*MANY, "😀token=abcdef😀AKIA" + "Z" * 20 + "é", "token=" + "a" * 30 + "token=bbbbbbbb"], 1000), (3000, long)]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+
+    def masked(text):
+        spans = []
+        for r in RULES:
+            spans += [(m.start(), m.end()) for m in re.finditer(r.pattern, text) if len(m.group(r.group)) >= r.least]
+        out, at = [], 0
+        for s, e in sorted(spans):
+            if s >= at:
+                out += [text[at:s], "[secret]"]
+            at = max(at, e)
+        return "".join([*out, text[at:]])
+
+    got = sorted(((r["doc_id"], r["text"]) for r in mask_secrets(df).collect()), key=repr)
+    assert got == sorted(((i, None if t is None else masked(t)) for i, t in made), key=repr)
