@@ -52,35 +52,46 @@ def _mixed(values: np.ndarray, number: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles, repeats included, an array for each piece of the text; of fewer words, the whole sequence. Nothing without words."""
+    data = (text or "").encode("utf-8", "replace").lower()  # bytes.lower() folds A-Z only
+    held: list[bytes] = []
+    some = False
+    digest = xxhash.xxh64_intdigest
+    for piece in word_pieces(data):
+        words = held + piece
+        if len(words) >= width:
+            some = True
+            yield np.fromiter((digest(b" ".join(x), SEED) for x in zip(*(words[i:] for i in range(width)), strict=False)), np.uint64)
+            held = words[-(width - 1) :] if width > 1 else []
+        else:
+            held = words
+    if not some and held:
+        yield np.array([digest(b" ".join(held), SEED)], np.uint64)
+
+
+def _bit_counts(values: np.ndarray) -> np.ndarray:
+    return np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, total: int) -> np.ndarray:
+    """Fingerprints of counts of ones: a bit is set if it is in over half of the hashes."""
+    bits = (2 * ones > total) if total else np.zeros(ones.shape, bool)
+    return np.packbits(bits, axis=-1, bitorder="little").view("<u8")[..., 0]
+
+
 def fingerprints(text: str | None, width: int = 3, prints: int = 1) -> list[int]:
     """``prints`` times 64 bits: each is 1 if it is set in over half of the shingles' hashes (repeats count). 0 without words.
 
     The first fingerprint's hashes are XXH64, the others' are made from it, independent of it and each other.
     """
-    data = (text or "").encode("utf-8", "replace").lower()  # bytes.lower() folds A-Z only
     ones = np.zeros((prints, 64), np.int64)
     total = 0
-    held: list[bytes] = []
-    digest = xxhash.xxh64_intdigest
-
-    def count(shingles: list[bytes]) -> None:
-        values = np.fromiter((digest(s, SEED) for s in shingles), np.uint64, len(shingles))
+    for values in shingle_hashes(text, width):
         for k in range(prints):
-            mixed = _mixed(values, k)
-            ones[k] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-
-    for piece in word_pieces(data):
-        words = held + piece
-        if len(words) >= width:
-            made = [b" ".join(x) for x in zip(*(words[i:] for i in range(width)), strict=False)]
-            count(made)
-            total += len(made)
-        held = words[-(width - 1) :] if width > 1 else []
-    if not total and held:  # fewer words than a shingle has
-        total = 1
-        count([b" ".join(held)])
-    bits = (2 * ones > total) if total else np.zeros((prints, 64), bool)
-    return np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0].tolist()
+            ones[k] += _bit_counts(_mixed(values, k))
+        total += len(values)
+    return _majority(ones, total).tolist()
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -191,7 +202,11 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
     like any other. Null keys are kept; a group of null keys only has a null component. Repeated keys give a row each.
     Other columns are left out. An empty table gives an empty result.
     """
-    made = materialize(with_fingerprints(docs, key, text, width, prints), "prints")
+    return linked_prints(materialize(with_fingerprints(docs, key, text, width, prints), "prints"), key, radius, prints)
+
+
+def linked_prints(made: DataFrame, key: str, radius: int = 3, prints: int = 1) -> DataFrame:
+    """(``key``, fp, component_id) of a written table (``key``, fp, fp1, ...), see :func:`near_duplicate_groups`."""
     nodes = materialize(made.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
     if prints == 1:
         edges = links(nodes.select("fp"), radius)
@@ -225,18 +240,8 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     """The distinct shingles' XXH64, sorted: the shingles of :func:`fingerprints`, but repeats don't count. Empty without words."""
-    data = (text or "").encode("utf-8", "replace").lower()
-    made: list[np.ndarray] = []
-    held: list[bytes] = []
-    digest = xxhash.xxh64_intdigest
-    for piece in word_pieces(data):
-        words = held + piece
-        if len(words) >= width:
-            made.append(np.unique(np.fromiter((digest(b" ".join(x), SEED) for x in zip(*(words[i:] for i in range(width)), strict=False)), np.uint64)))
-        held = words[-(width - 1) :] if width > 1 else []
-    if not made and held:
-        made.append(np.array([digest(b" ".join(held), SEED)], np.uint64))
-    return np.unique(np.concatenate(made)) if made else np.zeros(0, np.uint64)
+    made = [np.unique(x) for x in shingle_hashes(text, width)]
+    return made[0] if len(made) == 1 else np.unique(np.concatenate(made)) if made else np.zeros(0, np.uint64)
 
 
 _FACTORS, _TERMS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, MINIMA), np.uint64) | np.array([[1], [0]], np.uint64)
@@ -251,15 +256,21 @@ def _minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def with_sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(``key``, node, n, e0, ..., bands): the set's own hash, its size, a bit of each minimum, and the hashes of bands of minima."""
+    """(``key``, node, n, fp, e0, ..., bands): the set's own hash, its size, the fingerprint, a bit of each minimum, and the hashes of bands of minima."""
     named = docs.select(F.col(key).alias(key), F.col(text).alias("text"))
     longs = MINIMA // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, size, bits, bands = [], [], np.zeros((b.num_rows, longs), np.int64), []
+            node, size, prints, bits, bands = [], [], [], np.zeros((b.num_rows, longs), np.int64), []
             for i in range(b.num_rows):
-                shingles = shingle_set(b.column(1)[i].as_py(), width)
+                sets, ones, total = [], np.zeros(64, np.int64), 0
+                for values in shingle_hashes(b.column(1)[i].as_py(), width):
+                    ones += _bit_counts(values)
+                    total += len(values)
+                    sets.append(np.unique(values))
+                prints.append(int(_majority(ones, total)))
+                shingles = sets[0] if len(sets) == 1 else np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]))
                 node.append(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
                 size.append(len(shingles))
                 if not len(shingles):
@@ -269,13 +280,13 @@ def with_sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame
                 bits[i] = np.packbits((least >> np.uint64(31) & np.uint64(1)).astype(bool), bitorder="little").view("<i8")
                 made = [xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least[: BANDS * BAND].reshape(BANDS, BAND))]
                 bands.append(np.array(made, np.uint64).view(np.int64))
-            nodes = pa.array(np.array(node, np.uint64).view(np.int64))
+            longs_of = lambda values: pa.array(np.array(values, np.uint64).view(np.int64))
             estimates = [pa.array(bits[:, k]) for k in range(longs)]
-            columns = [b.column(0), nodes, pa.array(size, pa.int32()), *estimates, pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "node", "n", *(f"e{k}" for k in range(longs)), "bands"])
+            columns = [b.column(0), longs_of(node), pa.array(size, pa.int32()), longs_of(prints), *estimates, pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "node", "n", "fp", *(f"e{k}" for k in range(longs)), "bands"])
 
     kind = named.schema[key].dataType.simpleString()
-    return named.mapInArrow(run, f"`{key}` {kind}, node bigint, n int, " + ", ".join(f"e{k} bigint" for k in range(longs)) + ", bands array<bigint>")
+    return named.mapInArrow(run, f"`{key}` {kind}, node bigint, n int, fp bigint, " + ", ".join(f"e{k} bigint" for k in range(longs)) + ", bands array<bigint>")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -297,48 +308,65 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
 def near_copies(docs: DataFrame, key: str, text: str = "text", width: int = 5, threshold: float = SIMILAR) -> DataFrame:
     """(``key``, node, component_id): rows whose sets of shingles have a Jaccard similarity of ``threshold`` or more are linked.
 
-    Every link is verified on the sets themselves. Candidates share a band of ``BAND`` minima in any of ``BANDS``: a pair at
-    0.8 is missed with probability (1 - 0.8 ** 6) ** 24 = 0.0007, closer ones with less. Equal sets are one node.
+    Every link is verified on the sets themselves. Candidates are the groups of :func:`linked_prints` (ball hashing), and
+    sets that share a band of ``BAND`` minima in any of ``BANDS``: a pair at 0.8 is missed by the bands with probability
+    (1 - 0.8 ** 6) ** 24 = 0.0007, closer ones with less. Equal sets are one node.
 
-    Of each band's nodes all are compared with the least one first; all pairs that are then still in different components
-    follow, so that a large group of copies costs its size and no candidate that could join two components is left out. Of these
-    pairs those go unverified whose sizes differ by too much or whose ``MINIMA`` bits are over 4.5 standard deviations from
-    those of a pair at ``threshold``.
+    All nodes are compared with one node of their group and of each of their bands first, the one that shares the most of
+    its shingles with others. All pairs of a band that are then still in different components follow, so that a large
+    group of copies costs its size and no candidate that could join two components is left out. Of these pairs those go
+    unverified that can't reach ``threshold`` by their sizes, by how many of their shingles no other candidate has, or
+    whose ``MINIMA`` bits are over 4.5 standard deviations from those of a pair at it.
     """
     bits = [f"e{k}" for k in range(MINIMA // 64)]
     made = materialize(with_sketches(docs, key, text, width), "sketches")
-    nodes = materialize(made.groupBy("node").agg(F.min(key).alias("least"), *[F.first(c).alias(c) for c in ("n", *bits, "bands")]), "nodes")
-    dealt = nodes.select(F.explode("bands").alias("band"), "node", "n")
-    heads = dealt.groupBy("band").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("_c")).where("_c > 1")
-    shared = materialize(dealt.join(heads.select("band", "head"), "band"), "bands")
-
-    like = lambda m, n: F.least(m, n) >= threshold * F.greatest(m, n) - 1e-9
-    first = shared.where((F.col("node") != F.col("head.node")) & like(F.col("n"), F.col("head.n")))
-    first = materialize(first.select(F.col("node").alias("src"), F.col("head.node").alias("dst")).distinct(), "pairs")
+    nodes = materialize(made.groupBy("node").agg(F.min(key).alias("least"), *[F.first(c).alias(c) for c in ("n", "fp", *bits, "bands")]), "nodes")
+    dealt = nodes.where("n > 0").select(F.explode("bands").alias("band"), "node")
+    heads = dealt.groupBy("band").agg(F.count("*").alias("_c")).where("_c > 1").select("band")
+    shared = materialize(dealt.join(heads, "band"), "bands")
+    printed = linked_prints(nodes.where("n > 0").select("node", "fp"), "node").select("node", F.col("component_id").alias("group"))
+    crowds = printed.groupBy("group").count().where("count > 1").select("group")
+    printed = materialize(printed.join(crowds, "group"), "printed")
 
     texts = docs.select(F.col(key).alias("least"), F.col(text).alias("text"))
-    met = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "least")
+    met = nodes.join(shared.select("node").union(printed.select("node")).distinct(), "node", "left_semi").select("node", "least", "n")
     sets = materialize(_sets(texts.join(met, "least").dropDuplicates(["least"]), width), "sets")
+    alive = _common(sets, met.select("node", "n"), threshold)
+
+    need = lambda m, n: threshold / (1 + threshold) * (m + n) - 1e-6  # noqa: E731  the shingles that two sets must have in common
+    enough = lambda a, b: F.least(F.col(f"{a}common"), F.col(f"{b}common")) >= need(F.col(f"{a}n"), F.col(f"{b}n"))
+    row = F.struct((F.col("common") / F.col("n")).alias("share"), "node", "n", "common")
+
+    def with_head(members: DataFrame, group: str) -> DataFrame:
+        """Each node with the one of its group that has the largest share of common shingles."""
+        own = members.join(alive, "node")
+        head = own.groupBy(group).agg(F.max(row).alias("h"))
+        both = own.join(head, group).select("node", "n", "common", F.col("h.node").alias("head"), F.col("h.n").alias("hn"), F.col("h.common").alias("hcommon"))
+        return both.where((F.col("node") != F.col("head")) & enough("", "h")).select(F.greatest("node", "head").alias("src"), F.least("node", "head").alias("dst"))
+
+    first = materialize(with_head(shared, "band").union(with_head(printed, "group")).distinct(), "pairs")
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         a = sets.select(F.col("node").alias("src"), F.col("shingles").alias("a"))
         b = sets.select(F.col("node").alias("dst"), F.col("shingles").alias("b"))
         both = F.size(F.array_intersect("a", "b"))
-        enough = both >= threshold * (F.size("a") + F.size("b") - both) - 1e-9
-        return materialize(pairs.join(a, "src").join(b, "dst").where(enough).select("src", "dst"), label)
+        alike = both >= threshold * (F.size("a") + F.size("b") - both) - 1e-9
+        return materialize(pairs.join(a, "src").join(b, "dst").where(alike).select("src", "dst"), label)
 
     edges = verified(first, "links")
     graph = materialize(connected_components(edges), "parts")
-    placed = shared.select("band", "node", "n").join(graph, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = shared.join(alive, "node").join(graph, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    rest = placed.join(split.select("band"), "band").join(nodes.select("node", *bits), "node")
+    rest = placed.join(split.select("band"), "band").join(nodes.select("node", "bands", *bits), "node")
     rest = materialize(rest, "open")
-    other = rest.select("band", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "component", *bits)])
+    other = rest.select("band", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "common", "component", "bands", *bits)])
     p = (1 - threshold) / 2
     most = MINIMA * p + 4.5 * (MINIMA * p * (1 - p)) ** 0.5
     apart = sum((_popcount(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in bits), F.lit(0))
-    pairs = rest.join(other, "band").where((F.col("node") > F.col("_node")) & (F.col("component") != F.col("_component")) & like(F.col("n"), F.col("_n")) & (apart <= most))
-    pairs = pairs.select(F.col("node").alias("src"), F.col("_node").alias("dst")).distinct().join(first, ["src", "dst"], "left_anti")
+    once = F.array_intersect("bands", "_bands")[0] == F.col("band")  # a pair is made in the first band that it shares
+    open_ = (F.col("node") > F.col("_node")) & (F.col("component") != F.col("_component"))
+    pairs = rest.join(other, "band").where(open_ & enough("", "_") & (apart <= most) & once)
+    pairs = pairs.select(F.col("node").alias("src"), F.col("_node").alias("dst")).join(first, ["src", "dst"], "left_anti")
     graph = connected_components(edges.unionByName(verified(materialize(pairs, "pairs"), "links")))
 
     found = nodes.select("node", "least").join(graph, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -346,6 +374,20 @@ def near_copies(docs: DataFrame, key: str, text: str = "text", width: int = 5, t
     return made.select(key, "node").join(found.join(least, "component").select("node", "component_id"), "node").select(key, "node", "component_id")
 
 
+def _common(sets: DataFrame, sizes: DataFrame, threshold: float, rounds: int = 2) -> DataFrame:
+    """(node, n, common): how many of a node's shingles another node has too; nodes too few of whose are for any link are left out.
+
+    Nodes that are left out link with none, so their shingles don't count in the next round.
+    """
+    kept = sizes
+    for _ in range(rounds):
+        words = sets.join(kept.select("node"), "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
+        own = words.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("own"))
+        kept = sizes.join(kept.select("node"), "node", "left_semi").join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+        kept = materialize(kept.where(F.col("common") >= threshold * F.col("n") - 1e-6), "common")
+    return kept
+
+
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, threshold: float = SIMILAR) -> DataFrame:
     """``docs`` with one row of each group of :func:`near_copies`: the one with the smallest key, nulls last, then an arbitrary but fixed one.
 
