@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpuskin.llm import vectors as v
 
@@ -49,16 +50,31 @@ def test_vectors_without_a_direction(spark):
     assert got == {**{i: (0, i, True) for i in (1, 2, 3, 4, 5, 9, 10, 12)}, 6: (3, 6, True), 7: (3, 6, False), 8: (3, 6, False), 11: (3, 6, False)}
 
 
-def test_estimates_are_unbiased_and_bounded():
+@pytest.mark.parametrize("dim", [64, 100])
+def test_estimates_are_unbiased_and_bounded(dim):
+    """Estimates from the stored bits alone: no bias, errors as large as they say, and near pairs are never ruled out."""
     rng = np.random.default_rng(1)
-    a, b = v._unit(rng.normal(size=(300, 64))), v._unit(rng.normal(size=(300, 64)))
-    b = v._unit(a + 0.3 * b)
-    ca, cb = v.codes(a), v.codes(b)
-    est = ((ca[1] @ cb[0].T) / ca[2][:, None]).diagonal()
+    a, b = v._unit(rng.normal(size=(2000, dim))), rng.normal(size=(2000, dim))
+    b = v._unit(a + rng.choice([0.2, 1, 3], (2000, 1)) * v._unit(b))
     true = (a * b).sum(1)
-    assert abs((est - true).mean()) < 0.02
-    near = np.nonzero(true >= 0.95)[0]
-    assert all(v.maybe_near(ca, cb, 0.95)[i, i] for i in near) and len(near)
+    est, sd = np.zeros(2000), np.zeros(2000)
+    near = np.zeros(2000, bool)
+    for k in range(2000):
+        ca, cb = v.Codes.of(a[k : k + 1]), v.Codes.of(b[k : k + 1])
+        e, s = ca.bounds(cb)
+        est[k], sd[k], near[k] = e[0, 0], s[0, 0], ca.maybe_near(cb, 0.95)[0, 0]
+    assert abs((est - true).mean()) < 0.01
+    assert 0.5 < ((est - true) / sd).std() < 1.2
+    assert near[true >= 0.95].all() and (true >= 0.95).sum() > 100 and not near[true < 0.2].any()
+    assert v.Codes.of(a).code.nbytes == 2000 * 8 * -(-dim // 64)
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "long"])
+def test_kinds_of_keys_and_null_ones(spark, kind):
+    rows = [("3", [1.0, 0.0]), (None, [1.0, 0.001]), ("2", [1.0, 0.002]), (None, [0.0, 1.0]), (None, [0.0, 1.0]), ("5", [-1.0, 0.0]), (None, None)]
+    df = spark.createDataFrame(rows, "k string, embedding array<double>").withColumn("vec_id", F.col("k").cast(kind))
+    got = sorted(((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in v.near_vectors(df).collect()))
+    assert got == sorted([("3", 2, "2", False), ("None", 2, "2", False), ("2", 2, "2", True), ("None", 1, "None", True), ("None", 1, "None", True), ("5", 0, "5", True), ("None", 0, "None", True)])
 
 
 def test_empty(spark):
