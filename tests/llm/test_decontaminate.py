@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -32,20 +33,22 @@ def items():
     return [(1, made[11]), (2, "one two"), (3, None), (4, ""), (5, " ".join(words(made[40])[:12])), (6, made[11]), (7, "x" * 5000), (8, "a B, c"), (9, long_), (10, "emoji"), (11, "long " * 12)]
 
 
-@pytest.mark.parametrize("block", [d.BLOCK_BYTES, 300])
-def test_brute_force(spark, items, block):
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    got = d.contaminated_words(cases.docs(spark), bench, block_bytes=block).collect()
+@pytest.mark.parametrize("most", [d.MOST_BITS, 64])
+def test_brute_force(spark, items, most, monkeypatch):
+    """Also where the filter is so small that all shingles pass it."""
+    monkeypatch.setattr(d, "MOST_BITS", most)
+    monkeypatch.setattr(d, "LEAST_BITS", min(most, d.LEAST_BITS))
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    got = d.contaminated_words(cases.docs(spark), bench).collect()
     have = sorted(((r["doc_id"], r["n_words"], sum(x["end"] - x["start"] for x in r["hits"]), r["items"]) for r in got), key=repr)
     assert have == sorted(((r[0], *brute(r[1], items)) for r in cases.rows()), key=repr)
     for r in got:
         assert all(x["end"] < y["start"] for x, y in zip(r["hits"], r["hits"][1:], strict=False))
 
 
-@pytest.mark.parametrize("block", [d.BLOCK_BYTES, 300])
-def test_drop(spark, items, block):
+def test_drop(spark, items):
     bench = spark.createDataFrame(items, "item_id long, text string")
-    kept = d.drop_contaminated(cases.docs(spark), bench, block_bytes=block)
+    kept = d.drop_contaminated(cases.docs(spark), bench)
     assert kept.columns == cases.docs(spark).columns
     want = sorted(((r[0], r[1]) for r in cases.rows() if not brute(r[1], items)[1]), key=repr)
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == want
@@ -57,3 +60,22 @@ def test_empty(spark, items):
     got = d.contaminated_words(cases.docs(spark), bench.limit(0)).collect()
     assert len(got) == len(cases.rows()) and not any(r["hits"] or r["items"] for r in got)
     assert d.drop_contaminated(cases.docs(spark), bench.limit(0)).count() == len(cases.rows())
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 10])
+def test_many_items_over_a_shuffled_input(spark, width):
+    """Items drawn from the texts, at all widths; keys that are no longs, or null, or repeat."""
+    rng = random.Random(width)
+    texts = [cases.prose(rng, rng.randint(0, 40), ("a", "b", "c", "d")) for _ in range(80)]
+    bench = []
+    for i in range(120):
+        w = words(rng.choice(texts))
+        at = rng.randint(0, len(w))
+        bench.append((f"i{i % 100}", " ".join(w[at : at + rng.randint(0, 14)])))
+    made = [(None if i % 9 == 0 else f"k{i % 50}", t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(made, "name string, text string").repartition(7, "text")
+    got = d.contaminated_words(docs, spark.createDataFrame(bench, "item_id string, text string"), width=width, key="name").collect()
+    have = sorted(((r["name"], r["n_words"], sum(x["end"] - x["start"] for x in r["hits"]), r["items"]) for r in got), key=repr)
+    assert have == sorted(((k, *brute(t, bench, width)) for k, t in made), key=repr)
+    with pytest.raises(ValueError):
+        d.contaminated_words(docs.withColumnRenamed("name", "hits"), docs, key="hits")
