@@ -238,6 +238,7 @@ def _repeated_windows(classes: DataFrame, texts: DataFrame, least: int, seed: in
     """
     copied = classes.where("n > 1").select(*CLASS, F.lit(0).alias("lo"), F.col("wide").alias("hi"))
     several = classes.groupBy("seed").agg(F.count("*").alias("classes"), F.min("n").alias("least")).where("classes > 1 and least = 1").select("seed", "classes")
+    several = materialize(several, "several")
     wanted = classes.join(several, "seed").groupBy("at._r").agg(F.collect_list(F.struct(*CLASS, "n", "classes", F.col("at.first").alias("first"))).alias("want"))
     suffixes = materialize(_suffixes(texts(wanted), least, seed), "suffixes")
     by = ["seed", "right", "left"]
@@ -285,7 +286,8 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(key).alias(key), same.alias("_k"), body.alias("_text"))
     retained = materialize(_retained(rows, key, least, seed).withColumn("_r", F.monotonically_increasing_id()), "retained")
     seeds = retained.select("_r", F.explode("seeds").alias("seed"))
-    met = seeds.groupBy("seed").count().where("count > 1").select("seed")
+    # written, so that adaptive execution can split a hot seed in the join: right above an aggregate it can't
+    met = materialize(seeds.groupBy("seed").count().where("count > 1").select("seed"), "repeated")
     # which of a text's seeds have an equal one elsewhere: at most a text's own, so a row is no larger than its text
     found = seeds.join(met, "seed", "left_semi").groupBy("_r").agg(F.collect_set("seed").alias("met"))
     found = retained.select("_r", "_k").join(found, "_r").groupBy("_k").agg(F.min("_r").alias("_r"), F.count("*").alias("times"), F.first("met").alias("met"))
