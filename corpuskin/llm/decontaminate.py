@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskin.llm.textcols import fresh
+from corpuskin.llm.textcols import fresh, text_id
 from corpuskin.plans.shared import materialize
 
 #: Folds A-Z and blanks what is no ASCII digit, ASCII letter or byte beyond ASCII, so that what is left between blanks are the words.
@@ -201,11 +201,6 @@ def _verified(met: DataFrame) -> DataFrame:
     return met.select("_t", "item", "at", "left", "words", "rel", "wide", "width", "around").mapInArrow(run, "_t struct<a:bigint,b:bigint>, item string, start bigint, end bigint")
 
 
-def _text_id(text: Column) -> Column:
-    """128 bits of a text: what is found in a text depends on nothing else."""
-    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text, F.lit(2)).alias("b"))
-
-
 def _matched(rows: DataFrame, benchmark: DataFrame, width: int, item: str, item_text: str, others: list[str]) -> tuple[DataFrame, DataFrame]:
     """((others..., _t, n_words) of ``rows`` (others..., _t, _text), (_t, item, start, end))."""
     spark = rows.sparkSession
@@ -243,7 +238,7 @@ def contaminated_words(
     """
     if key in ("n_words", "hits", "items"):
         raise ValueError(f"the key can't be named {key}")
-    rows = docs.select(F.col(key).alias("_key"), _text_id(F.col(text)).alias("_t"), F.col(text).alias("_text"))
+    rows = docs.select(F.col(key).alias("_key"), text_id(F.col(text)).alias("_t"), F.col(text).alias("_text"))
     read, found = _matched(rows, benchmark, width, item, item_text, ["_key"])
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
 
@@ -289,8 +284,8 @@ FROM d LEFT JOIN h ON d.r = h.r LEFT JOIN i ON d.r = i.r
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the rows in which a window of an item occurs: rows are judged by their texts, which null ones and ones without words pass. All columns stay, whatever their names."""
-    _, found = _matched(docs.select(_text_id(F.col(text)).alias("_t"), F.col(text).alias("_text")), benchmark, width, item, item_text, [])
+    _, found = _matched(docs.select(text_id(F.col(text)).alias("_t"), F.col(text).alias("_text")), benchmark, width, item, item_text, [])
     bad = materialize(found.select(F.col("_t.a").alias("_a"), F.col("_t.b").alias("_b")).distinct(), "contaminated")
-    own = _text_id(F.col(text))
+    own = text_id(F.col(text))
     at = fresh(docs, "_t")
     return docs.withColumn(at, own).join(bad, (F.col(f"{at}.a") == bad["_a"]) & (F.col(f"{at}.b") == bad["_b"]), "left_anti").drop(at)

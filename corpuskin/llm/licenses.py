@@ -1,19 +1,21 @@
-"""License scanning: an exact set-similarity (containment) join of license templates with the lines of texts, and with runs of words over line ends.
+"""License scanning: an exact set-similarity (containment) join of license templates with the blocks of texts.
 
-DataFrame functions only. A template's tokens are ordered by their frequency over all text blocks of the input, rarest
-first; a block that contains the required share of them must contain one of the first few (the prefix). Blocks are joined
-with the prefixes, cut by length and positional bounds, and verified exactly.
+DataFrame functions only. A block is a run of as many consecutive words as the template has, wherever lines end. A
+template's tokens are ordered by the number of texts that contain them, rarest first; a block that contains the required
+share of them must contain one of the first few (the prefix). Texts with enough of a template's tokens (length) are joined
+with the prefixes; of their blocks those around a prefix token (position) are verified exactly.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskin.llm.textcols import LOWER, UPPER
+from corpuskin.llm.textcols import LOWER, UPPER, let, text_id
 from corpuskin.plans.shared import materialize
 
 #: What separates words, in texts that are not lower-cased yet.
@@ -22,16 +24,61 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Consecutive words and their labels: fixed by the contract.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: (label, notice): short notices that license owners ask projects to carry.
+
+@dataclass(frozen=True)
+class Template:
+    """A license's label and notice; words that a block must have, and words that it must not have, to be told from other licenses."""
+
+    label: str
+    notice: str
+    required: tuple[str, ...] = ()
+    never: tuple[str, ...] = ()
+
+
+#: The notices that licenses ask projects to carry, and usual short forms: fixed values.
 TEMPLATES = (
-    ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", "Licensed under the Apache License, Version 2.0."),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
+    Template("mit", "Released under the MIT License.", ("mit", "license")),
+    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ("associated",)),
+    Template(
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        "(the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
+        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do "
+        "so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
+        "substantial portions of the Software.",
+    ),
+    Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ("fee",)),
+    Template("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("organization", "accompanying")),
+    Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    Template(
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution.",
+    ),
+    Template("bsd-3", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ("endorse", "promote")),
+    Template("apache", "Licensed under the Apache License, Version 2.0.", ("apache",)),
+    Template(
+        "apache",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may "
+        "obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
+        "software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express "
+        "or implied. See the License for the specific language governing permissions and limitations under the License.",
+        ("apache",),
+    ),
+    Template("gpl", "This work is licensed under the GNU General Public License, version 3.", ("gnu", "general", "public"), ("lesser", "affero")),
+    Template("gpl", "under the terms of the GNU General Public License as published by the Free Software Foundation", ("gnu", "general", "public"), ("lesser", "affero")),
+    Template("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", ("gnu", "lesser", "general", "public")),
+    Template("agpl", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", ("gnu", "affero", "general", "public")),
+    Template("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License", ("mozilla",)),
+    Template("cc-by-nc", "Licensed under CC BY-NC 4.0.", ("cc", "by", "nc")),
+    Template("cc-by-sa", "Licensed under CC BY-SA 4.0.", ("cc", "by", "sa")),
+    Template("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", ("creative", "commons", "attribution"), ("noncommercial", "sharealike", "noderivatives")),
+    Template("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ("creative", "commons", "sharealike"), ("noncommercial",)),
+    Template("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ("creative", "commons", "noncommercial")),
+    Template("cc0", "the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide", ("dedicated", "domain")),
+    Template("unlicense", "This is free and unencumbered software released into the public domain", ("unencumbered",)),
 )
 
 _PHRASE_HEAD = "license"
@@ -46,9 +93,18 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, SEPARATORS, -1), lambda w: w != "")
 
 
+def template_words(notice: str) -> list[str]:
+    """All words of a template (ASCII), in order."""
+    return "".join(c if c.isalnum() else " " for c in notice.lower()).split()
+
+
 def template_tokens(notice: str) -> list[str]:
-    """Distinct words of a template (ASCII)."""
-    return sorted(set("".join(c if c.isalnum() else " " for c in notice.lower()).split()))
+    """Distinct words of a template."""
+    return sorted(set(template_words(notice)))
+
+
+def needed(tokens: list[str], threshold: float) -> int:
+    return max(1, math.ceil(threshold * len(tokens) - 1e-9))
 
 
 def _places(words: Column, phrase: str) -> Column:
@@ -64,107 +120,101 @@ def _places(words: Column, phrase: str) -> Column:
     return F.array_compact(F.transform(words, at))
 
 
+def _strings(values: Sequence[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+
+def _best_block(placed: Column) -> Column:
+    """struct<n, word, blocks>: of the blocks that match the row's template the first with the most of its tokens, and how many match; null if none.
+
+    ``placed`` is array<struct<at, w>>: the template words of a text. A block begins with a token of the template.
+    """
+
+    def judged(x: Column, words: Column) -> Column:
+        n = F.size(F.array_intersect(words, "tokens"))
+        ok = F.arrays_overlap(words, F.col("prefix")) & (n >= F.col("need")) & (F.size(F.array_except("required", words)) == 0) & ~F.arrays_overlap(words, F.col("never"))
+        return F.when(ok, F.struct(n.alias("n"), (-x["at"]).alias("back")))
+
+    def blocks(mine: Column) -> Column:
+        def block(x: Column, i: Column) -> Column:
+            inside = F.filter(F.slice(mine, i + 1, F.col("length")), lambda y: y["at"] < x["at"] + F.col("length"))
+            words = F.array_distinct(F.transform(inside, lambda y: y["w"]))
+            return F.when(F.array_contains("tokens", x["w"]), let(words, lambda w: judged(x, w)))
+
+        return F.array_compact(F.transform(mine, block))
+
+    mine = F.filter(placed, lambda y: F.array_contains("tokens", y["w"]) | F.array_contains("never", y["w"]))
+    best = lambda found: let(F.array_max(found), lambda m: F.struct(m["n"].alias("n"), (-m["back"]).alias("word"), F.size(found).alias("blocks")))
+    return let(let(mine, blocks), lambda found: F.when(F.size(found) > 0, best(found)))
+
+
 def find_licenses(
     docs: DataFrame,
-    templates: Sequence[tuple[str, str]] = TEMPLATES,
+    templates: Sequence[Template] = TEMPLATES,
     threshold: float = 0.8,
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
     """One row per input row: ``key``, n_words, n_base, first_word, last_word, base_labels, labels, score, matches.
 
-    Text blocks are lines, and for each template all runs over line ends of as many words as it has, so that wrapped notices
-    are found. A block matches a template if it contains at least ``threshold`` of its distinct words. A null
-    text is empty: no words, no places. ``score`` is 1 with a base phrase, else the best containment found (0 if none).
-    ``matches`` lists (line, label, containment), sorted, a run under the line that it starts in. Rows of equal key and text get the same answer, one row each.
+    A block, which is a run of as many words as a template has, matches it if it contains at least ``threshold`` of its
+    distinct words, with all that it requires and none that it excludes. A null text is empty: no words, no places.
+    ``score`` is 1 with a base phrase, else the best containment found (0 if none). ``matches`` lists (word, label, share,
+    blocks) for each template that matches: where the best block begins, its containment, and how many blocks match.
+    Rows are judged by their texts alone, one row each; keys may repeat or be null.
     """
     spark = docs.sparkSession
-    tokens = [template_tokens(t) for _, t in templates]
-    vocabulary = sorted({w for t in tokens for w in t})
-    least = [max(1, math.ceil(threshold * len(t) - 1e-9)) for t in tokens]
-    smallest = min(least)
-    known = F.array(*[F.lit(w) for w in vocabulary])
-
-    def block(line: Column, i: Column) -> Column:
-        words = F.array_distinct(F.split(F.lower(line), SEPARATORS, -1))
-        return F.struct(i.alias("line"), F.array_intersect(words, known).alias("tokens"), F.size(words).alias("n"))
-
-    lines = F.split("_t", "\n", -1)
-    has = lambda words, t: F.array_intersect(words, F.array(*[F.lit(w) for w in t]))
-    # (place, line, word) of all template words, of texts of several lines that have enough of a template anywhere
-    any_words = F.array_intersect(F.split(F.lower(F.col("_t")), SEPARATORS, -1), known)
-    enough = F.exists(F.array(*[F.size(has(F.col("_w"), t)) >= need for t, need in zip(tokens, least, strict=True)]), lambda x: x)
-    numbered = F.flatten(F.transform(lines, lambda x, i: F.transform(F.filter(F.split(F.lower(x), SEPARATORS, -1), lambda w: w != ""), lambda w: F.struct(i.alias("line"), w.alias("w")))))
-    placed = F.filter(F.transform(numbered, lambda x, at: F.struct(at.alias("at"), x["line"].alias("line"), x["w"].alias("w"))), lambda x: F.array_contains(known, x["w"]))
-
-    def runs(number: int) -> Column:
-        """Of each run over a line end that starts with a word of the template and holds enough of them: (line, only, tokens, n)."""
-        length = len([w for w in "".join(c if c.isalnum() else " " for c in templates[number][1]).split() if w])
-        mine = F.filter("_placed", lambda x: x["w"].isin(tokens[number]))
-
-        def run(x: Column, k: Column) -> Column:
-            inside = F.filter(F.slice(mine, k + 1, length), lambda y: y["at"] < x["at"] + length)
-            there = F.array_distinct(F.transform(inside, lambda y: y["w"]))
-            over = F.array_max(F.transform(inside, lambda y: y["line"])) > x["line"]
-            return F.when(over & (F.size(there) >= least[number]), F.struct(x["line"].alias("line"), F.lit(number).alias("only"), there.alias("tokens"), F.lit(length).alias("n")))
-
-        return F.when(F.size(has(F.transform("_placed", lambda x: x["w"]), tokens[number])) >= least[number], F.array_compact(F.transform(mine, run)))
+    tokens = [template_tokens(t.notice) for t in templates]
+    least = [needed(t, threshold) for t in tokens]
+    vocabulary = sorted({w for t, own in zip(templates, tokens, strict=True) for w in (*own, *t.never)})
+    known = _strings(vocabulary)
 
     body = F.coalesce(F.col(text), F.lit(""))
-    split = docs.select(F.col(key).alias(key), F.xxhash64(F.col(key), body).alias("_k"), body.alias("_t")).withColumn("_w", any_words)
-    words = _words(F.col("_t"))
-    mentions = F.contains(F.lower(F.col("_t")), F.lit(_PHRASE_HEAD))
+    split = docs.select(F.col(key).alias("_key"), text_id(body).alias("_t"), body.alias("_text"))
+    # in projections of their own, which aren't merged into those that use them often
+    split = split.withColumn("_seen", F.array_intersect(F.split(F.lower("_text"), SEPARATORS, -1), known))
+    enough = F.lit(False)
+    for t, need in zip(tokens, least, strict=True):
+        enough = enough | ((F.size("_seen") >= need) & (F.size(F.array_intersect("_seen", _strings(t))) >= need))
+    split = split.withColumn("_enough", F.when(F.size("_seen") >= min(least), enough).otherwise(False))
+    mentions = F.contains(F.lower("_text"), F.lit(_PHRASE_HEAD))
+    split = split.withColumn("_folded", F.when(mentions | F.col("_enough"), _words(_fold(F.col("_text")))))
     none = F.array().cast("array<bigint>")
+    placed = F.filter(F.transform("_folded", lambda w, at: F.struct(at.alias("at"), w.alias("w"))), lambda x: F.array_contains(known, x["w"]))
     rows = split.select(
-        key,
-        "_k",
-        F.size(words).cast("long").alias("n_words"),
-        *[F.when(mentions, _places(_words(_fold(F.col("_t"))), p)).otherwise(none).alias(f"_p{i}") for i, (p, _) in enumerate(PHRASES)],
-        F.filter(F.transform(lines, block), lambda b: F.size(b["tokens"]) >= smallest).alias("_blocks"),
-        F.when(F.contains("_t", F.lit("\n")) & enough, placed).alias("_placed"),
+        "_key",
+        "_t",
+        F.size(_words(F.col("_text"))).cast("long").alias("n_words"),
+        *[F.when(mentions, _places(F.col("_folded"), p)).otherwise(none).alias(f"_p{i}") for i, (p, _) in enumerate(PHRASES)],
+        "_seen",
+        F.when(F.col("_enough"), placed).alias("_placed"),
     )
-    rows = materialize(rows, "licenses")  # no texts: counts, places, and the template words of blocks that have enough
-    # equal (key, text) rows share their blocks, so each is joined once
-    blocks = rows.select("_k", F.explode("_blocks").alias("b")).select("_k", "b.line", "b.tokens", "b.n").dropDuplicates(["_k", "line"])
-    wrapped = rows.where("_placed IS NOT NULL").select("_k", F.explode(F.array(*[F.coalesce(runs(i), F.array()) for i in range(len(tokens))])).alias("r"))
-    wrapped = wrapped.select("_k", F.explode("r").alias("r")).select("_k", "r.*")
-    # of the runs of a template that start in a line, the one with the most of its words
-    wrapped = wrapped.groupBy("_k", "line", "only").agg(F.max_by("tokens", F.size("tokens")).alias("tokens"), F.first("n").alias("n"))
-    blocks = blocks.withColumn("only", F.lit(-1)).unionByName(wrapped)
-    blocks = materialize(blocks, "blocks")
-
-    seen = blocks.select(F.explode("tokens").alias("w")).groupBy("w").count().collect()  # a row per template word at most
-    often = {r["w"]: r["count"] for r in seen}
+    rows = materialize(rows, "licenses")  # no texts: counts, places, and the template words
+
+    often = {r["w"]: r["count"] for r in rows.select(F.explode("_seen").alias("w")).groupBy("w").count().collect()}  # a row per template word at most
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (often.get(w, 0), w)))}
     ordered = [sorted(t, key=rank.__getitem__) for t in tokens]
-    prefixes = [
-        (n, label, t, len(t), need, pos, w)
-        for n, ((label, _), t, need) in enumerate(zip(templates, ordered, least, strict=True))
-        for pos, w in enumerate(t[: len(t) - need + 1])
-    ]
-    prefixes = spark.createDataFrame(prefixes, "template int, label string, all_tokens array<string>, size int, need int, pos int, w string")
-
-    order = F.create_map(*[x for w, i in rank.items() for x in (F.lit(w), F.lit(i))])
-    arranged = blocks.withColumn("tokens", F.transform(F.array_sort(F.transform("tokens", lambda w: F.struct(order[w].alias("r"), w.alias("w")))), lambda x: x["w"]))
-    hits = (
-        arranged.select("_k", "line", "only", "tokens", "n", F.posexplode("tokens").alias("at", "w"))
-        .join(F.broadcast(prefixes), "w")  # as many rows as the templates' text has words
-        .where("only IN (-1, template)")
-        .where("n >= need")  # length
-        .where("1 + least(size - pos - 1, size(tokens) - at - 1) >= need or pos > 0 and at > 0")  # position, at the first common word
-        .dropDuplicates(["_k", "line", "only", "template"])
-        .withColumn("share", F.size(F.array_intersect("tokens", "all_tokens")) / F.col("size"))
-        .where(F.size(F.array_intersect("tokens", "all_tokens")) >= F.col("need"))
-    )
-    found = hits.groupBy("_k", "line", "label").agg(F.max("share").alias("share"))
-    found = found.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("line", "label", "share"))).alias("matches"))
-
-    joined = rows.join(found, "_k", "left")
+    prefixes = [t[: len(t) - need + 1] for t, need in zip(ordered, least, strict=True)]
+    made = [(n, t.label, own, len(own), need, list(t.required), list(t.never), len(template_words(t.notice)), p) for n, (t, own, need, p) in enumerate(zip(templates, tokens, least, prefixes, strict=True))]
+    table = spark.createDataFrame(made, "template int, label string, tokens array<string>, size int, need int, required array<string>, never array<string>, length int, prefix array<string>")
+
+    texts = rows.where("_placed IS NOT NULL").select("_t", "_placed").dropDuplicates(["_t"])
+    first = F.array_distinct(F.transform("_placed", lambda x: x["w"]))
+    met = texts.select("_t", "_placed", first.alias("_words")).select("_t", "_placed", "_words", F.explode("_words").alias("w"))
+    # the templates' text bounds what is broadcast
+    met = met.join(F.broadcast(table.select("*", F.explode("prefix").alias("w"))), "w").where(F.size(F.array_intersect("_words", "tokens")) >= F.col("need"))
+    # a text meets a template at the first of its prefix tokens only
+    met = met.where(F.array_intersect("prefix", "_words")[0] == F.col("w"))
+    found = met.select("_t", "label", "template", "size", _best_block(F.col("_placed")).alias("b")).where("b IS NOT NULL")
+    match = F.struct(F.col("b.word").alias("word"), "label", (F.col("b.n") / F.col("size")).alias("share"), F.col("b.blocks").alias("blocks"))
+    found = found.groupBy("_t").agg(F.array_sort(F.collect_list(match)).alias("matches"))
+
+    joined = rows.join(found, "_t", "left")
     places = F.concat(*[F.col(f"_p{i}") for i in range(len(PHRASES))])
     base = F.array_compact(F.array(*[F.when(F.size(f"_p{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(PHRASES)]))
     matches = F.coalesce(F.col("matches"), F.array().cast(found.schema["matches"].dataType))
     return joined.select(
-        key,
+        F.col("_key").alias(key),
         "n_words",
         F.size(places).cast("long").alias("n_base"),
         F.array_min(places).alias("first_word"),
@@ -181,28 +231,30 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_licenses(docs).drop("matches")
 
 
-def _sql_template(label: str, notice: str, threshold: float = 0.8) -> str:
-    t = template_tokens(notice)
-    need = max(1, math.ceil(threshold * len(t) - 1e-9))
-    return f"({label!r}, {t!r}, {len(t)}, {need})"
+def _sql_template(t: Template, threshold: float = 0.8) -> str:
+    own = template_tokens(t.notice)
+    lists = [f"{list(x)!r}::VARCHAR[]" for x in (own, t.required, t.never)]
+    return f"({t.label!r}, {', '.join(lists)}, {len(own)}, {needed(own, threshold)}, {len(template_words(t.notice))})"
 
 
 _SEP_SQL = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_BASE_SQL = "list_filter([CASE WHEN len(m) > 0 THEN 'mit' END, CASE WHEN len(a) > 0 THEN 'apache' END, CASE WHEN len(g) > 0 THEN 'gpl' END], lambda x: x IS NOT NULL)"
+#: Every run of as many words as a template has that begins with one of its words is compared with it.
 ORACLE_OP5 = rf"""
-WITH t(label, tokens, size, need) AS (VALUES {", ".join(_sql_template(*x) for x in TEMPLATES)}),
-d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_SEP_SQL}'), lambda w: w <> '') AS w,
-  string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-p AS (SELECT doc_id, w,
+WITH t(label, tokens, required, never, size, need, length) AS (VALUES {", ".join(map(_sql_template, TEMPLATES))}),
+d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_SEP_SQL}'), lambda w: w <> '') AS w FROM documents),
+p AS (SELECT r, doc_id, w,
   list_filter(range(len(w)), lambda i: w[i+1] = 'mit' AND w[i+2] = 'license') AS m,
   list_filter(range(len(w)), lambda i: w[i+1] = 'apache' AND w[i+2] = 'license') AS a,
   list_filter(range(len(w)), lambda i: w[i+1] = 'general' AND w[i+2] = 'public' AND w[i+3] = 'license') AS g FROM d),
-l AS (SELECT doc_id, list_distinct(regexp_split_to_array(lower(x), '{_SEP_SQL}')) AS b FROM (SELECT doc_id, unnest(lines) AS x FROM d)),
-h AS (SELECT doc_id, label, max(len(list_intersect(b, tokens))::DOUBLE / size) AS share FROM l, t WHERE len(list_intersect(b, tokens)) >= need GROUP BY ALL),
-f AS (SELECT doc_id, list(label) AS labels, max(share) AS share FROM h GROUP BY doc_id)
+c AS (SELECT r, w, t.*, unnest(list_filter(range(len(w)), lambda i: list_contains(tokens, w[i+1]))) AS i FROM d, t WHERE len(list_intersect(w, tokens)) >= need),
+b AS (SELECT r, label, tokens, required, never, size, need, list_distinct(w[i+1:i+length]) AS x FROM c),
+h AS (SELECT r, label, max(len(list_intersect(x, tokens))::DOUBLE / size) AS share FROM b WHERE len(list_intersect(x, tokens)) >= need AND len(list_intersect(x, required)) = len(required) AND NOT list_has_any(x, never) GROUP BY ALL),
+f AS (SELECT r, list(label) AS labels, max(share) AS share FROM h GROUP BY r)
 SELECT p.doc_id, len(w)::BIGINT AS n_words, (len(m) + len(a) + len(g))::BIGINT AS n_base,
   list_min(m || a || g)::BIGINT AS first_word, list_max(m || a || g)::BIGINT AS last_word,
-  array_to_string(list_sort(list_filter([CASE WHEN len(m) > 0 THEN 'mit' END, CASE WHEN len(a) > 0 THEN 'apache' END, CASE WHEN len(g) > 0 THEN 'gpl' END], lambda x: x IS NOT NULL)), ',') AS base_labels,
-  array_to_string(list_sort(list_distinct(list_filter([CASE WHEN len(m) > 0 THEN 'mit' END, CASE WHEN len(a) > 0 THEN 'apache' END, CASE WHEN len(g) > 0 THEN 'gpl' END] || coalesce(f.labels, []), lambda x: x IS NOT NULL))), ',') AS labels,
+  array_to_string(list_sort({_BASE_SQL}), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct({_BASE_SQL} || coalesce(f.labels, []))), ',') AS labels,
   CASE WHEN len(m) + len(a) + len(g) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
-FROM p LEFT JOIN f ON p.doc_id = f.doc_id
+FROM p LEFT JOIN f ON p.r = f.r
 """

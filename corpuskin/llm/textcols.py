@@ -18,6 +18,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def text_id(text: Column) -> Column:
+    """128 bits of a text, for what depends on the text alone."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text, F.lit(2)).alias("b"))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is computed once however often the body uses it."""
     return F.transform(F.array(value), body)[0]

@@ -22,12 +22,12 @@ def brute(text, templates=licenses.TEMPLATES, threshold=0.8):
         places += found
         base |= {label} if found else set()
     best, labels = 0.0, set(base)
-    for line in (text or "").split("\n"):
-        have = set(WORD.findall(line.lower()))
-        for label, notice in templates:
-            want = set(licenses.template_tokens(notice))
-            if len(have & want) >= math.ceil(threshold * len(want) - 1e-9):
-                labels.add(label)
+    for t in templates:
+        want, length = set(licenses.template_tokens(t.notice)), len(licenses.template_words(t.notice))
+        for i in range(len(words)):
+            have = set(words[i : i + length])
+            if words[i] in want and len(have & want) >= math.ceil(threshold * len(want) - 1e-9) and have >= set(t.required) and not have & set(t.never):
+                labels.add(t.label)
                 best = max(best, len(have & want) / len(want))
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if places else best
 
@@ -52,10 +52,22 @@ def test_brute_force(spark, threshold):
     assert [(*h[:7], round(h[7], 9)) for h in have] == [(*w[:7], round(w[7], 9)) for w in want]
 
 
-def test_matches_name_lines(spark):
-    df = spark.createDataFrame([(1, "x\nLicensed under CC BY-NC 4.0.\ny")], "doc_id long, text string")
+def test_matches_say_where(spark):
+    df = spark.createDataFrame([(1, "x y\nLicensed under CC BY-NC 4.0.\ny")], "doc_id long, text string")
     (m,) = licenses.find_licenses(df).first()["matches"]
-    assert (m["line"], m["label"], m["share"]) == (1, "cc-by-nc", 1.0)
+    assert (m["word"], m["label"], m["share"]) == (2, "cc-by-nc", 1.0)
+
+
+def test_other_licenses_notices_are_told_apart(spark):
+    """Each notice has its own label, and of other families' none; near misses have none."""
+    made = [(i, t.notice) for i, t in enumerate(licenses.TEMPLATES)]
+    none = ["Released under the Zlib License.", "Released under the GNU General Public License", "Released under the Apache License", "Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"]
+    made += list(enumerate(none, 100))
+    got = {r["doc_id"]: set(r["labels"].split(",")) - {""} for r in licenses.find_licenses(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    also = {"lgpl": {"gpl"}, "agpl": {"gpl"}, "bsd-3": set()}  # the phrase "general public license" stands in their notices too
+    for i, t in enumerate(licenses.TEMPLATES):
+        assert t.label in got[i] and got[i] - {t.label} <= also.get(t.label, set()), (t, got[i])
+    assert [got[i] for i in range(100, 105)] == [set(), {"gpl"}, {"apache"}, set(), set()]
 
 
 def test_empty(spark):
@@ -67,7 +79,8 @@ def test_wrapped_notices(spark):
     import textwrap
 
     made, want = [], {}
-    for n, (label, notice) in enumerate(licenses.TEMPLATES):
+    for t in licenses.TEMPLATES:
+        label, notice = t.label, t.notice
         for width in (40, 70, 80):
             lead = "other words " * 5
             text = "\n".join(" * " + x for x in textwrap.wrap(lead + notice + " and so on", width))
@@ -80,3 +93,17 @@ def test_wrapped_notices(spark):
         assert label in got[i]["labels"].split(",") and got[i]["score"] == 1.0, made[i]
         assert any(m["label"] == label and m["share"] == 1.0 for m in got[i]["matches"]), made[i]
     assert all(not got[i]["matches"] for i in got if i not in want)
+
+
+def test_sql_finds_wrapped_notices(spark, tmp_path):
+    """The query and its SQL on notices that are wrapped, cut short, mixed up, repeated in rows, and on odd texts."""
+    import textwrap
+
+    from tests.compare import assert_same, duck
+
+    made = [r[:2] for r in cases.rows() if r[0] is not None]
+    for n, t in enumerate(licenses.TEMPLATES):
+        w = t.notice.split()
+        made += [(1000 + 4 * n + k, "\n # ".join(textwrap.wrap(x, 50))) for k, x in enumerate((t.notice, " ".join(w[: len(w) * 9 // 10]), " ".join(w[::-1]), "a b c " + t.notice + " " + t.notice))]
+    spark.createDataFrame(made, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert_same(licenses.op5_license_scan(spark, str(tmp_path)), duck(str(tmp_path)), licenses.ORACLE_OP5)
