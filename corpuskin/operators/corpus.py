@@ -30,6 +30,12 @@ def ifd_count_distribution(profiles: DataFrame) -> DataFrame:
     return profiles.groupBy("ifd_count").agg(F.count("*").alias("n_files"))
 
 
+def mode_ifd_count(distribution: DataFrame) -> DataFrame:
+    """(ifd_count, n_files): the most frequent section count; of equally frequent ones the largest. No row without files."""
+    best = F.max(F.struct("n_files", "ifd_count")).alias("m")
+    return distribution.agg(best).where("m is not null").select("m.ifd_count", "m.n_files")
+
+
 def position_distributions(profiles: DataFrame) -> DataFrame:
     """(position, field, value, n_files): of width, height, compression and tile size at each section number; null values count."""
     at = profiles.select(F.explode("ifds").alias("x")).select(

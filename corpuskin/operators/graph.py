@@ -24,6 +24,11 @@ def node_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(both.groupBy("file_id").agg(F.count("*").alias("degree")), "file_id", "left").fillna(0, ["degree"])
 
 
+def edge_count(edges: DataFrame) -> DataFrame:
+    """(n_edges)."""
+    return edges.agg(F.count("*").alias("n_edges"))
+
+
 def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(file_id, cluster_id): connected components, numbered from 0 by their smallest member. Isolated nodes are clusters of one."""
     found = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))

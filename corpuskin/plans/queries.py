@@ -96,6 +96,10 @@ def node_degrees(spark: SparkSession, d: str) -> DataFrame:
     return graph.node_degrees(graph.graph_nodes(files, edges), edges)
 
 
+def edge_count(spark: SparkSession, d: str) -> DataFrame:
+    return graph.edge_count(similarity_edges(spark, d))
+
+
 def components(spark: SparkSession, d: str) -> DataFrame:
     files = tables.document_files(spark, d)
     edges = materialize(similarity_edges(spark, d), "similar")
@@ -114,6 +118,11 @@ def _profiles(spark: SparkSession, d: str) -> DataFrame:
     return pr.build_profiles(tables.conversation_ifds(spark, d))
 
 
+def _document_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles of which many are alike: documents and their copies."""
+    return pr.build_profiles(tables.document_ifds(spark, d))
+
+
 def profiles(spark: SparkSession, d: str) -> DataFrame:
     p = _profiles(spark, d)
     return p.select("file_id", "ifd_count", F.size("description_tokens").alias("n_tokens"), F.array_join("description_tokens", " ").alias("tokens"), "description_preamble")
@@ -139,13 +148,17 @@ def unique_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def preamble_freq(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.preamble_frequencies(_profiles(spark, d))
+    return corpus.preamble_frequencies(_document_profiles(spark, d))
 
 
 def ifd_count_dist(spark: SparkSession, d: str) -> DataFrame:
     return corpus.ifd_count_distribution(_profiles(spark, d))
 
 
+def mode_ifd_count(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.mode_ifd_count(ifd_count_dist(spark, d))
+
+
 def position_dist(spark: SparkSession, d: str) -> DataFrame:
     return corpus.position_distributions(_profiles(spark, d))
 
@@ -177,12 +190,11 @@ def skeleton_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return at.token_clusters(materialize(_profiles(spark, d), "profiles"), 0.2)
+    return at.token_clusters(materialize(_document_profiles(spark, d), "profiles"))
 
 
 def _archetypes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """At a threshold of 0.2: turns share fewer words than descriptions of one scanner do."""
-    found, members = at.derive_archetypes(materialize(_profiles(spark, d), "profiles"), 0.2)
+    found, members = at.derive_archetypes(materialize(_document_profiles(spark, d), "profiles"))
     return materialize(found, "archetypes"), members
 
 
@@ -192,23 +204,23 @@ def archetypes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def archetype_relations(spark: SparkSession, d: str) -> DataFrame:
-    return at.archetype_relations(_first_words(spark, d)).drop("note")
+    return at.archetype_relations(_turn_sizes(spark, d)).drop("note")
 
 
-def _first_words(spark: SparkSession, d: str) -> DataFrame:
-    """Archetype-shaped rows of which many are related: a conversation with its preamble's first two words as tokens."""
-    p = _profiles(spark, d)
-    two = F.slice(F.split(F.lower(F.regexp_replace("description_preamble", "[^A-Za-z ]", "")), " "), F.lit(1), F.when(F.col("file_id") % 2 == 0, 1).otherwise(2))
-    rows = at.skeletons(p).join(p.select("file_id", F.array_sort(F.array_distinct(F.filter(two, lambda w: w != ""))).alias("common_tokens")), "file_id")
-    return materialize(rows.select(F.col("file_id").alias("archetype_id"), "skeleton", F.coalesce("common_tokens", F.array().cast("array<string>")).alias("common_tokens")), "first-words")
+def _turn_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Archetype-shaped rows of which many are related: a conversation, with its turns' lengths in hundreds of characters, four at a time, as tokens."""
+    ifds = tables.conversation_ifds(spark, d)
+    sizes = ifds.groupBy("file_id").agg(F.array_sort(F.collect_set(F.floor(F.length("description") / 400).cast("string"))).alias("common_tokens"))
+    rows = at.skeletons(pr.build_profiles(ifds)).join(sizes, "file_id")
+    return materialize(rows.select(F.col("file_id").alias("archetype_id"), "skeleton", "common_tokens"), "turn-sizes")
 
 
 def skeleton_diff_notes(spark: SparkSession, d: str) -> DataFrame:
-    return at.archetype_relations(_first_words(spark, d)).where("relation = 'same_tokens'").select("archetype_id", "other_id", "note")
+    return at.archetype_relations(_turn_sizes(spark, d)).where("relation = 'same_tokens'").select("archetype_id", "other_id", "note")
 
 
 def same_as(spark: SparkSession, d: str) -> DataFrame:
-    return at.first_equal(_first_words(spark, d))
+    return at.first_equal(_turn_sizes(spark, d))
 
 
 def ifd_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -289,7 +301,7 @@ QUERIES = {
         unit_manifest, file_entries, candidate_groups, candidate_totals, candidate_per_file, confirmed_groups, confirmed_totals,
         confirmed_per_file, false_positive_groups, pair_overlaps, pair_scores_all, pair_scores_top, similarity_edges, node_degrees,
         components, cluster_stats, profiles, description_tokens, token_freq, common_tokens, unique_tokens, preamble_freq,
-        ifd_count_dist, position_dist, position_modes, dist_top3, structural_signature, structural_pairs,
+        ifd_count_dist, mode_ifd_count, edge_count, position_dist, position_modes, dist_top3, structural_signature, structural_pairs,
         structural_pairs_min_score, skeleton_groups, token_clusters, archetypes, archetype_relations, skeleton_diff_notes, same_as,
         ifd_runs, label_macro_roles, file_stats, corpus_totals, compression_files, geometry_files, ambiguous_strips,
         file_size_range, shared_runs, arch_segments, arch_bytes, compression_labels, size_labels, unit_kinds,

@@ -82,13 +82,21 @@ cl AS (SELECT file_id, dense_rank() OVER (ORDER BY c) - 1 AS cluster_id FROM k)"
 _IFDS = r"""
 WITH RECURSIVE i AS (
   SELECT conv_id AS file_id, turn::INTEGER AS ifd_index, length(text)::INTEGER AS width, len(string_split(text, ' '))::INTEGER AS height,
-    CASE role WHEN 'user' THEN 7 WHEN 'assistant' THEN 33003 END AS compression, CASE WHEN role = 'assistant' THEN 256 END AS tile_width,
+    CASE role WHEN 'user' THEN 7 WHEN 'assistant' THEN 33003 END AS compression, CASE WHEN role = 'assistant' THEN 256 END AS tile_width, CASE WHEN role = 'assistant' THEN 128 + 64 * (conv_id % 2) END AS tile_height,
     len(string_split(text, chr(10)))::INTEGER AS unit_count, CASE WHEN role = 'system' THEN 'macro' END AS role, text AS description FROM conversations
 ), files AS (
   SELECT conv_id AS file_id, 'conv-' || conv_id AS path, sum(strlen(coalesce(text, '')))::BIGINT AS file_size FROM conversations GROUP BY conv_id
 )"""
 
 
+_DOC_IFDS = r"""
+WITH RECURSIVE i AS (
+  SELECT doc_id AS file_id, 0 AS ifd_index, length(text)::INTEGER AS width, len(string_split(text, chr(10)))::INTEGER AS height,
+    CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 5 WHEN 'fr' THEN 7 WHEN 'es' THEN 8 END AS compression, NULL::INTEGER AS tile_width, NULL::INTEGER AS tile_height,
+    1 AS unit_count, NULL::VARCHAR AS role, text AS description FROM documents
+)"""
+
+
 def _tokens(source: str, key: str) -> str:
     return rf"""SELECT DISTINCT {key} AS file_id, token FROM (
     SELECT {key}, lower(regexp_replace(word, '[^\p{{L}}\p{{N}}]', '', 'g')) AS token FROM (
@@ -97,9 +105,10 @@ def _tokens(source: str, key: str) -> str:
   WHERE strlen(token) >= 2 AND NOT regexp_full_match(token, '[0-9]+')"""
 
 
-_PROFILES = (
-    _IFDS
-    + ", t AS ("
+def _profiles(ifds: str) -> str:
+    return (
+        ifds
+        + ", t AS ("
     + _tokens("description", "file_id").replace("SRC", "i")
     + r"""), tk AS (SELECT file_id, list(token ORDER BY token) AS tokens FROM t GROUP BY file_id),
 pre AS (SELECT file_id, ifd_index, trim(split_part(description, '|', 1), E' \t\n\r') AS p FROM i),
@@ -107,16 +116,21 @@ pf AS (SELECT file_id, arg_min(p, ifd_index) AS preamble FROM pre WHERE p <> ''
 p AS (
   SELECT i.file_id, count(*) AS ifd_count, list({'x': ifd_index, 'w': width, 'h': height, 'c': compression, 'tw': tile_width, 'r': role} ORDER BY ifd_index) AS ifds,
     list({'c': compression, 't': tile_width IS NOT NULL, 'r': role} ORDER BY ifd_index) AS skel,
-    string_agg(coalesce(compression::VARCHAR, '?') || CASE WHEN tile_width IS NULL THEN 's' ELSE 't' END || coalesce(role, ''), ' ' ORDER BY ifd_index) AS skeleton FROM i GROUP BY 1
+    string_agg(coalesce(compression::VARCHAR, '?') || CASE WHEN tile_width IS NULL THEN 's' ELSE 't' END || coalesce(role, ''), ' ' ORDER BY ifd_index) AS shown,
+    string_agg(coalesce(compression::VARCHAR, '?') || '/' || coalesce(tile_width || 'x' || tile_height, 's') || '/' || coalesce(role, ''), ' ' ORDER BY ifd_index) AS skeleton FROM i GROUP BY 1
 ), pp AS (SELECT p.*, coalesce(tk.tokens, []) AS tokens, preamble FROM p LEFT JOIN tk ON p.file_id = tk.file_id LEFT JOIN pf ON p.file_id = pf.file_id)"""
-)
+    )
+
+
+_PROFILES = _profiles(_IFDS)
+_DOC_PROFILES = _profiles(_DOC_IFDS)
 
 _DIST = (
     _IFDS
     + r""", d AS (
   SELECT position, field, value, count(*) AS n_files FROM (
     SELECT ifd_index AS position, 'width' AS field, width::VARCHAR AS value FROM i UNION ALL SELECT ifd_index, 'height', height::VARCHAR FROM i
-    UNION ALL SELECT ifd_index, 'compression', compression::VARCHAR FROM i UNION ALL SELECT ifd_index, 'tile', tile_width || 'x' || tile_width FROM i) GROUP BY ALL
+    UNION ALL SELECT ifd_index, 'compression', compression::VARCHAR FROM i UNION ALL SELECT ifd_index, 'tile', tile_width || 'x' || tile_height FROM i) GROUP BY ALL
 )"""
 )
 _VALUE_ORDER = "coalesce(split_part(value, 'x', 1)::BIGINT, -1), coalesce(split_part(value, 'x', -1)::BIGINT, -1)"
@@ -136,18 +150,18 @@ _PAIRS = (
 )
 
 _TOKEN_CLUSTERS = (
-    _PROFILES
+    _DOC_PROFILES
     + r""", tl AS (
   SELECT a.file_id AS a, b.file_id AS b FROM pp a JOIN pp b ON a.skeleton = b.skeleton AND a.file_id <> b.file_id
-  WHERE CASE WHEN len(a.tokens) + len(b.tokens) = 0 THEN 1.0 ELSE len(list_intersect(a.tokens, b.tokens))::DOUBLE / (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens))) END >= 0.2
+  WHERE CASE WHEN len(a.tokens) + len(b.tokens) = 0 THEN 1.0 ELSE len(list_intersect(a.tokens, b.tokens))::DOUBLE / (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens))) END >= 0.5
 ), r AS (SELECT file_id AS n, file_id AS c FROM pp UNION SELECT tl.b, r.c FROM r JOIN tl ON r.n = tl.a),
 tc AS (SELECT n AS file_id, min(c) AS first_file FROM r GROUP BY 1)"""
 )
 
-_FIRST_WORDS = (
+_TURN_SIZES = (
     _PROFILES
-    + r""", fw AS (
-  SELECT file_id, skel, ifd_count, list_sort(list_distinct(list_filter(string_split(lower(regexp_replace(coalesce(preamble, ''), '[^A-Za-z ]', '', 'g')), ' ')[1:CASE WHEN file_id % 2 = 0 THEN 1 ELSE 2 END], lambda w: w <> ''))) AS tk FROM pp
+    + r""", ls AS (SELECT DISTINCT file_id, (length(description) // 400)::VARCHAR AS w FROM i), fw AS (
+  SELECT pp.file_id, any_value(skel) AS skel, any_value(ifd_count) AS ifd_count, list(w ORDER BY w) AS tk FROM pp JOIN ls ON ls.file_id = pp.file_id GROUP BY 1
 ), eq AS (SELECT a.file_id AS i, b.file_id AS j, a.skel AS si, b.skel AS sj FROM fw a JOIN fw b ON a.file_id < b.file_id AND a.tk = b.tk),
 note AS (SELECT i, j, list_filter([CASE WHEN len(sj) <> len(si) THEN 'IFD count ' || CASE WHEN len(sj) > len(si) THEN '+' ELSE '' END || (len(sj) - len(si)) || ' (' || len(sj) || ' vs ' || len(si) || ')' END]
   || flatten(list_transform(range(1, least(len(si), len(sj)) + 1), lambda k: [
@@ -180,7 +194,7 @@ _STATS = (
 us AS (SELECT file_id, count(*) FILTER (tile_width IS NOT NULL) AS tile_count, count(*) FILTER (tile_width IS NULL) AS strip_count, sum(strlen(line))::BIGINT AS payload_bytes FROM un GROUP BY 1),
 st AS (
   SELECT f.file_id, path, file_size, tile_count, strip_count, payload_bytes, pyramid_levels, roles, tile_sizes, compressions FROM files f JOIN us ON f.file_id = us.file_id JOIN (
-    SELECT file_id, count(*) FILTER (role IS NULL) AS pyramid_levels, coalesce(string_agg(role, ',' ORDER BY ifd_index), '') AS roles, CASE WHEN bool_or(tile_width IS NOT NULL) THEN '256x256' ELSE '' END AS tile_sizes,
+    SELECT file_id, count(*) FILTER (role IS NULL) AS pyramid_levels, coalesce(string_agg(role, ',' ORDER BY ifd_index), '') AS roles, coalesce(array_to_string(list_sort(list_distinct(list(tile_width || 'x' || tile_height) FILTER (tile_width IS NOT NULL))), ','), '') AS tile_sizes,
       coalesce(array_to_string(list_sort(list_distinct(list(compression) FILTER (compression IS NOT NULL))), ','), '') AS compressions FROM i GROUP BY 1) x ON f.file_id = x.file_id
 )"""
 )
@@ -215,15 +229,17 @@ FROM cl JOIN e ON e.file_id = cl.file_id LEFT JOIN (SELECT cluster_id, min(score
     "token_freq": _PROFILES + "SELECT token, count(*) AS n_files FROM t GROUP BY 1",
     "common_tokens": _PROFILES + "SELECT token, count(*) AS n_files FROM t GROUP BY 1 HAVING count(*) >= 5 ORDER BY 2 DESC, 1",
     "unique_tokens": _PROFILES + "SELECT token FROM t GROUP BY 1 HAVING count(*) = 1 ORDER BY 1",
-    "preamble_freq": _PROFILES + "SELECT preamble, count(*) AS n_files FROM pf GROUP BY 1",
+    "preamble_freq": _DOC_PROFILES + "SELECT preamble, count(*) AS n_files FROM pf GROUP BY 1",
     "ifd_count_dist": _PROFILES + "SELECT ifd_count, count(*) AS n_files FROM p GROUP BY 1",
     "position_dist": _DIST + "SELECT * FROM d",
+    "mode_ifd_count": _PROFILES + "SELECT ifd_count, count(*) AS n_files FROM p GROUP BY 1 ORDER BY 2 DESC, 1 DESC LIMIT 1",
+    "edge_count": _SCORES + "SELECT count(*) AS n_edges FROM ed",
     "position_modes": _DIST + f"SELECT position, field, value, n_files FROM d QUALIFY row_number() OVER (PARTITION BY position, field ORDER BY n_files DESC, {_VALUE_ORDER.replace(', coalesce', ' DESC, coalesce')} DESC) = 1",
     "dist_top3": _DIST + f"SELECT *, row_number() OVER (PARTITION BY position, field ORDER BY n_files DESC, {_VALUE_ORDER})::INTEGER AS rank, greatest(count(*) OVER (PARTITION BY position, field) - 3, 0) AS more FROM d QUALIFY rank <= 3",
-    "structural_signature": _IFDS + "SELECT file_id, 'n=' || count(*) || ' ' || string_agg('[' || ifd_index || ':' || width || 'x' || height || '/c=' || coalesce(compression::VARCHAR, '?') || '/' || CASE WHEN tile_width IS NULL THEN 'strip' ELSE 'tiled=256x256' END || ']', ' ' ORDER BY ifd_index) AS signature FROM i GROUP BY 1",
+    "structural_signature": _IFDS + "SELECT file_id, 'n=' || count(*) || ' ' || string_agg('[' || ifd_index || ':' || width || 'x' || height || '/c=' || coalesce(compression::VARCHAR, '?') || '/' || CASE WHEN tile_width IS NULL THEN 'strip' ELSE 'tiled=' || tile_width || 'x' || tile_height END || ']', ' ' ORDER BY ifd_index) AS signature FROM i GROUP BY 1",
     "structural_pairs": _PAIRS + "SELECT * FROM sp",
     "structural_pairs_min_score": _PAIRS + "SELECT * FROM sp WHERE score >= 0.6 ORDER BY score DESC, a, b LIMIT 200",
-    "skeleton_groups": _PROFILES + "SELECT min(file_id) AS first_file, count(*) AS n_files, skeleton FROM p GROUP BY skeleton",
+    "skeleton_groups": _PROFILES + "SELECT min(file_id) AS first_file, count(*) AS n_files, any_value(shown) AS skeleton FROM p GROUP BY skeleton",
     "token_clusters": _TOKEN_CLUSTERS + "SELECT * FROM tc",
     "archetypes": _TOKEN_CLUSTERS
     + r""", mt AS (SELECT first_file, token, count(*) AS n FROM t JOIN tc ON t.file_id = tc.file_id GROUP BY 1, 2),
@@ -232,12 +248,12 @@ ct AS (SELECT b.first_file, list(token ORDER BY token) FILTER (n = n_files) AS c
 x AS (SELECT b.*, coalesce(c, []) AS c, coalesce(v, 0) AS v FROM b LEFT JOIN ct ON b.first_file = ct.first_file),
 y AS (SELECT *, list_transform(skel, lambda s: [coalesce(s.c, -1), s.t::INT, (s.r IS NOT NULL)::INT]) AS k FROM x)
 SELECT row_number() OVER (ORDER BY n_files DESC, ifd_count, len(c), k, first_file) - 1 AS archetype_id, n_files, first_file, ifd_count, array_to_string(c, ' ') AS common_tokens, v::INTEGER AS n_variable FROM y""",
-    "archetype_relations": _FIRST_WORDS
+    "archetype_relations": _TURN_SIZES
     + r"""SELECT i AS archetype_id, j AS other_id, 'same_tokens' AS relation FROM eq UNION ALL SELECT j, i, 'same_tokens' FROM eq
 UNION ALL SELECT a.file_id, b.file_id, 'subset_of' FROM fw a JOIN fw b ON a.file_id <> b.file_id WHERE len(a.tk) > 0 AND len(a.tk) < len(b.tk) AND len(list_intersect(a.tk, b.tk)) = len(a.tk)
 UNION ALL SELECT b.file_id, a.file_id, 'superset_of' FROM fw a JOIN fw b ON a.file_id <> b.file_id WHERE len(a.tk) > 0 AND len(a.tk) < len(b.tk) AND len(list_intersect(a.tk, b.tk)) = len(a.tk)""",
-    "skeleton_diff_notes": _FIRST_WORDS + "SELECT i AS archetype_id, j AS other_id, note FROM notes UNION ALL SELECT j, i, note FROM notes",
-    "same_as": _FIRST_WORDS + "SELECT j AS archetype_id, min(i) AS same_as FROM eq GROUP BY j",
+    "skeleton_diff_notes": _TURN_SIZES + "SELECT i AS archetype_id, j AS other_id, note FROM notes UNION ALL SELECT j, i, note FROM notes",
+    "same_as": _TURN_SIZES + "SELECT j AS archetype_id, min(i) AS same_as FROM eq GROUP BY j",
     "ifd_runs": _IFDS
     + r""", s AS (SELECT *, tile_width IS NOT NULL AS is_tiled FROM i),
 c AS (SELECT *, CASE WHEN lag(file_id) OVER w IS NULL OR lag(compression) OVER w IS DISTINCT FROM compression OR lag(is_tiled) OVER w IS DISTINCT FROM is_tiled OR lag(role) OVER w IS DISTINCT FROM role THEN 1 ELSE 0 END AS ch, row_number() OVER w - 1 AS pos FROM s WINDOW w AS (PARTITION BY file_id ORDER BY ifd_index)),
@@ -251,7 +267,7 @@ SELECT file_id, ifd_index, CASE WHEN op AND k = 2 THEN CASE WHEN rk = 1 THEN 'la
     "file_stats": _STATS + "SELECT * FROM st",
     "corpus_totals": _STATS + "SELECT count(*) AS files, sum(file_size)::BIGINT AS total_bytes, sum(tile_count)::BIGINT AS tiles, sum(strip_count)::BIGINT AS strips, sum(payload_bytes)::BIGINT AS payload_bytes, greatest(sum(file_size) - sum(payload_bytes), 0)::BIGINT AS overhead_bytes FROM st",
     "compression_files": _IFDS + "SELECT compression, count(DISTINCT file_id) AS n_files FROM i WHERE compression IS NOT NULL GROUP BY 1",
-    "geometry_files": _IFDS + "SELECT tile_width || 'x' || tile_width AS tile_size, count(DISTINCT file_id) AS n_files FROM i WHERE tile_width IS NOT NULL GROUP BY 1",
+    "geometry_files": _IFDS + "SELECT tile_width || 'x' || tile_height AS tile_size, count(DISTINCT file_id) AS n_files FROM i WHERE tile_width IS NOT NULL GROUP BY 1",
     "ambiguous_strips": _IFDS + "SELECT file_id, ifd_index FROM (SELECT *, count(*) OVER (PARTITION BY file_id) AS n FROM i) WHERE role IS NULL AND tile_width IS NULL AND NOT contains(lower(description), 'label') AND NOT contains(lower(description), 'macro') AND unit_count > 0 AND n >= 4 AND ifd_index > 0",
     "file_size_range": _UNITS + "SELECT min(file_size) AS min_size, max(file_size) AS max_size FROM files",
     "shared_runs": _RUNS + "SELECT * FROM runs",

@@ -61,13 +61,31 @@ def conversation_ifds(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(F.split("text", " ", -1)).alias("height"),
         _code("role", ROLE_CODES).alias("compression"),
         tile.alias("tile_width"),
-        tile.alias("tile_height"),
+        (tile / 2 + 64 * (F.col("conv_id") % 2)).cast("int").alias("tile_height"),
         F.size(F.split("text", "\n", -1)).alias("unit_count"),
         F.when(F.col("role") == "system", "macro").alias("role"),
         F.col("text").alias("description"),
     )
 
 
+def document_ifds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A section per document: its whole text is the description, its language the compression; characters and lines its dimensions."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    none = F.lit(None)
+    return docs.select(
+        F.col("doc_id").alias("file_id"),
+        F.lit(0).alias("ifd_index"),
+        F.length("text").alias("width"),
+        F.size(F.split("text", "\n", -1)).alias("height"),
+        _code("lang", LANG_CODES).alias("compression"),
+        none.cast("int").alias("tile_width"),
+        none.cast("int").alias("tile_height"),
+        F.lit(1).alias("unit_count"),
+        none.cast("string").alias("role"),
+        F.col("text").alias("description"),
+    )
+
+
 def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long")
