@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuskin.functions.labels import compression_label, format_size, kind_label
@@ -10,7 +10,8 @@ from corpuskin.operators import archetype as at
 from corpuskin.operators import archive, corpus, dedup, graph, overlap, stats, structural
 from corpuskin.operators import profile as pr
 from corpuskin.plans.shared import materialize
-from corpuskin.sources import tables
+from corpuskin.sources import slides, tables
+from corpuskin.sources.writer import write_slides
 
 
 def _candidates(spark: SparkSession, d: str, payload: bool = False) -> tuple[dedup.Report, DataFrame, DataFrame]:
@@ -295,6 +296,63 @@ def unit_kinds(spark: SparkSession, d: str) -> DataFrame:
     return tables.conversation_units(spark, d).groupBy(kind_label(F.col("kind")).alias("kind")).agg(F.count("*").alias("n_units"), F.sum("length").alias("bytes"))
 
 
+def _slides(spark: SparkSession, d: str) -> str:
+    """A folder of containers, one per conversation, some of them spoiled: sections are its turns, units their lines."""
+    ifds = tables.conversation_ifds(spark, d)
+    bad = F.when(F.col("file_id") % 11 == 3, "magic").when(F.col("file_id") % 11 == 5, "order").when(F.col("file_id") % 11 == 7, "cycle")
+    sections = ifds.select(
+        F.concat(F.lit("c"), F.lpad(F.col("file_id").cast("string"), 10, "0"), F.lit(".svs")).alias("name"),
+        (F.col("file_id") % 3 == 0).alias("big"),
+        F.when(F.col("file_id") % 2 == 0, "<").otherwise(">").alias("order"),
+        bad.alias("broken"),
+        "ifd_index", "width", "height", "compression", "tile_width", "tile_height",
+        F.when(F.col("ifd_index") == 0, 0).otherwise(1).alias("subfile_type"),
+        "description",
+        F.transform(F.split("description", "\n", -1), lambda x: x.cast("binary")).alias("payloads"),
+    )
+    return write_slides(sections, "broken")
+
+
+def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
+    return slides.read_slides(spark, _slides(spark, d), table, filesPerPartition="8")
+
+
+def _name():
+    return F.substring_index("path", "/", -1).alias("name")
+
+
+def slide_files(spark: SparkSession, d: str) -> DataFrame:
+    return slides.with_rows(_read(spark, d, "files")).select("file_id", _name(), "byte_order", "big", "ifd_count")
+
+
+def slide_errors(spark: SparkSession, d: str) -> DataFrame:
+    return slides.warnings(_read(spark, d, "ifds")).select(_name(), "error")
+
+
+def slide_ifds(spark: SparkSession, d: str) -> DataFrame:
+    rows = slides.with_rows(_read(spark, d, "ifds"))
+    return rows.select("file_id", "ifd_index", "width", "height", "compression", "tile_width", "tile_height", "unit_count", "role", "description", F.hex("raw_description").alias("raw"))
+
+
+def slide_units(spark: SparkSession, d: str) -> DataFrame:
+    return slides.with_rows(_read(spark, d, "units")).drop("path", "file_size")
+
+
+def slide_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprints by ranged reads of the units' positions."""
+    units = slides.with_rows(_read(spark, d, "units"))
+    idx = F.row_number().over(Window.partitionBy("file_id").orderBy("ifd_index", "unit_index")) - 1
+    return slides.with_prints(units).select("file_id", idx.alias("idx"), "ifd_index", "unit_index", "kind", "offset", "length", "compression", "coarse_fp")
+
+
+def slide_confirmed(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of equal units of containers: only candidates' bytes are hashed."""
+    units = materialize(slides.with_rows(_read(spark, d, "manifest")), "manifest")
+    files = units.select("file_id", "path", "file_size").distinct()
+    found = dedup.confirm_candidates(dedup.find_candidates(units, files), units, files, read=slides.with_hashes)
+    return dedup.in_order(found.groups)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -305,5 +363,6 @@ QUERIES = {
         structural_pairs_min_score, skeleton_groups, token_clusters, archetypes, archetype_relations, skeleton_diff_notes, same_as,
         ifd_runs, label_macro_roles, file_stats, corpus_totals, compression_files, geometry_files, ambiguous_strips,
         file_size_range, shared_runs, arch_segments, arch_bytes, compression_labels, size_labels, unit_kinds,
+        slide_files, slide_errors, slide_ifds, slide_units, slide_manifest, slide_confirmed,
     )
 }

@@ -6,6 +6,9 @@ names in ``spark.checkpoint.dir``, never by executor-local copies.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -14,35 +17,68 @@ from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Where neither is set, a temporary folder on a local master (tests); on a cluster, whose machines wouldn't share that
+    folder, a ValueError.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         if have.isDefined():
             return have.get()
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="corpuskin-")
         spark.sparkContext.setCheckpointDir(where)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return where
 
 
+#: Folders that :func:`materialize` wrote and nothing has deleted yet.
+_written: set[str] = set()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back: later stages start from the written table."""
+    """Writes ``df`` as Parquet in the shared folder and reads it back: later stages start from the written table.
+
+    Tables last until :func:`discard` or :func:`sweep`, or the driver's end: results may still read them.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark).rstrip('/')}/corpuskin-{label}-{uuid.uuid4().hex}"
+    _written.add(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _written.discard(path)
+
+
+def sweep(spark: SparkSession | None = None) -> None:
+    """Deletes the tables that :func:`materialize` wrote. For a driver that runs on, once it has written its results; at the driver's end it is done by itself."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    for path in sorted(_written):
+        _delete(spark, path)
+
+
+@atexit.register
+def _sweep_at_the_end() -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        sweep()
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table that :func:`materialize` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     roots = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
     for root in roots:
         if "/corpuskin-" in root:
-            path = jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            for path in [p for p in _written if p.rsplit("/", 1)[-1] == root.rsplit("/", 1)[-1]] or [root]:
+                _delete(df.sparkSession, path)
 
 
 def ranked(df: DataFrame, group: str, order: list[str], out: str, label: str) -> DataFrame:

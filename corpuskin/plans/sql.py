@@ -199,6 +199,33 @@ st AS (
 )"""
 )
 
+_ROLES = r""", r AS (SELECT *, CASE WHEN tile_width IS NULL THEN CASE WHEN contains(lower(description), 'label') THEN 'label' WHEN contains(lower(description), 'macro') THEN 'macro' WHEN ifd_index = 0 THEN 'thumbnail' END END AS r0 FROM i),
+o AS (SELECT *, tile_width IS NULL AND r0 IS NULL AS op FROM r),
+n AS (SELECT *, count(*) FILTER (op) OVER (PARTITION BY file_id) AS k, count(*) FILTER (r0 IN ('label', 'macro')) OVER (PARTITION BY file_id) AS kn, max(r0) FILTER (r0 IN ('label', 'macro')) OVER (PARTITION BY file_id) AS kr, row_number() OVER (PARTITION BY file_id, op ORDER BY width::BIGINT * height, ifd_index) AS rk FROM o),
+roles AS (SELECT file_id, ifd_index, CASE WHEN op AND k = 2 THEN CASE WHEN rk = 1 THEN 'label' ELSE 'macro' END WHEN op AND k = 1 THEN CASE WHEN kn = 1 THEN CASE WHEN kr = 'label' THEN 'macro' ELSE 'label' END END ELSE r0 END AS role FROM n)"""
+
+#: Containers of conversations: numbered by name, spoiled ones left out; payloads stand one after another behind the header.
+_SLIDES = (
+    _IFDS
+    + _ROLES
+    + r""", named AS (SELECT conv_id, (row_number() OVER (ORDER BY conv_id) - 1) AS file_id, 'c' || lpad(conv_id::VARCHAR, 10, '0') || '.svs' AS name, conv_id % 3 = 0 AS big FROM (SELECT DISTINCT conv_id FROM conversations)),
+sound AS (SELECT * FROM named WHERE conv_id % 11 NOT IN (3, 5, 7)),
+su AS (SELECT s.file_id, s.conv_id, big, i.ifd_index, compression, tile_width, string_split(description, chr(10)) AS ls FROM i JOIN sound s ON i.file_id = s.conv_id),
+sl AS (SELECT * EXCLUDE (ls), unnest(ls) AS line, unnest(range(len(ls)))::INTEGER AS unit_index FROM su),
+unit AS (SELECT sl.file_id, sl.ifd_index, unit_index, CASE WHEN tile_width IS NULL THEN 1 ELSE 0 END AS kind,
+  (CASE WHEN big THEN 16 ELSE 8 END + coalesce(sum(strlen(line)) OVER (PARTITION BY sl.file_id ORDER BY sl.ifd_index, unit_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset",
+  strlen(line)::BIGINT AS length, compression, role, line FROM sl JOIN roles ON roles.file_id = sl.conv_id AND roles.ifd_index = sl.ifd_index)"""
+)
+
+_SLIDE_PRINTS = (
+    _SLIDES
+    + r""", w AS (SELECT *, hex(encode(line)) AS h, list_transform(range(8), lambda i: ((length >> (8 * i)) & 255)::INTEGER) AS le,
+  range(1, least(length, 64) + 1) || CASE WHEN length > 128 THEN range(length // 2 + 1, length // 2 + 65) ELSE [] END || CASE WHEN length > 64 THEN range(length - 63, length + 1) ELSE [] END AS ps FROM unit),
+fpu AS (SELECT *, lower(lpad(hex(list_reduce([14695981039346656037::UHUGEINT, kind::UHUGEINT] || list_transform(le || CASE WHEN compression IS NULL THEN [] ELSE [compression & 255, compression >> 8] END
+  || list_transform(ps, lambda i: (strpos('0123456789ABCDEF', h[2*i-1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2*i]) - 1), lambda x: x::UHUGEINT),
+  lambda s, x: (xor(s, x) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT), 16, '0')) AS coarse_fp FROM w)"""
+)
+
 ORACLE_SQL: dict[str, str] = {
     "unit_manifest": _FP + "SELECT * EXCLUDE (line), (coalesce(sum(length + 1) OVER (PARTITION BY file_id ORDER BY unit_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS \"offset\" FROM u",
     "file_entries": _SCORES + "SELECT * FROM e",
@@ -259,11 +286,7 @@ UNION ALL SELECT b.file_id, a.file_id, 'superset_of' FROM fw a JOIN fw b ON a.fi
 c AS (SELECT *, CASE WHEN lag(file_id) OVER w IS NULL OR lag(compression) OVER w IS DISTINCT FROM compression OR lag(is_tiled) OVER w IS DISTINCT FROM is_tiled OR lag(role) OVER w IS DISTINCT FROM role THEN 1 ELSE 0 END AS ch, row_number() OVER w - 1 AS pos FROM s WINDOW w AS (PARTITION BY file_id ORDER BY ifd_index)),
 r AS (SELECT *, sum(ch) OVER (PARTITION BY file_id ORDER BY pos) - 1 AS run FROM c)
 SELECT file_id AS archetype_id, run::BIGINT AS run, min(pos)::INTEGER AS first, max(pos)::INTEGER AS last, any_value(compression) AS compression, any_value(is_tiled) AS is_tiled, any_value(role) AS role FROM r GROUP BY file_id, run""",
-    "label_macro_roles": _IFDS
-    + r""", r AS (SELECT *, CASE WHEN tile_width IS NULL THEN CASE WHEN contains(lower(description), 'label') THEN 'label' WHEN contains(lower(description), 'macro') THEN 'macro' WHEN ifd_index = 0 THEN 'thumbnail' END END AS r0 FROM i),
-o AS (SELECT *, tile_width IS NULL AND r0 IS NULL AS op FROM r),
-n AS (SELECT *, count(*) FILTER (op) OVER (PARTITION BY file_id) AS k, count(*) FILTER (r0 IN ('label', 'macro')) OVER (PARTITION BY file_id) AS kn, max(r0) FILTER (r0 IN ('label', 'macro')) OVER (PARTITION BY file_id) AS kr, row_number() OVER (PARTITION BY file_id, op ORDER BY width::BIGINT * height, ifd_index) AS rk FROM o)
-SELECT file_id, ifd_index, CASE WHEN op AND k = 2 THEN CASE WHEN rk = 1 THEN 'label' ELSE 'macro' END WHEN op AND k = 1 THEN CASE WHEN kn = 1 THEN CASE WHEN kr = 'label' THEN 'macro' ELSE 'label' END END ELSE r0 END AS role FROM n""",
+    "label_macro_roles": _IFDS + _ROLES + "SELECT * FROM roles",
     "file_stats": _STATS + "SELECT * FROM st",
     "corpus_totals": _STATS + "SELECT count(*) AS files, sum(file_size)::BIGINT AS total_bytes, sum(tile_count)::BIGINT AS tiles, sum(strip_count)::BIGINT AS strips, sum(payload_bytes)::BIGINT AS payload_bytes, greatest(sum(file_size) - sum(payload_bytes), 0)::BIGINT AS overhead_bytes FROM st",
     "compression_files": _IFDS + "SELECT compression, count(DISTINCT file_id) AS n_files FROM i WHERE compression IS NOT NULL GROUP BY 1",
@@ -276,4 +299,10 @@ SELECT file_id, ifd_index, CASE WHEN op AND k = 2 THEN CASE WHEN rk = 1 THEN 'la
     "compression_labels": _IFDS + "SELECT compression, CASE compression WHEN 7 THEN 'JPEG (7)' WHEN 33003 THEN 'JPEG 2000 (33003)' END AS label, count(*) AS n FROM i GROUP BY 1",
     "size_labels": _UNITS + "SELECT file_id, CASE WHEN s < 1024 THEN s || ' B' WHEN s < 1048576 THEN printf('%.1f KiB', s / 1024.0::DOUBLE) WHEN s < 1073741824 THEN printf('%.1f MiB', s / 1048576.0::DOUBLE) ELSE printf('%.1f GiB', s / 1073741824.0::DOUBLE) END AS size FROM (SELECT file_id, file_size * 1000 AS s FROM files)",
     "unit_kinds": _STATS + "SELECT CASE WHEN tile_width IS NULL THEN 'strip' ELSE 'tile' END AS kind, count(*) AS n_units, sum(strlen(line))::BIGINT AS bytes FROM un GROUP BY 1",
+    "slide_files": _SLIDES + "SELECT s.file_id, name, CASE WHEN conv_id % 2 = 0 THEN 'II' ELSE 'MM' END AS byte_order, big, n::INTEGER AS ifd_count FROM sound s JOIN (SELECT conv_id AS c, count(*) AS n FROM conversations GROUP BY 1) ON c = conv_id",
+    "slide_errors": _SLIDES + "SELECT name, 'SlideError: ' || CASE conv_id % 11 WHEN 3 THEN 'unsupported magic number 99' WHEN 5 THEN 'unknown byte order 0xcdab' ELSE 'over 1024 sections' END AS error FROM named WHERE conv_id % 11 IN (3, 5, 7)",
+    "slide_ifds": _SLIDES + "SELECT s.file_id, i.ifd_index, width::BIGINT AS width, height::BIGINT AS height, compression, tile_width::BIGINT AS tile_width, tile_height::BIGINT AS tile_height, unit_count, roles.role, description, hex(encode(description)) || '00' AS raw FROM i JOIN sound s ON i.file_id = conv_id JOIN roles ON roles.file_id = conv_id AND roles.ifd_index = i.ifd_index",
+    "slide_units": _SLIDES + "SELECT * EXCLUDE (line) FROM unit",
+    "slide_manifest": _SLIDE_PRINTS + "SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY ifd_index, unit_index) - 1)::INTEGER AS idx, ifd_index, unit_index, kind, \"offset\", length, compression, coarse_fp FROM fpu",
+    "slide_confirmed": _SLIDE_PRINTS + "SELECT kind, compression, length, coarse_fp, sha256(line) AS strong_hash, count(*) AS n_units, min(file_id) <> max(file_id) AS cross_file, length * (count(*) - 1) AS reusable_bytes FROM fpu GROUP BY kind, compression, length, coarse_fp, sha256(line) HAVING count(*) >= 2",
 }
