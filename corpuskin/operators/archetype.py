@@ -134,12 +134,12 @@ def first_equal(archetypes: DataFrame) -> DataFrame:
 
 
 def section_runs(archetypes: DataFrame) -> DataFrame:
-    """(archetype_id, run, first, last, compression, is_tiled, role): consecutive sections of equal compression, layout and role."""
+    """(archetype_id, run, first, last, compression, is_tiled, tile_width, tile_height, role): consecutive sections of equal compression, layout and role."""
     slots = archetypes.select("archetype_id", F.posexplode("skeleton.per_ifd").alias("pos", "x"))
-    slots = slots.select("archetype_id", "pos", "x.compression", "x.is_tiled", "x.role")
+    slots = slots.select("archetype_id", "pos", *[f"x.{k}" for k in SKELETON])
     w = Window.partitionBy("archetype_id").orderBy("pos")
-    now = F.struct("compression", "is_tiled", "role")
+    now = F.struct(*SKELETON)
     changed = F.coalesce(~now.eqNullSafe(F.lag(now).over(w)), F.lit(True)) | (F.col("pos") == 0)
     numbered = slots.withColumn("_c", changed.cast("int")).withColumn("run", F.sum("_c").over(w) - 1)
     runs = numbered.groupBy("archetype_id", "run")
-    return runs.agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.first("compression").alias("compression"), F.first("is_tiled").alias("is_tiled"), F.first("role").alias("role"))
+    return runs.agg(F.min("pos").alias("first"), F.max("pos").alias("last"), *[F.first(k).alias(k) for k in SKELETON])

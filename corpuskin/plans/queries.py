@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuskin.functions.labels import compression_label, format_size, kind_label
 from corpuskin.operators import archetype as at
-from corpuskin.operators import archive, corpus, dedup, graph, overlap, stats, structural
+from corpuskin.operators import archive, corpus, dedup, graph, overlap, reports, stats, structural
 from corpuskin.operators import profile as pr
 from corpuskin.plans.shared import materialize
 from corpuskin.sources import slides, tables
@@ -208,6 +208,10 @@ def archetype_relations(spark: SparkSession, d: str) -> DataFrame:
     return at.archetype_relations(_turn_sizes(spark, d)).drop("note")
 
 
+def archetype_lines(spark: SparkSession, d: str) -> DataFrame:
+    return reports.archetype_lines(_archetypes(spark, d)[0])
+
+
 def _turn_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Archetype-shaped rows of which many are related: a conversation, with its turns' lengths in hundreds of characters, four at a time, as tokens."""
     ifds = tables.conversation_ifds(spark, d)
@@ -245,6 +249,10 @@ def file_stats(spark: SparkSession, d: str) -> DataFrame:
     return s.select(*[c for c in s.columns if c not in ("roles", "tile_sizes", "compressions")], text("roles"), text("tile_sizes"), text("compressions"))
 
 
+def stats_lines(spark: SparkSession, d: str) -> DataFrame:
+    return reports.stats_lines(_stats(spark, d), tables.conversation_ifds(spark, d))
+
+
 def corpus_totals(spark: SparkSession, d: str) -> DataFrame:
     return stats.corpus_totals(_stats(spark, d))
 
@@ -345,6 +353,16 @@ def slide_manifest(spark: SparkSession, d: str) -> DataFrame:
     return slides.with_prints(units).select("file_id", idx.alias("idx"), "ifd_index", "unit_index", "kind", "offset", "length", "compression", "coarse_fp")
 
 
+def inspect_lines(spark: SparkSession, d: str) -> DataFrame:
+    folder = _slides(spark, d)
+    files, ifds, units = (slides.with_rows(slides.read_slides(spark, folder, t, filesPerPartition="8")) for t in ("files", "ifds", "units"))
+    return reports.inspect_lines(files.withColumn("path", F.substring_index("path", "/", -1)), ifds, units)
+
+
+def unit_lines(spark: SparkSession, d: str) -> DataFrame:
+    return reports.unit_lines(slides.with_rows(_read(spark, d, "manifest")))
+
+
 def slide_confirmed(spark: SparkSession, d: str) -> DataFrame:
     """Groups of equal units of containers: only candidates' bytes are hashed."""
     units = materialize(slides.with_rows(_read(spark, d, "manifest")), "manifest")
@@ -363,6 +381,6 @@ QUERIES = {
         structural_pairs_min_score, skeleton_groups, token_clusters, archetypes, archetype_relations, skeleton_diff_notes, same_as,
         ifd_runs, label_macro_roles, file_stats, corpus_totals, compression_files, geometry_files, ambiguous_strips,
         file_size_range, shared_runs, arch_segments, arch_bytes, compression_labels, size_labels, unit_kinds,
-        slide_files, slide_errors, slide_ifds, slide_units, slide_manifest, slide_confirmed,
+        slide_files, slide_errors, slide_ifds, slide_units, slide_manifest, slide_confirmed, inspect_lines, unit_lines, stats_lines, archetype_lines,
     )
 }

@@ -97,6 +97,23 @@ WITH RECURSIVE i AS (
 )"""
 
 
+def _label(code: str) -> str:
+    names = {1: "uncompressed", 5: "LZW", 7: "JPEG", 8: "deflate", 33003: "JPEG 2000"}
+    return f"CASE {code} " + " ".join(f"WHEN {n} THEN '{name} ({n})'" for n, name in names.items()) + " END"
+
+
+def _bytes(size: str) -> str:
+    return f"CASE WHEN {size} < 1024 THEN {size} || ' B' WHEN {size} < 1048576 THEN printf('%.1f KiB', {size} / 1024.0::DOUBLE) WHEN {size} < 1073741824 THEN printf('%.1f MiB', {size} / 1048576.0::DOUBLE) ELSE printf('%.1f GiB', {size} / 1073741824.0::DOUBLE) END"
+
+
+def _files(n: str) -> str:
+    return f"({n} || ' file' || CASE WHEN {n} = 1 THEN '' ELSE 's' END)"
+
+
+def _letter(n: str) -> str:
+    return f"chr((65 + {n} % 26)::INTEGER) || CASE WHEN {n} < 26 THEN '' ELSE ({n} // 26)::VARCHAR END"
+
+
 def _tokens(source: str, key: str) -> str:
     return rf"""SELECT DISTINCT {key} AS file_id, token FROM (
     SELECT {key}, lower(regexp_replace(word, '[^\p{{L}}\p{{N}}]', '', 'g')) AS token FROM (
@@ -158,6 +175,15 @@ _TOKEN_CLUSTERS = (
 tc AS (SELECT n AS file_id, min(c) AS first_file FROM r GROUP BY 1)"""
 )
 
+_ARCHETYPES = (
+    _TOKEN_CLUSTERS
+    + r""", mt AS (SELECT first_file, token, count(*) AS n FROM t JOIN tc ON t.file_id = tc.file_id GROUP BY 1, 2),
+b AS (SELECT first_file, count(*) AS n_files, any_value(ifd_count) AS ifd_count, any_value(skel) AS skel FROM tc JOIN pp ON pp.file_id = tc.file_id GROUP BY 1),
+ct AS (SELECT b.first_file, list(token ORDER BY token) FILTER (n = n_files) AS c, count(*) FILTER (n < n_files) AS v FROM b JOIN mt ON b.first_file = mt.first_file GROUP BY 1),
+x AS (SELECT b.*, coalesce(c, []) AS c, coalesce(v, 0) AS v FROM b LEFT JOIN ct ON b.first_file = ct.first_file),
+y AS (SELECT *, list_transform(skel, lambda s: [coalesce(s.c, -1), s.t::INT, (s.r IS NOT NULL)::INT]) AS k FROM x)"""
+)
+
 _TURN_SIZES = (
     _PROFILES
     + r""", ls AS (SELECT DISTINCT file_id, (length(description) // 400)::VARCHAR AS w FROM i), fw AS (
@@ -268,13 +294,7 @@ FROM cl JOIN e ON e.file_id = cl.file_id LEFT JOIN (SELECT cluster_id, min(score
     "structural_pairs_min_score": _PAIRS + "SELECT * FROM sp WHERE score >= 0.6 ORDER BY score DESC, a, b LIMIT 200",
     "skeleton_groups": _PROFILES + "SELECT min(file_id) AS first_file, count(*) AS n_files, any_value(shown) AS skeleton FROM p GROUP BY skeleton",
     "token_clusters": _TOKEN_CLUSTERS + "SELECT * FROM tc",
-    "archetypes": _TOKEN_CLUSTERS
-    + r""", mt AS (SELECT first_file, token, count(*) AS n FROM t JOIN tc ON t.file_id = tc.file_id GROUP BY 1, 2),
-b AS (SELECT first_file, count(*) AS n_files, any_value(ifd_count) AS ifd_count, any_value(skel) AS skel FROM tc JOIN pp ON pp.file_id = tc.file_id GROUP BY 1),
-ct AS (SELECT b.first_file, list(token ORDER BY token) FILTER (n = n_files) AS c, count(*) FILTER (n < n_files) AS v FROM b JOIN mt ON b.first_file = mt.first_file GROUP BY 1),
-x AS (SELECT b.*, coalesce(c, []) AS c, coalesce(v, 0) AS v FROM b LEFT JOIN ct ON b.first_file = ct.first_file),
-y AS (SELECT *, list_transform(skel, lambda s: [coalesce(s.c, -1), s.t::INT, (s.r IS NOT NULL)::INT]) AS k FROM x)
-SELECT row_number() OVER (ORDER BY n_files DESC, ifd_count, len(c), k, first_file) - 1 AS archetype_id, n_files, first_file, ifd_count, array_to_string(c, ' ') AS common_tokens, v::INTEGER AS n_variable FROM y""",
+    "archetypes": _ARCHETYPES + "SELECT row_number() OVER (ORDER BY n_files DESC, ifd_count, len(c), k, first_file) - 1 AS archetype_id, n_files, first_file, ifd_count, array_to_string(c, ' ') AS common_tokens, v::INTEGER AS n_variable FROM y",
     "archetype_relations": _TURN_SIZES
     + r"""SELECT i AS archetype_id, j AS other_id, 'same_tokens' AS relation FROM eq UNION ALL SELECT j, i, 'same_tokens' FROM eq
 UNION ALL SELECT a.file_id, b.file_id, 'subset_of' FROM fw a JOIN fw b ON a.file_id <> b.file_id WHERE len(a.tk) > 0 AND len(a.tk) < len(b.tk) AND len(list_intersect(a.tk, b.tk)) = len(a.tk)
@@ -285,7 +305,7 @@ UNION ALL SELECT b.file_id, a.file_id, 'superset_of' FROM fw a JOIN fw b ON a.fi
     + r""", s AS (SELECT *, tile_width IS NOT NULL AS is_tiled FROM i),
 c AS (SELECT *, CASE WHEN lag(file_id) OVER w IS NULL OR lag(compression) OVER w IS DISTINCT FROM compression OR lag(is_tiled) OVER w IS DISTINCT FROM is_tiled OR lag(role) OVER w IS DISTINCT FROM role THEN 1 ELSE 0 END AS ch, row_number() OVER w - 1 AS pos FROM s WINDOW w AS (PARTITION BY file_id ORDER BY ifd_index)),
 r AS (SELECT *, sum(ch) OVER (PARTITION BY file_id ORDER BY pos) - 1 AS run FROM c)
-SELECT file_id AS archetype_id, run::BIGINT AS run, min(pos)::INTEGER AS first, max(pos)::INTEGER AS last, any_value(compression) AS compression, any_value(is_tiled) AS is_tiled, any_value(role) AS role FROM r GROUP BY file_id, run""",
+SELECT file_id AS archetype_id, run::BIGINT AS run, min(pos)::INTEGER AS first, max(pos)::INTEGER AS last, any_value(compression) AS compression, any_value(is_tiled) AS is_tiled, any_value(tile_width) AS tile_width, any_value(tile_height) AS tile_height, any_value(role) AS role FROM r GROUP BY file_id, run""",
     "label_macro_roles": _IFDS + _ROLES + "SELECT * FROM roles",
     "file_stats": _STATS + "SELECT * FROM st",
     "corpus_totals": _STATS + "SELECT count(*) AS files, sum(file_size)::BIGINT AS total_bytes, sum(tile_count)::BIGINT AS tiles, sum(strip_count)::BIGINT AS strips, sum(payload_bytes)::BIGINT AS payload_bytes, greatest(sum(file_size) - sum(payload_bytes), 0)::BIGINT AS overhead_bytes FROM st",
@@ -305,4 +325,31 @@ SELECT file_id AS archetype_id, run::BIGINT AS run, min(pos)::INTEGER AS first,
     "slide_units": _SLIDES + "SELECT * EXCLUDE (line) FROM unit",
     "slide_manifest": _SLIDE_PRINTS + "SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY ifd_index, unit_index) - 1)::INTEGER AS idx, ifd_index, unit_index, kind, \"offset\", length, compression, coarse_fp FROM fpu",
     "slide_confirmed": _SLIDE_PRINTS + "SELECT kind, compression, length, coarse_fp, sha256(line) AS strong_hash, count(*) AS n_units, min(file_id) <> max(file_id) AS cross_file, length * (count(*) - 1) AS reusable_bytes FROM fpu GROUP BY kind, compression, length, coarse_fp, sha256(line) HAVING count(*) >= 2",
+    "inspect_lines": _SLIDES
+    + rf""", secs AS (SELECT s.file_id, i.* EXCLUDE (file_id, role), roles.role FROM i JOIN sound s ON i.file_id = conv_id JOIN roles ON roles.file_id = conv_id AND roles.ifd_index = i.ifd_index)
+SELECT s.file_id, -1 AS ifd_index, 0 AS part, unnest(range(4))::INTEGER AS n, unnest(['file:       ' || name, 'byte order: ' || CASE WHEN conv_id % 2 = 0 THEN 'little-endian' ELSE 'big-endian' END, 'tiff:       ' || CASE WHEN big THEN 'BigTIFF (43)' ELSE 'classic (42)' END,
+  'IFD count:  ' || (SELECT count(*) FROM conversations c WHERE c.conv_id = s.conv_id)]) AS line FROM sound s
+UNION ALL SELECT file_id, ifd_index, 1, 0, '  IFD[' || ifd_index || ']  ' || width || '×' || height || '  ' || CASE WHEN tile_width IS NULL THEN 'strip  ' || unit_count || ' strips' ELSE 'tile ' || tile_width || '×' || tile_height || '  ' || unit_count || ' tiles' END
+  || coalesce('  ' || {_label("compression")}, '') || coalesce('  [associated: ' || role || ']', '') FROM secs
+UNION ALL SELECT file_id, ifd_index, 2, 0, '    description: ' || CASE WHEN length(description) > 80 THEN left(description, 80) || '…' ELSE description END FROM secs WHERE description <> ''
+UNION ALL SELECT file_id, ifd_index, 3, unit_index, printf('    unit[%4d]  offset=%-12d  length=%d', unit_index, "offset", length) FROM unit WHERE unit_index < 8
+UNION ALL SELECT file_id, ifd_index, 4, 0, '    … ' || (unit_count - 8) || ' more units' FROM secs WHERE unit_count > 8""",
+    "unit_lines": _SLIDE_PRINTS
+    + rf""", nu AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ifd_index, unit_index) - 1 AS idx FROM fpu)
+SELECT file_id, idx::INTEGER AS idx, printf('%6d  %4d  %5d  %-10s  %14d  %12d  %16s  %s', idx, ifd_index, unit_index, CASE kind WHEN 0 THEN 'tile' ELSE 'strip' END, "offset", length, coarse_fp, coalesce({_label("compression")}, 'none')) AS line FROM nu""",
+    "stats_lines": _STATS
+    + rf""", ic AS (SELECT file_id, count(*) AS n FROM i GROUP BY 1),
+tot AS (SELECT count(*) AS files, (SELECT count(*) FROM i) AS secs, sum(tile_count)::BIGINT AS t, sum(strip_count)::BIGINT AS s, sum(payload_bytes)::BIGINT AS p, sum(file_size)::BIGINT AS f, greatest(sum(file_size) - sum(payload_bytes), 0)::BIGINT AS o FROM st)
+SELECT 0 AS part, path AS key, printf('%s %9s  %5d  %6d  %8d  %7d  %s', rpad(left(path, 28), 28, ' '), {_bytes("file_size")}, n, pyramid_levels, tile_count, strip_count, replace(roles, ',', ' ')) AS line FROM st JOIN ic ON ic.file_id = st.file_id
+UNION ALL SELECT 1, lpad(compression::VARCHAR, 10, '0'), printf('  %-30s %2s', {_label("compression")}, {_files("n")}) FROM (SELECT compression, count(DISTINCT file_id) AS n FROM i WHERE compression IS NOT NULL GROUP BY 1)
+UNION ALL SELECT 2, lpad(w, 10, '0') || 'x' || lpad(h, 10, '0'), '  ' || lpad(w, 4, ' ') || '×' || rpad(h, 4, ' ') || '  ' || {_files("n")} FROM (SELECT tile_width::VARCHAR AS w, tile_height::VARCHAR AS h, count(DISTINCT file_id) AS n FROM i WHERE tile_width IS NOT NULL GROUP BY 1, 2)
+UNION ALL SELECT 3, unnest(range(8))::VARCHAR, unnest(['files:                ' || files, '  total IFDs:           ' || secs, '  total data units:     ' || (t + s), '    tiles:              ' || t, '    strips:             ' || s,
+  '  total payload bytes:  ' || {_bytes("p")}, '  total file size:      ' || {_bytes("f")}, '  metadata overhead:    ' || {_bytes("o")}]) FROM tot""",
+    "archetype_lines": _ARCHETYPES
+    + rf""", ar AS (SELECT row_number() OVER (ORDER BY n_files DESC, ifd_count, len(c), k, first_file) - 1 AS id, * FROM y),
+sm AS (SELECT a.id, (SELECT min(b.id) FROM ar b WHERE b.id <> a.id AND b.c = a.c) AS other FROM ar a)
+SELECT id AS archetype_id, 0 AS part, 0 AS n, '  archetype ' || {_letter("id")} || '  (' || {_files("n_files")} || ', ' || ifd_count || ' IFDs)' AS line FROM ar
+UNION ALL SELECT id, 1, 0, '    IFD 0:  ' || coalesce({_label("skel[1].c")}, 'untagged') || '  strip' FROM ar
+UNION ALL SELECT ar.id, 2, 0, CASE WHEN len(c) = 0 AND v = 0 THEN '    tokens: (none)' ELSE '    tokens (' || len(c) || ' common): ' || CASE WHEN other IS NOT NULL THEN '[same as ' || {_letter("other")} || ']' ELSE array_to_string(c[1:12], ', ') || CASE WHEN len(c) > 12 THEN ', +' || (len(c) - 12) || ' more' ELSE '' END END END FROM ar JOIN sm ON sm.id = ar.id
+UNION ALL SELECT id, 3, 0, '    tokens (' || v || ' variable, not shown)' FROM ar WHERE v > 0""",
 }
