@@ -19,6 +19,11 @@ COMPRESSIONS = {
 }
 
 
+def identity(*columns: str | Column) -> Column:
+    """128 bits of some columns, to join on instead of them."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns, F.lit(2)).alias("b"))
+
+
 def kind_label(kind: Column) -> Column:
     out = F.when(kind == 0, UNIT_KINDS[0])
     for code, name in enumerate(UNIT_KINDS[1:], 1):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpuskin.functions.labels import identity
 from corpuskin.plans.shared import connected_components, ranked
 
 TOKEN_THRESHOLD = 0.5
@@ -29,7 +30,7 @@ def token_links(rows: DataFrame, threshold: float = TOKEN_THRESHOLD) -> DataFram
     A prefix join: tokens are ordered by how many files have them, and two sets that similar share one of each one's
     rarest tokens. Files without tokens are equal to each other: they link to the first of them, which connects them.
     """
-    held = rows.select("file_id", F.xxhash64(F.to_json("skeleton")).alias("_s"), F.col("description_tokens").alias("t"))
+    held = rows.select("file_id", identity(F.to_json("skeleton")).alias("_s"), F.col("description_tokens").alias("t"))
     some = held.where(F.size("t") > 0)
     often = some.select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     ordered = some.select("file_id", "_s", F.explode("t").alias("token")).join(often, "token")
@@ -41,8 +42,7 @@ def token_links(rows: DataFrame, threshold: float = TOKEN_THRESHOLD) -> DataFram
     sizes = (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold)
     met = a.join(b, ["_s", "p"]).where("a < b").where(sizes).select("a", "b").distinct()
     # each pair that meets is verified once, over all of its tokens
-    sets = some.select("file_id", F.transform("t", lambda t: F.xxhash64(t)).alias("h"))
-    met = met.join(sets.select(F.col("file_id").alias("a"), F.col("h").alias("ta")), "a").join(sets.select(F.col("file_id").alias("b"), F.col("h").alias("tb")), "b")
+    met = met.join(some.select(F.col("file_id").alias("a"), F.col("t").alias("ta")), "a").join(some.select(F.col("file_id").alias("b"), F.col("t").alias("tb")), "b")
     both = F.size(F.array_intersect("ta", "tb"))
     near = met.where(both / (F.size("ta") + F.size("tb") - both) >= threshold).select("a", "b")
     none = held.where(F.size("t") == 0).select("file_id", "_s")

@@ -83,7 +83,7 @@ def pair_scores_all(spark: SparkSession, d: str) -> DataFrame:
 
 def pair_scores_top(spark: SparkSession, d: str) -> DataFrame:
     members, groups, entries, _ = _members(spark, d)
-    return overlap.top_pairs(overlap.score_pairs(entries, overlap.pair_overlaps(members, groups)), 100)
+    return overlap.best_similar_pairs(entries, members, groups, 100)
 
 
 def similarity_edges(spark: SparkSession, d: str) -> DataFrame:

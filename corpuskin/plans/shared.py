@@ -81,6 +81,20 @@ def discard(df: DataFrame) -> None:
                 _delete(df.sparkSession, path)
 
 
+def squared(left: DataFrame, right: DataFrame, rows: int = 4096) -> DataFrame:
+    """All pairs of a row of ``left`` and one of ``right``, for operators whose result is all pairs.
+
+    Both sides are cut into blocks of about ``rows`` rows at most, and joined on pairs of blocks: the work is dealt over
+    the pairs, and no side is broadcast unless it is known to be small.
+    """
+    n = max(8, -(-left.count() // rows))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda df: F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")
+    a = left.withColumn("_i", own(left)).withColumn("_j", every)
+    b = right.withColumn("_j", own(right)).withColumn("_i", every)
+    return a.join(b, ["_i", "_j"]).drop("_i", "_j")
+
+
 def ranked(df: DataFrame, group: str, order: list[str], out: str, label: str) -> DataFrame:
     """Adds ``out``: the row's place (from 0, gapless) within ``group``, ordered by ``order`` and then arbitrarily.
 
