@@ -2,8 +2,9 @@
 
 The histogram has a row for each length up to the sequence's, whatever the input. The program (cover each length's pieces
 with configurations, as few sequences as possible) is solved by multiplicative weights, each step priced by a knapsack
-dynamic program; its solution is rounded down, and what is left is packed best fit. Pieces take the places of their
-length's configurations by rank.
+dynamic program. Its solution is rounded down to whole sequences; for what that leaves, further configurations are priced
+one by one with the program's prices, now bounded by the pieces that are left. The shortest few go best fit into the
+gaps. Pieces take the places of their length's configurations by rank.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import bisect
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +27,10 @@ from corpuskin.plans.shared import ranked
 CAPACITY = 2048
 #: Shares of the program's solution that rounding tries: a smaller one leaves more pieces to fill gaps with.
 ROUND_PARTS = (1.0, 0.95, 0.85, 0.7)
+#: Weights of the program's prices beside the lengths themselves that rounding tries: the prices are as exact as the tolerance.
+PRICE_PARTS = (1.0, 0.2, 0.02)
+#: Lengths that one pricing of a rounding step looks at; the share of the pieces, the shortest ones, that best fit gets to fill gaps with.
+LOOK, LAST = 100, 0.07
 #: Neighbouring lengths are pooled to so many for the program, which takes the longest of a pool for all of it.
 POOLS = 160
 #: The program is solved once its cover takes at most this share more than the least that its prices prove.
@@ -33,6 +39,20 @@ TOLERANCE = 0.01
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]
 
 
+@dataclass(frozen=True)
+class Solution:
+    """A plan; the sequences that its prices prove to be needed; the pieces shorter than a sequence, and how many of them the program placed."""
+
+    plan: Plan
+    bound: float
+    pieces: int
+    placed: int
+
+    @property
+    def sequences(self) -> int:
+        return sum(n for _, n in self.plan)
+
+
 def default_tokenizer_path() -> str:
     import public_tokenizers
 
@@ -60,7 +80,12 @@ def encoder(path: str):
     marks = [t["content"] for t in spec.get("added_tokens") or []]
     plain = lambda t: whole().encode(t, add_special_tokens=False).ids
     pre = spec.get("pre_tokenizer") or {}
-    if spec["model"].get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
+    model = spec["model"]
+    odd = [model.get(k) for k in ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix")]
+    odd += [spec.get(k) for k in ("normalizer", "truncation", "padding")] + [pre.get("add_prefix_space"), not pre.get("use_regex", True)]
+    merged = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model.get("merges") or []]
+    # tiktoken merges the lowest id first, tokenizers the first merge: the same where the ids follow the merges
+    if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or any(odd) or not merged or -1 in merged or any(a >= b for a, b in zip(merged, merged[1:])):  # noqa: B905
         return plain
     # the printable stand-ins that byte-level vocabularies use for bytes
     direct = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -204,27 +229,28 @@ def _pools(histogram: dict[int, int], lengths: list[int]) -> list[list[int]]:
     return pools
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = 1200, rate: float = 0.3) -> Plan:
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = 1200, rate: float = 0.3) -> Solution:
     """Covers the histogram's pieces with sequences, as few as it can.
 
     Multiplicative weights for the covering program: a pool of lengths weighs the more the less of it is covered; each step
     adds the configuration of the greatest weight, by as much as its scarcest pool allows, until the cover is within
     ``TOLERANCE`` of the bound of its prices or ``steps`` are done. The solution is scaled to a full cover and rounded to
-    whole sequences at each of ``ROUND_PARTS`` of it; what is left is packed best fit, into the gaps too. The fewest sequences win, those of best
-    fit alone among them.
+    whole sequences at each of ``ROUND_PARTS`` of it; what is left is packed best fit, into the gaps too. The fewest
+    sequences win, and of equally few those of which the program placed the most pieces. Best fit alone is the last resort.
     """
     histogram = {int(k): int(n) for k, n in histogram.items() if n}
     # full pieces are sequences of their own in any packing
     own = sorted((k for k in histogram if k < capacity), reverse=True)
     plain = best_fit(histogram, capacity)
     if not own:
-        return plain
+        return Solution(plain, float(sum(histogram.values())), 0, 0)
     pools = _pools(histogram, own)
     lengths = np.array([p[0] for p in pools])
     counts = np.array([sum(histogram[k] for k in p) for p in pools], float)
     covered = np.zeros(len(lengths))
     share: dict[tuple[int, ...], float] = defaultdict(float)
     total, bound = 0.0, 0.0
+    prices = lengths / capacity
     for _ in range(steps):
         done = covered / counts
         weights = np.exp(-rate * 20 * (done - done.min())) / counts
@@ -237,19 +263,28 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = 1200
         covered[used] += step * times[used]
         share[tuple(times)] += step
         total += step
-        bound = max(bound, float(counts @ (weights * lengths)) / float(whole @ (weights * lengths)))
+        value = weights * lengths
+        proved = float(counts @ value) / float(whole @ value)
+        if proved > bound:  # no configuration costs more than 1 at these prices
+            bound, prices = proved, value / float(whole @ value)
         least = float((covered / counts).min())
         if least > 0 and total / least <= (1 + TOLERANCE) * bound:
             break
     scales = {1 / x for x in (float((covered / counts).min()), float(np.median(covered / counts))) if x > 0}
     plans = [_rounded(histogram, pools, lengths, share, scale * part, capacity, up) for scale in sorted(scales) for part in ROUND_PARTS for up in (False, True)]
-    return min([*plans, plain], key=lambda p: sum(n for _, n in p))
+    price = {k: float(y) for pool, y in zip(pools, prices, strict=True) for k in pool}
+    for part in PRICE_PARTS:
+        # what whole sequences of the solution leave, by its prices; a little more for long pieces, which are harder to place later
+        value = {k: (part * y + (1 - part) * k / capacity) * (1 + 1e-2 * k / capacity) for k, y in price.items()}
+        plans.append(_rounded(histogram, pools, lengths, share, min(scales), capacity, False, value))
+    plan, placed = min([*plans, (plain, 0)], key=lambda p: (sum(n for _, n in p[0]), -p[1]))
+    return Solution(plan, bound + histogram.get(capacity, 0), int(counts.sum()), placed)
 
 
-def _rounded(histogram: dict[int, int], pools: list[list[int]], lengths: np.ndarray, share: dict, scale: float, capacity: int, up: bool) -> Plan:
-    """Whole sequences of the solution's full configurations, the most used first, while pieces last; the rest best fit.
+def _rounded(histogram: dict[int, int], pools: list[list[int]], lengths: np.ndarray, share: dict, scale: float, capacity: int, up: bool, value: dict[int, float] | None = None) -> tuple[Plan, int]:
+    """(plan, pieces placed by it). Whole sequences of the solution's full configurations, the most used first, while pieces last; the rest best fit.
 
-    With ``up`` fractions of sequences follow as whole ones, the largest first.
+    With ``up`` fractions of sequences follow as whole ones, the largest first; with ``value`` configurations of what is left, by those prices.
     """
     stock = [[[k, histogram[k]] for k in reversed(p)] for p in pools]  # a pool's longest pieces go first
     left = np.array([sum(n for _, n in s) for s in stock], np.int64)
@@ -277,7 +312,9 @@ def _rounded(histogram: dict[int, int], pools: list[list[int]], lengths: np.ndar
             n -= m
 
     ordered = sorted(share.items(), key=lambda s: (-s[1], s[0]))
-    full = [(np.array(t), x * scale) for t, x in ordered if int(np.array(t) @ lengths) >= capacity * 0.99]
+    # with further pricing only sequences that are as good as full whichever of the pools' pieces they get
+    size, least = (lengths, 0.99) if value is None else (np.array([p[-1] for p in pools]), 0.998)
+    full = [(np.array(t), x * scale) for t, x in ordered if int(np.array(t) @ size) >= capacity * least]
     for t, x in full:
         n = int(min(x, (left[t > 0] // t[t > 0]).min()))
         if n:
@@ -286,11 +323,62 @@ def _rounded(histogram: dict[int, int], pools: list[list[int]], lengths: np.ndar
         for t, _ in sorted(full, key=lambda f: -(f[1] % 1)):
             if (left >= t).all():
                 take(t, 1)
-    rest = Counter({capacity: histogram.get(capacity, 0)})
+    rest = Counter()
     for s in stock:
         for k, n in s:
             rest[k] += n
-    return best_fit({k: n for k, n in rest.items() if n}, capacity, list(begun.items()))
+    if value is not None:
+        short, most = Counter(), int(LAST * left.sum())
+        for k in sorted(rest):
+            short[k] = min(rest[k], most)
+            most -= short[k]
+        begun.update(_dive(rest - short, value, capacity))
+        rest = short
+    placed = sum(n * sum(times for _, times in content) for content, n in begun.items())
+    rest[capacity] = histogram.get(capacity, 0)
+    return best_fit({k: n for k, n in rest.items() if n}, capacity, list(begun.items())), placed
+
+
+def _dive(rest: Counter, value: dict[int, float], capacity: int) -> Counter:
+    """Configurations that take all pieces of ``rest``, which is emptied.
+
+    Each holds the longest piece left, and beside it the most valuable pieces that there are: a knapsack bounded by their
+    numbers, over ``LOOK`` of the lengths that fit, others each time. It is used as often as its pieces last.
+    """
+    made: Counter = Counter()
+    lengths = sorted(k for k, n in rest.items() if n)
+    turn = 0
+    while lengths:
+        longest = lengths[-1]
+        room = capacity - longest
+        fit = lengths[: bisect.bisect_right(lengths, room)]
+        step = max(1, len(fit) // LOOK)
+        turn += 1
+        best = np.zeros(room + 1)
+        taken: list[tuple[int, int, np.ndarray]] = []
+        for k in fit[turn % step :: step][::-1]:
+            have, n = min(rest[k] - (k == longest), room // k), 1
+            while have > 0:  # 1, 2, 4, ... pieces together
+                n = min(n, have)
+                with_it = best[: room + 1 - n * k] + n * value[k]
+                better = with_it > best[n * k :]
+                best[n * k :] = np.where(better, with_it, best[n * k :])
+                taken.append((k, n, better))
+                have -= n
+                n *= 2
+        times = Counter({longest: 1})
+        c = int(best.argmax()) if room else 0
+        for k, n, better in reversed(taken):
+            if c >= n * k and better[c - n * k]:
+                times[k] += n
+                c -= n * k
+        uses = min(rest[k] // n for k, n in times.items())
+        made[tuple(sorted(times.items(), reverse=True))] += uses
+        for k, n in times.items():
+            rest[k] -= uses * n
+            if not rest[k]:
+                lengths.pop(bisect.bisect_left(lengths, k))
+    return made
 
 
 def _places(plan: Plan) -> list[tuple[int, int, int, int, int, int]]:
@@ -310,12 +398,13 @@ def _places(plan: Plan) -> list[tuple[int, int, int, int, int, int]]:
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece: ``key``, piece, start, length, ids_crc32, sequence_id, offset[, ids].
 
-    Every row of ``docs`` is packed, repeated rows too. Sequences are gapless from offset 0. An empty table gives none.
+    Every row of ``docs`` is packed, repeated rows and rows without a key too. Sequences are gapless from offset 0. Pieces of
+    a length take its places by key (null first), then piece, then in any order. An empty table gives none.
     """
     pieces = token_pieces(docs, key, text, capacity, tokenizer, with_ids)
     placed = ranked(pieces, "length", [key, "piece"], "_rank", "pieces")
     histogram = {r["length"]: r["count"] for r in placed.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    places = _places(solve(histogram, capacity))
+    places = _places(solve(histogram, capacity).plan)
     # a length's ranks lie in its configurations' ranges, of which the solution has a bounded number
     spark = docs.sparkSession
     by_length: dict[int, list[tuple]] = defaultdict(list)

@@ -52,12 +52,12 @@ def test_solver_covers_and_equals_best_fit():
     for _ in range(12):
         capacity = rng.choice([20, 100, 2048])
         h = Counter(rng.randint(1, capacity) for _ in range(rng.randint(1, 400)))
-        plan, plain = packing.solve(dict(h), capacity, steps=60), packing.best_fit(dict(h), capacity)
+        plan, plain = packing.solve(dict(h), capacity, steps=60).plan, packing.best_fit(dict(h), capacity)
         check_plan(h, plan, capacity)
         check_plan(h, plain, capacity)
         assert sum(n for _, n in plan) <= 1.01 * sum(n for _, n in plain) + 1
     h = dict(Counter(rng.randint(600, 759) for _ in range(20000)))
-    plan = packing.solve(h, 2048)
+    plan = packing.solve(h, 2048).plan
     check_plan(h, plan, 2048)
     # thirds: best fit leaves gaps that configurations of three fill
     assert sum(n for _, n in plan) < 0.99 * sum(n for _, n in packing.best_fit(h, 2048))
@@ -67,13 +67,13 @@ def test_solver_near_the_optimum():
     rng = random.Random(9)
     for _ in range(10):
         sizes = sorted((rng.randint(20, 70) for _ in range(9)), reverse=True)
-        assert sum(n for _, n in packing.solve(dict(Counter(sizes)), 100)) <= fewest(sizes, 100) + 1
+        assert packing.solve(dict(Counter(sizes)), 100).sequences <= fewest(sizes, 100) + 1
     # the one way to fill sequences: a piece of each length
-    assert sum(n for _, n in packing.solve({600: 3000, 760: 3000, 688: 3000}, 2048)) == 3000
+    assert packing.solve({600: 3000, 760: 3000, 688: 3000}, 2048).sequences == 3000
 
 
 def test_nothing():
-    assert packing.solve({}, 10) == [] and packing.best_fit({}, 10) == []
+    assert packing.solve({}, 10).plan == [] and packing.best_fit({}, 10) == []
 
 
 def test_pack(spark, tokenizer):
@@ -110,6 +110,28 @@ def test_same_ids(tokenizer):
         assert list(ids(t)) == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_files_go_through_the_library(tmp_path, tokenizer):
+    """A file whose ids don't follow its merges, or that splits otherwise, isn't taken for the fast way."""
+    import json
+
+    with open(packing.default_tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    text = "some words, 12 3 é 😀 of any kind  x"
+    for change in ("merges", "dropout", "regex"):
+        other = json.loads(json.dumps(spec))
+        if change == "merges":
+            other["model"]["merges"] = other["model"]["merges"][:1000][::-1]
+        elif change == "dropout":
+            other["model"]["ignore_merges"] = True
+        else:
+            other["pre_tokenizer"]["use_regex"] = False
+        path = tmp_path / f"{change}.json"
+        path.write_text(json.dumps(other))
+        from tokenizers import Tokenizer
+
+        assert list(packing.encoder(str(path))(text)) == Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids
+
+
 def test_empty(spark):
     assert packing.pack(cases.none(spark)).collect() == []
 
@@ -117,6 +139,30 @@ def test_empty(spark):
 def test_solver_takes_rare_lengths():
     """Lengths around a third of the sequence, few pieces of each: configurations of three fill what best fit can't."""
     for h in ({k: 3 for k in range(520, 845)}, {k: 1 for k in range(500, 860)}):
-        plan = packing.solve(h)
+        plan = packing.solve(h).plan
         check_plan(h, plan, 2048)
         assert sum(n for _, n in plan) < 0.97 * sum(n for _, n in packing.best_fit(h, 2048))
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_the_program_places_the_pieces(sf):
+    """On the tables' own histograms the rounded program places at least 80 % of the pieces and needs no more sequences than best fit."""
+    import os
+
+    import duckdb
+
+    path = f"/root/testdata/{sf}/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    encode, h = packing.encoder(packing.default_tokenizer_path()), Counter()
+    for (t,) in duckdb.sql(f"SELECT text FROM '{path}'").fetchall():
+        n = len(encode(t or "")) + 1
+        h[2048] += n // 2048
+        h[n % 2048] += n % 2048 > 0
+    h = {k: n for k, n in h.items() if n and k}
+    got = packing.solve(h)
+    check_plan(h, got.plan, 2048)
+    tokens = -(-sum(k * n for k, n in h.items()) // 2048)
+    print(sf, "sequences", got.sequences, "bound", max(got.bound, tokens), "placed", got.placed, "of", got.pieces)
+    assert got.pieces == sum(n for k, n in h.items() if k < 2048) and got.placed >= 0.8 * got.pieces
+    assert got.bound <= got.sequences <= sum(n for _, n in packing.best_fit(h, 2048)) and got.sequences <= 1.002 * tokens + 1
