@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskin.llm.textcols import fresh, text_id
+from corpuskin.llm.textcols import fresh, small_batches, text_id
 from corpuskin.plans.shared import materialize
 
 #: Folds A-Z and blanks what is no ASCII digit, ASCII letter or byte beyond ASCII, so that what is left between blanks are the words.
@@ -204,6 +204,7 @@ def _verified(met: DataFrame) -> DataFrame:
 def _matched(rows: DataFrame, benchmark: DataFrame, width: int, item: str, item_text: str, others: list[str]) -> tuple[DataFrame, DataFrame]:
     """((others..., _t, n_words) of ``rows`` (others..., _t, _text), (_t, item, start, end))."""
     spark = rows.sparkSession
+    small_batches(spark)
     named = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text"))
     items = materialize(named.withColumn("_i", F.monotonically_increasing_id()), "items")
     shingles = materialize(_item_shingles(items, min(2, width)), "shingles")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuskin.llm.textcols import small_batches
 from corpuskin.plans.shared import materialize
 
 #: Blanks ASCII marks and digits, which say nothing about a language.
@@ -135,6 +136,7 @@ def training_rows(docs: DataFrame, limit: int = SAMPLE_ROWS, key: str = "doc_id"
     long its text is. Rows without a text or language teach nothing.
     """
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     named = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = named.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(limit).collect()
     if not counts:
@@ -161,13 +163,16 @@ def training_rows(docs: DataFrame, limit: int = SAMPLE_ROWS, key: str = "doc_id"
 
 
 def _packed(ids: np.ndarray, often: np.ndarray) -> bytes:
-    """Six bytes an item: the bucket, and its share of the bag."""
-    return ids.astype("<u2").tobytes() + (often / often.sum()).astype("<f4").tobytes() + np.float32(often.sum()).tobytes()
+    """A bag in about two bytes an item: its buckets, as differences, and how often each occurs."""
+    return zlib.compress(np.diff(ids, prepend=0).astype("<u2").tobytes() + often.astype("<u4").tobytes(), 1)
 
 
 def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, float]:
-    n = (len(data) - 4) // 6
-    return np.frombuffer(data, "<u2", n).astype(np.int64), np.frombuffer(data, "<f4", n, 2 * n), float(np.frombuffer(data, "<f4", 1, 6 * n)[0])
+    """(buckets, shares, number of subwords)."""
+    raw = zlib.decompress(data)
+    n = len(raw) // 6
+    often = np.frombuffer(raw, "<u4", n, 2 * n).astype(np.float32)
+    return np.cumsum(np.frombuffer(raw, "<u2", n).astype(np.int64)), often / often.sum(), float(often.sum())
 
 
 def train(rows: pd.DataFrame, width: int = 16, epochs: int = 4, rate: float = 0.5, seed: int = 7) -> LangModel:
@@ -290,6 +295,7 @@ def with_language(docs: DataFrame, model: LangModel, text: str = "text") -> Data
     A null text, or one without a letter, is ``und`` with score 0 and is rejected; so is a text whose best score is below
     the model's line for its length. All other columns of ``docs`` stay; ones of these three names are replaced.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "lang_score", "lang_rejected")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages or the width of embeddings, whatever the input
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("lang_pred string, lang_score double, lang_rejected boolean").fields])
@@ -325,6 +331,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_known_languages(docs: DataFrame, model: LangModel, text: str = "text") -> DataFrame:
     """``docs`` without the texts that the model rejects; its columns stay as they are, whatever their names."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

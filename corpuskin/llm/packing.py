@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuskin.llm.textcols import small_batches
 from corpuskin.plans.shared import ranked
 
 CAPACITY = 2048
@@ -113,6 +114,7 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capac
 
     All pieces but the first are full. A null text is empty: the id 0 alone. ``ids`` (array<int>) only if asked for.
     """
+    small_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer_path()
     named = docs.select(F.col(key).alias(key), F.col(text).alias("_text"))
     kind = named.schema[key].dataType.simpleString()

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskin.llm.simhash import word_pieces
+from corpuskin.llm.textcols import small_batches
 from corpuskin.plans.shared import materialize
 
 LEAST_WORDS, SEED_WORDS = 50, 16
@@ -280,6 +281,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     if not 0 < seed <= least:
         raise ValueError("seed must be 1 to least")
+    small_batches(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
     # 128 bits of key and text: rows that have them in common are equal
     same = F.struct(F.xxhash64(F.col(key), body).alias("a"), F.xxhash64(body, F.lit(1), F.col(key)).alias("b"))

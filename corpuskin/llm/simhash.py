@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskin.llm.textcols import fresh
+from corpuskin.llm.textcols import fresh, small_batches
 from corpuskin.plans.shared import connected_components, materialize
 
 #: Texts are taken in pieces of about so many bytes, cut at white space, so that a long one needs no more memory than its own size.
@@ -100,6 +100,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 def with_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, prints: int = 1) -> DataFrame:
     """(``key``, fp, fp1, ...): a row's fingerprints, as the signed longs of the same 64 bits."""
+    small_batches(docs.sparkSession)
     named = docs.select(F.col(key).alias(key), F.col(text).alias("text"))
     columns = ["fp", *(f"fp{k}" for k in range(1, prints))]
 
@@ -257,6 +258,7 @@ def _minima(shingles: np.ndarray) -> np.ndarray:
 
 def with_sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """(``key``, node, n, fp, e0, ..., bands): the set's own hash, its size, the fingerprint, a bit of each minimum, and the hashes of bands of minima."""
+    small_batches(docs.sparkSession)
     named = docs.select(F.col(key).alias(key), F.col(text).alias("text"))
     longs = MINIMA // 64
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuskin.llm.textcols import small_batches
 from corpuskin.plans.shared import materialize
 
 #: Labelled rows that training takes at most, a documented bound: half of them of each label where there are as many.
@@ -70,6 +71,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS,
     executors; only counts of terms to keep and the rows' kept terms reach the driver.
     """
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     marks = marks.withColumn("h", F.pmod(F.xxhash64("_id"), F.lit(1 << 40)))
     own = docs.select(F.col(key).alias("_id"), F.col(text).alias("text"))
@@ -190,6 +192,7 @@ def _calibrate(scored: list[tuple[float, int]], steps: int = 300) -> tuple[float
 
 def with_toxicity(docs: DataFrame, model: ToxicModel, text: str = "text") -> DataFrame:
     """``docs`` with toxic_score (0 to 1) from all distinct terms of the whole text. Null and empty texts have no terms and get the model's score for none. A column of that name is replaced."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("toxic_score")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # terms of the bounded sample
     schema = T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType())])
