@@ -40,7 +40,7 @@ def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def cluster_stats(members: DataFrame, entries: DataFrame, scores: DataFrame) -> DataFrame:
-    """(cluster_id, member_count, total_bytes, min_score, max_score, avg_score) over pairs within the cluster.
+    """(cluster_id, member_count, is_singleton, total_bytes, min_score, max_score, avg_score) over pairs within the cluster.
 
     Pairs without a score count as 0: they enter by their number, so that no pairs are listed. Null for clusters of one.
     """
@@ -58,6 +58,7 @@ def cluster_stats(members: DataFrame, entries: DataFrame, scores: DataFrame) ->
     return joined.select(
         "cluster_id",
         "member_count",
+        (F.col("member_count") == 1).alias("is_singleton"),
         "total_bytes",
         F.when(some, F.when(missing, F.least(zero, F.coalesce("_min", zero))).otherwise(F.col("_min"))).alias("min_score"),
         F.when(some, F.when(missing, F.greatest(zero, F.coalesce("_max", zero))).otherwise(F.col("_max"))).alias("max_score"),

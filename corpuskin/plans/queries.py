@@ -184,6 +184,11 @@ def structural_pairs_min_score(spark: SparkSession, d: str) -> DataFrame:
     return structural.best_pairs(structural_pairs(spark, d), n=200, least=0.6)
 
 
+def pair_json(spark: SparkSession, d: str) -> DataFrame:
+    names = tables.conversation_files(spark, d).select("file_id", F.col("path").alias("name"))
+    return reports.pair_json(structural_pairs(spark, d), names)
+
+
 def skeleton_groups(spark: SparkSession, d: str) -> DataFrame:
     g = at.skeleton_groups(_profiles(spark, d))
     per = F.transform("skeleton.per_ifd", lambda x: F.concat(F.coalesce(x["compression"].cast("string"), F.lit("?")), F.when(x["is_tiled"], "t").otherwise("s"), F.coalesce(x["role"], F.lit(""))))
@@ -363,6 +368,10 @@ def unit_lines(spark: SparkSession, d: str) -> DataFrame:
     return reports.unit_lines(slides.with_rows(_read(spark, d, "manifest")))
 
 
+def unit_json(spark: SparkSession, d: str) -> DataFrame:
+    return reports.unit_json(slides.with_rows(_read(spark, d, "manifest")))
+
+
 def slide_confirmed(spark: SparkSession, d: str) -> DataFrame:
     """Groups of equal units of containers: only candidates' bytes are hashed."""
     units = materialize(slides.with_rows(_read(spark, d, "manifest")), "manifest")
@@ -381,6 +390,6 @@ QUERIES = {
         structural_pairs_min_score, skeleton_groups, token_clusters, archetypes, archetype_relations, skeleton_diff_notes, same_as,
         ifd_runs, label_macro_roles, file_stats, corpus_totals, compression_files, geometry_files, ambiguous_strips,
         file_size_range, shared_runs, arch_segments, arch_bytes, compression_labels, size_labels, unit_kinds,
-        slide_files, slide_errors, slide_ifds, slide_units, slide_manifest, slide_confirmed, inspect_lines, unit_lines, stats_lines, archetype_lines,
+        slide_files, slide_errors, slide_ifds, slide_units, slide_manifest, slide_confirmed, inspect_lines, unit_lines, unit_json, pair_json, stats_lines, archetype_lines,
     )
 }

@@ -275,7 +275,7 @@ FROM e x JOIN e y ON x.file_id < y.file_id LEFT JOIN o ON o.a = x.file_id AND o.
     "components": _CLUSTERS + "SELECT * FROM cl",
     "cluster_stats": _CLUSTERS
     + r""", pr AS (SELECT x.cluster_id, coalesce(s.score, 0.0::DOUBLE) AS score FROM cl x JOIN cl y ON x.cluster_id = y.cluster_id AND x.file_id < y.file_id LEFT JOIN sc s ON s.a = x.file_id AND s.b = y.file_id)
-SELECT cl.cluster_id, count(*) AS member_count, sum(eligible_bytes)::BIGINT AS total_bytes, any_value(mi) AS min_score, any_value(ma) AS max_score, any_value(av) AS avg_score
+SELECT cl.cluster_id, count(*) AS member_count, count(*) = 1 AS is_singleton, sum(eligible_bytes)::BIGINT AS total_bytes, any_value(mi) AS min_score, any_value(ma) AS max_score, any_value(av) AS avg_score
 FROM cl JOIN e ON e.file_id = cl.file_id LEFT JOIN (SELECT cluster_id, min(score) AS mi, max(score) AS ma, avg(score) AS av FROM pr GROUP BY 1) q ON q.cluster_id = cl.cluster_id GROUP BY 1""",
     "profiles": _PROFILES + "SELECT file_id, ifd_count, len(tokens)::INTEGER AS n_tokens, array_to_string(tokens, ' ') AS tokens, preamble AS description_preamble FROM pp",
     "description_tokens": _tokens("text", "doc_id").replace("SRC", "documents"),
@@ -337,6 +337,12 @@ UNION ALL SELECT file_id, ifd_index, 4, 0, '    … ' || (unit_count - 8) || ' m
     "unit_lines": _SLIDE_PRINTS
     + rf""", nu AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ifd_index, unit_index) - 1 AS idx FROM fpu)
 SELECT file_id, idx::INTEGER AS idx, printf('%6d  %4d  %5d  %-10s  %14d  %12d  %16s  %s', idx, ifd_index, unit_index, CASE kind WHEN 0 THEN 'tile' ELSE 'strip' END, "offset", length, coarse_fp, coalesce({_label("compression")}, 'none')) AS line FROM nu""",
+    "unit_json": _SLIDE_PRINTS
+    + """, nu AS (SELECT *, (row_number() OVER (PARTITION BY file_id ORDER BY ifd_index, unit_index) - 1)::INTEGER AS idx FROM fpu)
+SELECT file_id, idx, to_json({'idx': idx, 'ifd_index': ifd_index, 'unit_index': unit_index, 'kind': CASE kind WHEN 0 THEN 'tile' ELSE 'strip' END, 'offset': "offset", 'length': length, 'compression': compression, 'role': role, 'coarse_fp': coarse_fp})::VARCHAR AS json FROM nu""",
+    "pair_json": _PAIRS
+    + """SELECT a, b, '{"file_a":"conv-' || a || '","file_b":"conv-' || b || '","score":' || round(score, 6)::DECIMAL(9,6) || ',"ifd_count":' || round(ifd_count_score, 4)::DECIMAL(9,4)
+  || ',"structure":' || round(structure_score, 4)::DECIMAL(9,4) || ',"description":' || round(token_score, 4)::DECIMAL(9,4) || '}' AS json FROM sp""",
     "stats_lines": _STATS
     + rf""", ic AS (SELECT file_id, count(*) AS n FROM i GROUP BY 1),
 tot AS (SELECT count(*) AS files, (SELECT count(*) FROM i) AS secs, sum(tile_count)::BIGINT AS t, sum(strip_count)::BIGINT AS s, sum(payload_bytes)::BIGINT AS p, sum(file_size)::BIGINT AS f, greatest(sum(file_size) - sum(payload_bytes), 0)::BIGINT AS o FROM st)
