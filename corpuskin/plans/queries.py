@@ -373,8 +373,18 @@ def unit_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 def slide_confirmed(spark: SparkSession, d: str) -> DataFrame:
-    """Groups of equal units of containers: only candidates' bytes are hashed."""
-    units = materialize(slides.with_rows(_read(spark, d, "manifest")), "manifest")
+    """Groups of equal tiles of containers, one per document with its lines as tiles: only candidates' bytes are hashed."""
+    docs = tables.document_ifds(spark, d)
+    none = F.lit(None)
+    sections = docs.select(
+        F.concat(F.lit("d"), F.lpad(F.col("file_id").cast("string"), 10, "0"), F.lit(".svs")).alias("name"),
+        (F.col("file_id") % 2 == 0).alias("big"),
+        F.lit("<").alias("order"),
+        F.lit(0).alias("ifd_index"), F.lit(1).alias("width"), F.lit(1).alias("height"), "compression", F.lit(1).alias("tile_width"), F.lit(1).alias("tile_height"),
+        none.cast("int").alias("subfile_type"), none.cast("string").alias("description"),
+        F.transform(F.split(F.coalesce("description", F.lit("")), "\n", -1), lambda x: x.cast("binary")).alias("payloads"),
+    )
+    units = materialize(slides.with_rows(slides.read_slides(spark, write_slides(sections), "manifest", filesPerPartition="64")), "manifest")
     files = units.select("file_id", "path", "file_size").distinct()
     found = dedup.confirm_candidates(dedup.find_candidates(units, files), units, files, read=slides.with_hashes)
     return dedup.in_order(found.groups)

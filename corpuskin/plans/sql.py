@@ -324,7 +324,7 @@ SELECT file_id AS archetype_id, run::BIGINT AS run, min(pos)::INTEGER AS first,
     "slide_ifds": _SLIDES + "SELECT s.file_id, i.ifd_index, width::BIGINT AS width, height::BIGINT AS height, compression, tile_width::BIGINT AS tile_width, tile_height::BIGINT AS tile_height, unit_count, roles.role, description, hex(encode(description)) || '00' AS raw FROM i JOIN sound s ON i.file_id = conv_id JOIN roles ON roles.file_id = conv_id AND roles.ifd_index = i.ifd_index",
     "slide_units": _SLIDES + "SELECT * EXCLUDE (line) FROM unit",
     "slide_manifest": _SLIDE_PRINTS + "SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY ifd_index, unit_index) - 1)::INTEGER AS idx, ifd_index, unit_index, kind, \"offset\", length, compression, coarse_fp FROM fpu",
-    "slide_confirmed": _SLIDE_PRINTS + "SELECT kind, compression, length, coarse_fp, sha256(line) AS strong_hash, count(*) AS n_units, min(file_id) <> max(file_id) AS cross_file, length * (count(*) - 1) AS reusable_bytes FROM fpu GROUP BY kind, compression, length, coarse_fp, sha256(line) HAVING count(*) >= 2",
+    "slide_confirmed": _GROUPS + "SELECT * FROM c",
     "inspect_lines": _SLIDES
     + rf""", secs AS (SELECT s.file_id, i.* EXCLUDE (file_id, role), roles.role FROM i JOIN sound s ON i.file_id = conv_id JOIN roles ON roles.file_id = conv_id AND roles.ifd_index = i.ifd_index)
 SELECT s.file_id, -1 AS ifd_index, 0 AS part, unnest(range(4))::INTEGER AS n, unnest(['file:       ' || name, 'byte order: ' || CASE WHEN conv_id % 2 = 0 THEN 'little-endian' ELSE 'big-endian' END, 'tiff:       ' || CASE WHEN big THEN 'BigTIFF (43)' ELSE 'classic (42)' END,

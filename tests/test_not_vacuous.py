@@ -27,3 +27,9 @@ def test_related_rows(spark):
 def test_repeats_and_sides(spark):
     assert any(r["n_files"] > 1 for r in QUERIES["preamble_freq"](spark, SF).collect())
     assert {r["tile_size"] for r in QUERIES["geometry_files"](spark, SF).collect()} == {"256x128", "256x192"}
+
+
+def test_containers_share_tiles(spark):
+    rows = QUERIES["slide_confirmed"](spark, SF).collect()
+    assert sum(r["cross_file"] for r in rows) > 3
+    assert {r["error"].split(": ")[1][:8] for r in QUERIES["slide_errors"](spark, SF).collect()} == {"unsuppor", "unknown ", "over 102"}
