@@ -47,7 +47,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark).rstrip('/')}/corpuskin-{label}-{uuid.uuid4().hex}"
     _written.add(path)
-    df.write.parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -123,6 +123,10 @@ def ranked(df: DataFrame, group: str, order: list[str], out: str, label: str) ->
     return joined.withColumn(out, F.col("_at") + F.col("_base")).drop("_g", "_p", "_base", "_part", "_at")
 
 
+#: Edges that a task writes at a time in the rounds of connected components.
+EDGES_A_FILE = 250_000
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable from each node that has an edge to another one.
 
@@ -132,7 +136,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
     now = materialize(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
+    seen, n = None, now.count()
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -142,10 +146,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         kept = large.join(small_least, "u")
         small = kept.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", F.col("m").alias("v")))
         small = small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        after = materialize(small, "edges")
+        # rounds keep to about as many edges as there are: few files where these are few
+        after = materialize(small.coalesce(max(1, -(-n // EDGES_A_FILE))), "edges")
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.bit_xor(F.xxhash64("u", "v"))).first()
         discard(now)
-        now = after
+        now, n = after, mark[0]
         if mark == seen:
             break
         seen = mark
