@@ -19,7 +19,9 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_secret_scan": secrets.ORACLE_OP2,
+    "op3_embedding_near_dedup": vectors.ORACLE_OP3,
     "op5_license_scan": licenses.ORACLE_OP5,
     "op6_benchmark_decontamination": decontaminate.ORACLE_OP6,
+    "op9_repeated_passages": repeats.ORACLE_OP9,
     "op10_rendezvous_sharding": sharding.ORACLE_OP10,
 }

@@ -316,3 +316,16 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(",", F.transform("spans", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string")))).alias("spans"),
         (F.size("spans") > 0).alias("repeated"),
     )
+
+
+#: Every run of 50 words, by the MD5 of its words; runs that occur twice, joined where they touch.
+ORACLE_OP9 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+x AS (SELECT r, unnest(range(len(w) - 49)) AS i, unnest(list_transform(range(len(w) - 49), lambda i: md5(array_to_string(w[i+1:i+50], ' ')))) AS h FROM d WHERE len(w) >= 50),
+y AS (SELECT r, i FROM x WHERE h IN (SELECT h FROM x GROUP BY h HAVING count(*) > 1)),
+z AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 50 THEN 0 ELSE 1 END AS c FROM y),
+k AS (SELECT r, i, sum(c) OVER (PARTITION BY r ORDER BY i) AS k FROM z),
+s AS (SELECT r, min(i) AS a, max(i) + 50 AS b FROM k GROUP BY r, k),
+t AS (SELECT r, sum(b - a)::BIGINT AS n, string_agg(a || '-' || b, ',' ORDER BY a) AS spans FROM s GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_repeated, coalesce(spans, '') AS spans, n IS NOT NULL AS repeated FROM d LEFT JOIN t ON d.r = t.r
+"""

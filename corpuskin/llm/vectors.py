@@ -310,3 +310,15 @@ def _linked(threshold: float) -> Callable:
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: All pairs, and the components by all pairs that reach each other.
+ORACLE_OP3 = """
+WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+s AS (SELECT vec_id, v FROM e WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+r AS (SELECT a AS n, a AS c FROM p UNION SELECT p.b, r.c FROM r JOIN p ON r.n = p.a),
+l AS (SELECT a, count(DISTINCT b) AS n FROM p GROUP BY 1), c AS (SELECT n, min(c) AS c FROM r GROUP BY 1)
+SELECT e.vec_id, coalesce(l.n, 0)::BIGINT AS n_links, coalesce(c.c, e.vec_id) AS component_id, coalesce(c.c, e.vec_id) = e.vec_id AS kept
+FROM e LEFT JOIN l ON l.a = e.vec_id LEFT JOIN c ON c.n = e.vec_id
+"""
