@@ -250,6 +250,7 @@ def contaminated_words(
         return F.when(join, F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(wider))).otherwise(F.concat(a, F.array(x)))
 
     per_text = found.groupBy("_t").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("hits"), F.array_sort(F.collect_set("item")).alias("items"))
+    per_text = materialize(per_text, "found")  # a text with many copies can be split in the join only if no aggregate stands right below
     joined = read.join(per_text.select("_t", F.aggregate("hits", empty, add).alias("hits"), "items"), "_t", "left")
     return joined.select(F.col("_key").alias(key), "n_words", F.coalesce("hits", empty).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
