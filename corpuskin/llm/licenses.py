@@ -208,6 +208,7 @@ def find_licenses(
     found = met.select("_t", "label", "template", "size", _best_block(F.col("_placed")).alias("b")).where("b IS NOT NULL")
     match = F.struct(F.col("b.word").alias("word"), "label", (F.col("b.n") / F.col("size")).alias("share"), F.col("b.blocks").alias("blocks"))
     found = found.groupBy("_t").agg(F.array_sort(F.collect_list(match)).alias("matches"))
+    found = materialize(found, "found")  # a text with many copies can be split in the join only if no aggregate stands right below
 
     joined = rows.join(found, "_t", "left")
     places = F.concat(*[F.col(f"_p{i}") for i in range(len(PHRASES))])
