@@ -324,7 +324,8 @@ def near_copies(docs: DataFrame, key: str, text: str = "text", width: int = 5, t
     made = materialize(with_sketches(docs, key, text, width), "sketches")
     nodes = materialize(made.groupBy("node").agg(F.min(key).alias("least"), *[F.first(c).alias(c) for c in ("n", "fp", *bits, "bands")]), "nodes")
     dealt = nodes.where("n > 0").select(F.explode("bands").alias("band"), "node")
-    heads = dealt.groupBy("band").agg(F.count("*").alias("_c")).where("_c > 1").select("band")
+    # what a join meets a hot key with is written first: right above an aggregate adaptive execution can't split it
+    heads = materialize(dealt.groupBy("band").agg(F.count("*").alias("_c")).where("_c > 1").select("band"), "crowds")
     shared = materialize(dealt.join(heads, "band"), "bands")
     printed = linked_prints(nodes.where("n > 0").select("node", "fp"), "node").select("node", F.col("component_id").alias("group"))
     crowds = printed.groupBy("group").count().where("count > 1").select("group")
@@ -342,7 +343,7 @@ def near_copies(docs: DataFrame, key: str, text: str = "text", width: int = 5, t
     def with_head(members: DataFrame, group: str) -> DataFrame:
         """Each node with the one of its group that has the largest share of common shingles."""
         own = members.join(alive, "node")
-        head = own.groupBy(group).agg(F.max(row).alias("h"))
+        head = materialize(own.groupBy(group).agg(F.max(row).alias("h")), "heads")
         both = own.join(head, group).select("node", "n", "common", F.col("h.node").alias("head"), F.col("h.n").alias("hn"), F.col("h.common").alias("hcommon"))
         return both.where((F.col("node") != F.col("head")) & enough("", "h")).select(F.greatest("node", "head").alias("src"), F.least("node", "head").alias("dst"))
 
@@ -359,7 +360,8 @@ def near_copies(docs: DataFrame, key: str, text: str = "text", width: int = 5, t
     graph = materialize(connected_components(edges), "parts")
     placed = shared.join(alive, "node").join(graph, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    rest = placed.join(split.select("band"), "band").join(nodes.select("node", "bands", *bits), "node")
+    split = materialize(split.select("band"), "split")
+    rest = placed.join(split, "band").join(nodes.select("node", "bands", *bits), "node")
     rest = materialize(rest, "open")
     other = rest.select("band", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "common", "component", "bands", *bits)])
     p = (1 - threshold) / 2
