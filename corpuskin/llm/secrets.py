@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from corpuskin.llm.textcols import fresh, let, prefix_sums
 
+#: Trigrams that a clause asks for at most: those with the fewest letters, which texts have more rarely. Verification settles the rest.
+_CLAUSE_TRIGRAMS = 3
 #: More alternatives than this for one stretch of literals give up on that stretch (it then demands nothing).
 _MOST_STRINGS = 64
 
@@ -41,13 +43,18 @@ RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
+    Rule("stripe", r"[rs]k_live_[0-9A-Za-z]{20,}"),
+    Rule("gitlab", r"glpat-[0-9A-Za-z_-]{20,}"),
+    Rule("npm", r"npm_[0-9A-Za-z]{36}"),
+    Rule("jwt", r"eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}"),
 )
 
 Clause = frozenset[str]
 
 
 def trigram_clauses(pattern: str) -> list[Clause] | None:
-    """The trigrams (lower case) that a match must contain: any one of the clauses, each with all of its trigrams.
+    """Trigrams (lower case) that a match must contain: any one of the clauses, each with all of its trigrams.
 
     None if some match contains no known trigram: then every text has to be scanned.
     """
@@ -59,6 +66,8 @@ def trigram_clauses(pattern: str) -> list[Clause] | None:
         clauses = list({a | b for a in clauses for b in sets})
         if len(clauses) > _MOST_STRINGS:
             return None
+    letters = lambda t: (sum(c.isalpha() for c in t), t)
+    clauses = list({frozenset(sorted(c, key=letters)[:_CLAUSE_TRIGRAMS]) for c in clauses})
     clauses = [c for c in clauses if not any(d < c for d in clauses)]
     return None if frozenset() in clauses else sorted(clauses, key=sorted)
 
@@ -257,16 +266,29 @@ def _sql_spans(kind: str, rank: int, pattern: str, checked: str, least: int) ->
     return f"list_filter({made}, lambda x: x.c >= {least})"
 
 
+_NONE_SQL = "[]::STRUCT(s BIGINT, r INTEGER, k VARCHAR, n BIGINT, c BIGINT)[]"
+#: (kind, what a text has to match to be looked at, expression, group, least length), in the rules' order.
+_SQL_RULES = (
+    ("assign", "(?i)passw|secret|token|api_?key", """((?i:password|passwd|secret|token|api_?key))["'']?[ ]*[:=][ ]*["'']?([A-Za-z0-9+/_.=-]+)""", "2", 6),
+    ("access", "AKIA", "AKIA[A-Z0-9]+", "0", 20),
+    ("hex", "[0-9a-f]{24,}", "[0-9a-f]{24,}", "0", 24),
+    ("pem", "PRIVATE KEY", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "0", 1),
+    ("github", "gh[pousr]_", "gh[pousr]_[A-Za-z0-9]{36,}", "0", 1),
+    ("slack", "xox", "xox[abprs]-[A-Za-z0-9-]{10,}", "0", 1),
+    ("google", "AIza", "AIza[0-9A-Za-z_-]{35}", "0", 1),
+    ("stripe", "k_live_", "[rs]k_live_[0-9A-Za-z]{20,}", "0", 1),
+    ("gitlab", "glpat-", "glpat-[0-9A-Za-z_-]{20,}", "0", 1),
+    ("npm", "npm_", "npm_[0-9A-Za-z]{36}", "0", 1),
+    ("jwt", "eyJ", r"eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}", "0", 1),
+)
+_SQL_COLUMNS = ",\n  ".join(f"CASE WHEN regexp_matches(t, '{first}') THEN {_sql_spans(kind, n, pattern, group, least)} ELSE {_NONE_SQL} END AS k{n}" for n, (kind, first, pattern, group, least) in enumerate(_SQL_RULES))
+_SQL_TEXT = "array_to_string(list_transform(list_sort({}), lambda y: y.k || ':' || y.s || ':' || (y.s + y.n)), ',')"
+
 ORACLE_OP2 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 s AS (SELECT doc_id,
-  CASE WHEN regexp_matches(t, '(?i)passw|secret|token|api_?key') THEN {_sql_spans("assign", 0, '((?i:password|passwd|secret|token|api_?key))["'']?[ ]*[:=][ ]*["'']?([A-Za-z0-9+/_.=-]+)', "2", 6)} ELSE []::STRUCT(s BIGINT, r INTEGER, k VARCHAR, n BIGINT, c BIGINT)[] END AS a,
-  CASE WHEN contains(t, 'AKIA') THEN {_sql_spans("access", 1, "AKIA[A-Z0-9]+", "0", 20)} ELSE []::STRUCT(s BIGINT, r INTEGER, k VARCHAR, n BIGINT, c BIGINT)[] END AS b,
-  CASE WHEN regexp_matches(t, '[0-9a-f]{{24,}}') THEN {_sql_spans("hex", 2, "[0-9a-f]{24,}", "0", 24)} ELSE []::STRUCT(s BIGINT, r INTEGER, k VARCHAR, n BIGINT, c BIGINT)[] END AS h,
-  CASE WHEN contains(t, 'PRIVATE KEY') THEN {_sql_spans("pem", 3, "-----BEGIN [A-Z ]*PRIVATE KEY-----", "0", 1)} ELSE []::STRUCT(s BIGINT, r INTEGER, k VARCHAR, n BIGINT, c BIGINT)[] END AS p,
-  CASE WHEN regexp_matches(t, 'gh[pousr]_') THEN {_sql_spans("github", 4, "gh[pousr]_[A-Za-z0-9]{36,}", "0", 1)} ELSE []::STRUCT(s BIGINT, r INTEGER, k VARCHAR, n BIGINT, c BIGINT)[] END AS g,
-  CASE WHEN contains(t, 'xox') THEN {_sql_spans("slack", 5, "xox[abprs]-[A-Za-z0-9-]{10,}", "0", 1)} ELSE []::STRUCT(s BIGINT, r INTEGER, k VARCHAR, n BIGINT, c BIGINT)[] END AS sl FROM d)
-SELECT doc_id, len(a)::BIGINT AS n_assign, len(b)::BIGINT AS n_access, len(h)::BIGINT AS n_hex,
-  sha256(array_to_string(list_transform(list_sort(a || b || h), lambda y: y.k || ':' || y.s || ':' || (y.s + y.n)), ',')) AS base_sha256,
-  array_to_string(list_transform(list_sort(a || b || h || p || g || sl), lambda y: y.k || ':' || y.s || ':' || (y.s + y.n)), ',') AS spans FROM s
+  {_SQL_COLUMNS} FROM d)
+SELECT doc_id, len(k0)::BIGINT AS n_assign, len(k1)::BIGINT AS n_access, len(k2)::BIGINT AS n_hex,
+  sha256({_SQL_TEXT.format("k0 || k1 || k2")}) AS base_sha256,
+  {_SQL_TEXT.format(" || ".join(f"k{n}" for n in range(len(_SQL_RULES))))} AS spans FROM s
 """

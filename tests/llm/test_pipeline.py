@@ -26,6 +26,7 @@ def test_sql(spark, name):
 
 
 def test_stages(spark):
+    from corpuskin.llm.packing import default_tokenizer_path, encoder
     from tests.llm.test_decontaminate import brute
     from tests.llm.test_secrets import spans
 
@@ -48,7 +49,19 @@ def test_stages(spark):
             assert len(set(after.values())) == len(after)
     assert sizes[1] >= 0.99 * sizes[0] and sizes[-1] > 0
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
-    assert {r["doc_id"] for r in packed} == set(after)
+    tokens, sequences = {}, {}
+    for r in packed:
+        tokens[r["doc_id"]] = tokens.get(r["doc_id"], 0) + r["length"]
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    encode = encoder(default_tokenizer_path())
+    assert tokens == {i: len(encode(t or "")) + 1 for i, t in after.items()}
+    for places in sequences.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(sequences) <= 1.01 * sum(tokens.values()) / 2048 + 1
 
 
 def test_empty_documents(spark, tmp_path):

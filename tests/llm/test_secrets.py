@@ -24,6 +24,9 @@ MANY = [
     "apiKEY='ABCDEF' ApI_kEy=ABCDEF",
     "token = aaaaaa " * 400,
     "deadbeefdeadbeefdeadbeef token=deadbeefdeadbeefdeadbeef",
+    "AIza" + "b-C_" * 9 + " sk_live_" + "a1" * 12 + " rk_live_" + "Z" * 20 + " glpat-" + "x_" * 10 + " npm_" + "q" * 36,
+    "AIza" + "b" * 34 + " sk_live_short glpat-" + "x" * 19 + " npm_" + "q" * 35 + " pk_live_" + "a" * 24,
+    "eyJ" + "a" * 12 + "." + "b" * 12 + "." + "c" * 12 + ". eyJhbGciOi.x.y",
 ]
 
 
@@ -88,3 +91,13 @@ def test_mask_brute_force(spark):
 
     got = sorted(((r["doc_id"], r["text"]) for r in mask_secrets(df).collect()), key=repr)
     assert got == sorted(((i, None if t is None else masked(t)) for i, t in made), key=repr)
+
+
+def test_sql(spark, tmp_path):
+    """All kinds, and near misses, against the SQL."""
+    from corpuskin.llm.secrets import ORACLE_OP2
+    from tests.compare import assert_same, duck
+
+    made = [*((r[0], r[1]) for r in cases.rows() if r[0] is not None), *enumerate(MANY, 1000)]
+    spark.createDataFrame(made, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert_same(op2_secret_scan(spark, str(tmp_path)), duck(str(tmp_path)), ORACLE_OP2)
