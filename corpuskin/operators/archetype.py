@@ -84,7 +84,7 @@ def _code(x: Column) -> Column:
 
 
 def skeleton_diff(a: Column, b: Column) -> Column:
-    """What differs from skeleton ``a`` to ``b``: section count, and by position compression and layout."""
+    """What differs from skeleton ``a`` to ``b``: section count, and by position compression and layout. The wording is fixed: reports are compared as text."""
     gap = b["ifd_count"] - a["ifd_count"]
     count = F.when(gap != 0, F.concat(F.lit("IFD count "), F.when(gap > 0, "+").otherwise(""), gap.cast("string"), F.lit(" ("), b["ifd_count"], F.lit(" vs "), a["ifd_count"], F.lit(")")))
     shared = F.least(F.size(a["per_ifd"]), F.size(b["per_ifd"]))

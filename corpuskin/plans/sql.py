@@ -264,7 +264,7 @@ ORACLE_SQL: dict[str, str] = {
     "false_positive_groups": _GROUPS + "SELECT * FROM fp",
     "pair_overlaps": _SCORES + "SELECT * FROM o",
     "pair_scores_all": r"""
-WITH u AS (SELECT regexp_replace(source, '[^0-9]', '', 'g')::BIGINT AS file_id, strlen(coalesce(text, ''))::BIGINT AS length, sha256(coalesce(text, '')) AS h FROM documents WHERE source IS NOT NULL),
+WITH u AS (SELECT coalesce(regexp_replace(source, '[^0-9]', '', 'g')::BIGINT, -1) AS file_id, strlen(coalesce(text, ''))::BIGINT AS length, sha256(coalesce(text, '')) AS h FROM documents),
 e AS (SELECT file_id, sum(length)::BIGINT AS n FROM u GROUP BY 1), held AS (SELECT DISTINCT * FROM u),
 o AS (SELECT x.file_id AS a, y.file_id AS b, sum(x.length)::BIGINT AS s FROM held x JOIN held y ON x.h = y.h AND x.length = y.length AND x.file_id < y.file_id GROUP BY 1, 2)
 SELECT x.file_id AS a, y.file_id AS b, coalesce(s, 0) AS shared_bytes, x.n AS eligible_a, y.n AS eligible_b, CASE WHEN greatest(x.n, y.n) = 0 THEN 0.0::DOUBLE ELSE coalesce(s, 0)::DOUBLE / greatest(x.n, y.n) END AS score

@@ -43,10 +43,10 @@ def with_offsets(units: DataFrame) -> DataFrame:
 
 
 def source_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(files, units): a file per source of documents, a unit per document with its text's SHA-256."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("source is not null")
-    number = F.regexp_replace("source", "[^0-9]", "").cast("long")
-    rows = docs.select(number.alias("file_id"), F.col("source").alias("path"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("length"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("strong_hash"))
+    """(files, units): a file per source of documents (-1 for none), a unit per document with its text's SHA-256."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    number = F.coalesce(F.regexp_replace("source", "[^0-9]", "").cast("long"), F.lit(-1))
+    rows = docs.select(number.alias("file_id"), F.coalesce("source", F.lit("-")).alias("path"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("length"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("strong_hash"))
     return rows.groupBy("file_id", "path").agg(F.sum("length").alias("file_size")), rows
 
 
