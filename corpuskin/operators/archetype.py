@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpuskin.functions.labels import identity
-from corpuskin.plans.shared import connected_components, ranked
+from corpuskin.plans.shared import connected_components, materialize, ranked
 
 TOKEN_THRESHOLD = 0.5
 SKELETON = ["compression", "is_tiled", "tile_width", "tile_height", "role"]
@@ -28,21 +28,26 @@ def token_links(rows: DataFrame, threshold: float = TOKEN_THRESHOLD) -> DataFram
     """(a, b), a < b: files of one skeleton whose token sets have a Jaccard similarity of at least ``threshold``.
 
     A prefix join: tokens are ordered by how many files have them, and two sets that similar share one of each one's
-    rarest tokens. Files without tokens are equal to each other: they link to the first of them, which connects them.
+    rarest tokens, the first of them early enough for what follows it to suffice. Files without tokens are equal to each
+    other: they link to the first of them, which connects them.
     """
     held = rows.select("file_id", identity(F.to_json("skeleton")).alias("_s"), F.col("description_tokens").alias("t"))
     some = held.where(F.size("t") > 0)
-    often = some.select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    ordered = some.select("file_id", "_s", F.explode("t").alias("token")).join(often, "token")
-    ordered = ordered.groupBy("file_id", "_s").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("o"))
-    n = F.size("o")
-    prefix = ordered.select("file_id", "_s", n.alias("n"), F.explode(F.slice("o", F.lit(1), n - F.ceil(n * threshold).cast("int") + 1)).alias("p"))
-    a = prefix.select(F.col("file_id").alias("a"), "_s", F.col("p.token").alias("p"), F.col("n").alias("na"))
-    b = prefix.select(F.col("file_id").alias("b"), "_s", F.col("p.token").alias("p"), F.col("n").alias("nb"))
+    words = some.select("file_id", "_s", F.explode("t").alias("token"))
+    often = words.groupBy("token").agg(F.count("*").alias("n"))
+    # tokens are numbered, so that sets of numbers are compared
+    often = materialize(often.withColumn("id", F.monotonically_increasing_id()), "tokens")
+    ordered = words.join(often, "token").groupBy("file_id", "_s").agg(F.array_sort(F.collect_list(F.struct("n", "id"))).alias("o"))
+    ordered = materialize(ordered.select("file_id", "_s", F.transform("o", lambda x: x["id"]).alias("t")), "ordered")
+    n = F.size("t")
+    prefix = ordered.select("file_id", "_s", n.alias("n"), F.posexplode(F.slice("t", F.lit(1), n - F.ceil(n * threshold).cast("int") + 1)).alias("i", "p"))
+    a, b = (prefix.select(F.col("file_id").alias(k), "_s", "p", F.col("n").alias(f"n{k}"), (F.col("n") - F.col("i")).alias(f"r{k}")) for k in "ab")
     sizes = (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold)
-    met = a.join(b, ["_s", "p"]).where("a < b").where(sizes).select("a", "b").distinct()
+    # from the first token that two sets share, they need so many
+    need = (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-6
+    met = a.join(b, ["_s", "p"]).where("a < b").where(sizes & (F.least("ra", "rb") >= need)).select("a", "b").distinct()
     # each pair that meets is verified once, over all of its tokens
-    met = met.join(some.select(F.col("file_id").alias("a"), F.col("t").alias("ta")), "a").join(some.select(F.col("file_id").alias("b"), F.col("t").alias("tb")), "b")
+    met = met.join(ordered.select(F.col("file_id").alias("a"), F.col("t").alias("ta")), "a").join(ordered.select(F.col("file_id").alias("b"), F.col("t").alias("tb")), "b")
     both = F.size(F.array_intersect("ta", "tb"))
     near = met.where(both / (F.size("ta") + F.size("tb") - both) >= threshold).select("a", "b")
     none = held.where(F.size("t") == 0).select("file_id", "_s")

@@ -1,5 +1,7 @@
 """Profiles, corpus statistics, structural scores, archetypes, shared runs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +135,19 @@ def test_segments_and_bytes(spark):
 def test_no_members(spark):
     with pytest.raises(ValueError):
         archive.archetype_bytes(spark.createDataFrame([], "group_id long, path string, ifd_index int, bytes binary"))
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 1.0])
+def test_token_links_by_all_pairs(spark, threshold):
+    rng = random.Random(3)
+    base = [[f"w{rng.randrange(60)}" for _ in range(rng.randint(0, 20))] for _ in range(12)]
+    rows = []
+    for i in range(150):
+        words = set(rng.choice(base)) | {f"w{rng.randrange(60)}" for _ in range(rng.randint(0, 4))}
+        rows.append((i, (i % 2,), sorted(words)[: rng.randint(0, 24)]))
+    got = {(r["a"], r["b"]) for r in at.token_links(spark.createDataFrame(rows, "file_id long, skeleton struct<k:int>, description_tokens array<string>"), threshold).collect()}
+    want = {(i, j) for i, s, a in rows for j, s2, b in rows if i < j and s == s2 and a and b and len(set(a) & set(b)) >= threshold * len(set(a) | set(b))}
+    for k in (0, 1):
+        empty = [i for i, s, a in rows if not a and s == (k,)]
+        want |= {(empty[0], j) for j in empty[1:]}
+    assert got == want
