@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from corpuskin.llm.simhash import word_pieces
 from corpuskin.llm.textcols import small_batches
-from corpuskin.plans.shared import materialize
+from corpuskin.plans.shared import discard, materialize, release
 
 LEAST_WORDS, SEED_WORDS = 50, 16
 #: An odd base, invertible modulo 2^64, so that the hash of any run of words is a difference of prefix sums.
@@ -244,13 +244,18 @@ def _repeated_windows(classes: DataFrame, texts: DataFrame, least: int, seed: in
     suffixes = materialize(_suffixes(texts(wanted), least, seed), "suffixes")
     by = ["seed", "right", "left"]
     # range partitions split a seed that many classes share; neighbours in two partitions aren't compared, and stay open
+    release(classes.sparkSession)
     told = materialize(_neighbours(suffixes.repartitionByRange(*by).sortWithinPartitions(*by), least, seed), "neighbours")
     near = told.select(*CLASS, F.explode("ranges").alias("x")).select(*CLASS, "x.lo", "x.hi")
     open_ = told.where("open").select("seed").distinct()
     windows = materialize(_windows(suffixes.join(open_, "seed", "left_semi"), least, seed), "windows")
     twice = windows.groupBy("seed", "digest").agg(F.count("*").alias("c")).where("c > 1").select("seed", "digest")
     further = windows.join(twice, ["seed", "digest"], "left_semi").select(*CLASS, F.col("i").alias("lo"), (F.col("i") + 1).alias("hi"))
-    return materialize(copied.unionByName(near).unionByName(further), "ranges")
+    ranges = materialize(copied.unionByName(near).unionByName(further), "ranges")
+    for table in (several, suffixes, told, windows):
+        discard(table)
+    release(ranges.sparkSession)
+    return ranges
 
 
 def _merge(rows: DataFrame) -> DataFrame:
@@ -294,10 +299,13 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     found = seeds.join(met, "seed", "left_semi").groupBy("_r").agg(F.collect_set("seed").alias("met"))
     found = retained.select("_r", "_k").join(found, "_r").groupBy("_k").agg(F.min("_r").alias("_r"), F.count("*").alias("times"), F.first("met").alias("met"))
     found = materialize(found, "met")
+    discard(met)
+    release(docs.sparkSession)
     # of equal rows one is read, and counts for all
     read = lambda chosen: rows.select("_k", "_text").join(chosen, "_k").dropDuplicates(["_k"])
     places = materialize(_places(read(found), least, seed), "places")
     classes = materialize(places.groupBy(*CLASS).agg(F.sum("times").alias("n"), F.min(F.struct("_r", "first")).alias("at")), "classes")
+    release(docs.sparkSession)
     ranges = _repeated_windows(classes, lambda wanted: read(found.select("_k", "_r").join(wanted, "_r")), least, seed)
     whole = places.join(ranges, CLASS).select("_r", (F.col("first") + F.col("lo")).alias("start"), (F.col("first") + F.col("hi") - 1 + least).alias("end"))
     spans = _merge(whole.groupBy("_r").agg(F.collect_list(F.struct("start", "end")).alias("ranges")))
