@@ -36,6 +36,14 @@ def work_dir(spark: SparkSession) -> str:
     return where
 
 
+#: How intermediate tables are written: without success marks, and to mounted folders without checksum files and without the
+#: process that Hadoop's checksum file system starts for each file to set its mode.
+_PLAIN = {
+    "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false",
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+    "fs.file.impl.disable.cache": "true",
+}
+
 #: Folders that :func:`materialize` wrote and nothing has deleted yet.
 _written: set[str] = set()
 
@@ -48,7 +56,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark).rstrip('/')}/corpuskin-{label}-{uuid.uuid4().hex}"
     _written.add(path)
-    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    df.write.options(**_PLAIN).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
