@@ -107,7 +107,9 @@ def squared(left: DataFrame, right: DataFrame, rows: int = 4096) -> DataFrame:
     own = lambda df: F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")
     a = left.withColumn("_i", own(left)).withColumn("_j", every)
     b = right.withColumn("_j", own(right)).withColumn("_i", every)
-    return a.join(b, ["_i", "_j"]).drop("_i", "_j")
+    # few rows make many pairs: by their bytes, adaptive execution would put them all in one task
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return a.repartition(tasks, "_i", "_j").join(b.repartition(tasks, "_i", "_j"), ["_i", "_j"]).drop("_i", "_j")
 
 
 def ranked(df: DataFrame, group: str, order: list[str], out: str, label: str) -> DataFrame:
