@@ -17,6 +17,21 @@ def test_tables_go(spark):
     assert b.count() == 7
 
 
+def test_written_tables_are_not_broadcast_by_their_files_bytes(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10m")  # Spark's default
+        a, b = (shared.materialize(spark.range(300_000).withColumnRenamed("id", "k"), x) for x in "ab")
+        plan = a.join(b, "k")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        spark.conf.set(name, "-1")
+        shared.materialize(spark.range(1), "c")
+        assert spark.conf.get(name) == "-1"
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_no_local_folder_on_a_cluster(monkeypatch):
     class Option:
         def isDefined(self):
