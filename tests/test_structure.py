@@ -71,6 +71,38 @@ def test_structural_scores(spark):
     assert pair(spark, simple(0, 1, "foo|bar"), simple(1, 1, "foo|baz"))["token_score"] == pytest.approx(1 / 3)
 
 
+def made_of(spark, seed, files):
+    rng = random.Random(seed)
+    side = lambda: rng.choice([None, 0, 1, 80, 100, 101, 125, 126, 1000])
+    words = lambda: "|".join(rng.sample(["aa", "bb", "cc", "dd", "ee"], rng.randint(0, 5)))
+    rows = [(f, i, side(), side(), rng.choice([None, 1, 7]), 256, 256, 4, None, words()) for f in range(files) for i in range(rng.randint(1, 5))]
+    return pr.build_profiles(ifds(spark, rows))
+
+
+def test_scores_are_those_of_the_expressions(spark, monkeypatch):
+    monkeypatch.setattr(structural, "OUT_ROWS", 50)
+    profiles = made_of(spark, 5, 70)
+    none = profiles.where("file_id = 0").select(F.lit(-1).cast("long").alias("file_id"), F.lit(0).cast("long").alias("ifd_count"), F.slice("ifds", 1, 0).alias("ifds"), F.slice("description_tokens", 1, 0).alias("description_tokens"), "description_preamble")
+    profiles = profiles.unionByName(none).cache()
+    a, b = (profiles.select(*[F.col(c).alias(f"{c}_{k}") for c in ("file_id", "ifd_count", "ifds", "description_tokens")]) for k in "ab")
+    both = a.crossJoin(b).where("file_id_a < file_id_b")
+    shared = F.least("ifd_count_a", "ifd_count_b").cast("int")
+    agree = F.zip_with(F.slice("ifds_a", F.lit(1), shared), F.slice("ifds_b", F.lit(1), shared), structural.position_agreement)
+    structure = F.when(shared == 0, F.lit(0.0)).otherwise(F.aggregate(agree, F.lit(0.0), lambda s, x: s + x) / shared)
+    want = {(r[0], r[1]): (r[2], r[3]) for r in both.select("file_id_a", "file_id_b", structure, labels.jaccard(F.col("description_tokens_a"), F.col("description_tokens_b"))).collect()}
+    found = structural.score_profiles(profiles).collect()
+    assert {(r["a"], r["b"]): (r["structure_score"], r["token_score"]) for r in found} == want and len(found) == 71 * 70 // 2
+    best = sorted(found, key=lambda r: (-r["score"], r["a"], r["b"]))
+    for n, least in ((1, None), (40, 0.6), (3000, 0.5)):
+        assert structural.best_profile_pairs(profiles, n, least).collect() == [r for r in best if r["score"] >= (least or 0)][:n]
+
+
+def test_the_best_pairs_are_picked_where_they_are_scored(spark):
+    profiles = made_of(spark, 6, 400)
+    assert structural._scored(profiles, 3, 0.6).count() <= 36 * 3  # of each two of 8 blocks
+    assert structural._scored(profiles, least=0.6).count() > 1000
+
+
 def test_signature(spark):
     rows = [(0, 0, 100, 80, 7, 64, 64, 1, None, None), (0, 1, 50, 40, None, None, None, 1, None, None)]
     assert pr.structural_signature(pr.build_profiles(ifds(spark, rows))).first()["signature"] == "n=2 [0:100x80/c=7/tiled=64x64] [1:50x40/c=?/strip]"
