@@ -128,6 +128,16 @@ def test_token_relations(spark):
     assert by.keys() == {0, 2, 3}, "files without tokens are alike"
 
 
+def test_copies_are_one_node_of_the_token_graph(spark, monkeypatch):
+    met = []
+    links = at.token_links
+    monkeypatch.setattr(at, "token_links", lambda rows, *a: met.append(rows.count()) or links(rows, *a))
+    rows = sum([simple(i, 2, "aa|bb|cc|dd") for i in range(20)] + [simple(i, 2, "aa|bb|cc|ee") for i in range(20, 40)] + [simple(i, 2, None) for i in (41, 40)] + [simple(42, 3, "aa|bb|cc|dd")], [])
+    got = {r["file_id"]: r["first_file"] for r in at.token_clusters(pr.build_profiles(ifds(spark, rows))).collect()}
+    assert got == {**dict.fromkeys(range(40), 0), 40: 40, 41: 40, 42: 42}
+    assert met == [4]
+
+
 def test_variable_tokens(spark):
     rows = simple(0, 2, "aa|bb|cc") + simple(1, 2, "aa|bb|dd")
     found, _ = at.derive_archetypes(pr.build_profiles(ifds(spark, rows)))
