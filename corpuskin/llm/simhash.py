@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskin.llm.textcols import fresh, small_batches
-from corpuskin.plans.shared import connected_components, materialize
+from corpuskin.plans.shared import connected_components, materialize, release
 
 #: Texts are taken in pieces of about so many bytes, cut at white space, so that a long one needs no more memory than its own size.
 PIECE_BYTES = 1 << 20
@@ -151,6 +151,8 @@ def links(prints: DataFrame, radius: int = 3, hot: int = HOT_KEY, within: tuple[
 
     A key that many fingerprints share is split again by the halves of the bits that it leaves open, down to keys that
     fix all but 8 bits on the exact side, which at most 256 fingerprints can share: no key gathers an unbounded group.
+    Each split is a query of its own, and only of halves that have crowded keys: the driver plans, compiles and adapts all
+    of a query's stages at once, so that its memory would grow with the splits.
     """
     if not 0 <= radius <= 3:
         raise ValueError("radius must be 0 to 3")
@@ -170,28 +172,29 @@ def links(prints: DataFrame, radius: int = 3, hot: int = HOT_KEY, within: tuple[
     out = met.where((F.col("a") > F.col("b")) & near(F.col("a"), F.col("b")) & once).select(*keys, "a", "b")
     if any_hot:
         for side, low in ((0, 0), (1, 32)):  # a key that fixes the upper half leaves the lower 32 bits open
-            here = crowd.where(F.col("half") == side).select(*keys, "value")
-            pick = lambda x: x.where(F.col("half") == side).join(here, [*keys, "value"], "left_semi").select(*keys, F.col("value").alias("k"), "fp")  # noqa: B023, E731
-            for found in _hot(pick(exact), pick(balls), [*keys, "k"], low, near, hot):
+            for found in _hot(exact, balls, crowd, side, keys, "k", low, 32, near, hot):
                 out = out.unionByName(found.select(*keys, "a", "b"))
         out = out.distinct()  # keys of split groups can find a pair more than once
     return out.select(*keys, F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def _hot(exact: DataFrame, balls: DataFrame, keys: list[str], low: int, near, hot: int) -> list[DataFrame]:
-    """Pairs within crowded ``keys``: both parts of the open 32 bits, by 16-bit halves, then by 8-bit ones."""
-    e, b = _halves(exact, keys, low, 32, False), _halves(balls, keys, low, 32, True)
-    on = [*keys, "half", "value"]
-    crowd = e.groupBy(*on).count().where(F.col("count") > hot).select(*on)
-    met = b.join(crowd, on, "left_anti").withColumnRenamed("fp", "a").join(e.join(crowd, on, "left_anti").withColumnRenamed("fp", "b"), on)
-    found = [met.where((F.col("a") > F.col("b")) & near(F.col("a"), F.col("b")))]
-    for half, at in ((0, low), (1, low + 16)):
-        here = crowd.where(F.col("half") == half).select(*keys, "value")
-        pick = lambda x: x.where(F.col("half") == half).join(here, [*keys, "value"], "left_semi").select(*keys, F.col("value").alias("k2"), "fp")  # noqa: B023, E731
-        e2, b2 = _halves(pick(e), [*keys, "k2"], at, 16, False), _halves(pick(b), [*keys, "k2"], at, 16, True)
-        met = b2.withColumnRenamed("fp", "a").join(e2.withColumnRenamed("fp", "b"), [*keys, "k2", "half", "value"])
-        found.append(met.where((F.col("a") > F.col("b")) & near(F.col("a"), F.col("b"))))
-    return found
+def _hot(exact: DataFrame, balls: DataFrame, crowd: DataFrame, side: int, keys: list[str], name: str, low: int, bits: int, near, hot: int) -> list[DataFrame]:
+    """Pairs within the keys of ``crowd`` that fix half ``side``, as written tables: by halves of the ``bits`` open bits from ``low``, those with crowded keys again."""
+    here = crowd.where(F.col("half") == side).select(*keys, "value")
+    if not here.head(1):
+        return []
+    pick = lambda x: x.where(F.col("half") == side).join(here, [*keys, "value"], "left_semi").select(*keys, F.col("value").alias(name), "fp")
+    own = [*keys, name]
+    on = [*own, "half", "value"]
+    e, b = _halves(materialize(pick(exact), "hot"), own, low, bits, False), _halves(pick(balls), own, low, bits, True)
+    if bits == 16:  # the last split: a key leaves 8 bits open
+        e0, b0, deeper = e, b, []
+    else:
+        more = materialize(e.groupBy(*on).count().where(F.col("count") > hot).select(*on), "hot-keys")
+        e0, b0 = e.join(more, on, "left_anti"), b.join(more, on, "left_anti")
+        deeper = [x for half, at in ((0, low), (1, low + 16)) for x in _hot(e, b, more, half, own, f"{name}2", at, 16, near, hot)]
+    met = b0.withColumnRenamed("fp", "a").join(e0.withColumnRenamed("fp", "b"), on)
+    return [materialize(met.where((F.col("a") > F.col("b")) & near(F.col("a"), F.col("b"))), "hot-pairs"), *deeper]
 
 
 def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3, prints: int = 1) -> DataFrame:
@@ -330,6 +333,7 @@ def near_copies(docs: DataFrame, key: str, text: str = "text", width: int = 5, t
     printed = linked_prints(nodes.where("n > 0").select("node", "fp"), "node").select("node", F.col("component_id").alias("group"))
     crowds = printed.groupBy("group").count().where("count > 1").select("group")
     printed = materialize(printed.join(crowds, "group"), "printed")
+    release(docs.sparkSession)  # also of what the driver has held for the queries so far
 
     texts = docs.select(F.col(key).alias("least"), F.col(text).alias("text"))
     met = nodes.join(shared.select("node").union(printed.select("node")).distinct(), "node", "left_semi").select("node", "least", "n")
@@ -348,6 +352,7 @@ def near_copies(docs: DataFrame, key: str, text: str = "text", width: int = 5, t
         return both.where((F.col("node") != F.col("head")) & enough("", "h")).select(F.greatest("node", "head").alias("src"), F.least("node", "head").alias("dst"))
 
     first = materialize(with_head(shared, "band").union(with_head(printed, "group")).distinct(), "pairs")
+    release(docs.sparkSession)
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         a = sets.select(F.col("node").alias("src"), F.col("shingles").alias("a"))
@@ -358,6 +363,7 @@ def near_copies(docs: DataFrame, key: str, text: str = "text", width: int = 5, t
 
     edges = verified(first, "links")
     graph = materialize(connected_components(edges), "parts")
+    release(docs.sparkSession)
     placed = shared.join(alive, "node").join(graph, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     split = materialize(split.select("band"), "split")
