@@ -66,6 +66,22 @@ def test_overlap_counts_presence(spark):
     assert [tuple(r) for r in overlap.pair_overlaps(m, ["g"]).collect()] == [(0, 1, 512, 1)]
 
 
+def test_overlaps_of_copies_are_met_once(spark, monkeypatch):
+    """Pairs by brute force, also where a group's lengths differ; of files with the same groups one is joined."""
+    import random
+
+    rng = random.Random(7)
+    sets = [{(f"g{g}", rng.choice([g, 7])) for g in rng.sample(range(30), 6)} for _ in range(12)]
+    of = {f: sets[rng.randrange(12)] for f in range(90)}
+    m = spark.createDataFrame([(f, g, n) for f, own in of.items() for g, n in own] + [(None, "g1", 7)], "file_id long, g string, length long")
+    met, plain = [], overlap.class_overlaps
+    monkeypatch.setattr(overlap, "class_overlaps", lambda held: met.append(held.count()) or plain(held))
+    got = overlap.pair_overlaps(m, ["g"])
+    want = [(a, b, [n for g, n in of[a] for h, _ in of[b] if g == h]) for a in of for b in of if a < b]
+    assert sorted(map(tuple, got.collect())) == sorted((a, b, sum(x), len(x)) for a, b, x in want if x) != []
+    assert met == [6 * len({frozenset(x) for x in of.values()})]
+
+
 def test_scores(spark):
     e = spark.createDataFrame([(0, "a", 1000, 1), (1, "b", 2000, 1), (2, "c", 0, 0), (3, "d", 0, 0)], "file_id long, path string, eligible_bytes long, eligible_units long")
     o = spark.createDataFrame([(0, 1, 500, 1)], "a long, b long, shared_bytes long, shared_groups long")
