@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +105,21 @@ def test_the_best_pairs_are_picked_where_they_are_scored(spark):
     assert structural._scored(profiles, least=0.6).count() > 1000
 
 
+def test_each_two_blocks_are_a_task(spark):
+    scored = structural._scored(made_of(spark, 6, 400))
+    rows = [r["count"] for r in scored.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(rows) == 36 and sum(rows) == 400 * 399 // 2
+
+
+def test_sizes_match_by_integers_as_by_quotients():
+    values = [None, 0, 1, 4, 5, 6, 79, 80, 81, 99, 100, 101, 125, 126, (1 << 31) - 1, 1717986917, 1717986918]
+    for more, small in (([], True), ([-3], False), ([1 << 31, 5 << 29], False)):
+        sizes = structural._Sizes(pa.array(values + more, pa.int64()))
+        every = np.arange(len(values + more))
+        assert sizes.small == small
+        assert (sizes.match(every, every) == structural._matches(sizes.all[:, None], sizes.all)).all()
+
+
 def test_signature(spark):
     rows = [(0, 0, 100, 80, 7, 64, 64, 1, None, None), (0, 1, 50, 40, None, None, None, 1, None, None)]
     assert pr.structural_signature(pr.build_profiles(ifds(spark, rows))).first()["signature"] == "n=2 [0:100x80/c=7/tiled=64x64] [1:50x40/c=?/strip]"
