@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuskin.functions import labels
 from corpuskin.operators import archetype as at
-from corpuskin.operators import archive, corpus, structural
+from corpuskin.operators import archive, corpus, reports, structural
 from corpuskin.operators import profile as pr
 
 IFDS = "file_id long, ifd_index int, width int, height int, compression int, tile_width int, tile_height int, unit_count int, role string, description string"
@@ -120,6 +120,32 @@ def test_sizes_match_by_integers_as_by_quotients():
         assert (sizes.match(every, every) == structural._matches(sizes.all[:, None], sizes.all)).all()
 
 
+def test_json_of_all_pairs_is_that_of_the_scores(spark):
+    profiles = made_of(spark, 7, 60)
+    names = spark.createDataFrame([(f, None if f == 7 else "x" * (f % 4) + 'é"\\\n' * (f % 3)) for f in range(60) if f != 5], "file_id long, name string").cache()
+    want = reports.pair_json(structural.score_profiles(profiles), names)
+    got = reports.all_pairs_json(profiles, names)
+    assert got.columns == want.columns
+    rows = sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, got.collect())) == rows and len(rows) == 59 * 58 // 2
+
+
+def test_half_up_is_that_of_spark(spark):
+    rng = random.Random(9)
+    values = [k / n for n in (1, 3, 32, 160, 800, 4000, 20000, 200000, 2000000) for k in {0, n, *(rng.randint(0, n) for _ in range(200))}]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    for n in (4, 6):
+        want = [int(r[0] * 10**n) for r in df.select(F.round("x", n).cast(f"decimal(9,{n})")).collect()]
+        assert reports._half_up(np.array(values), n).tolist() == want
+
+
+def test_names_are_joined_before_pairs_are_made(spark):
+    from corpuskin.plans.queries import QUERIES
+
+    plan = QUERIES["pair_json"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and plan.index("MapInArrow") < plan.index("Join")
+
+
 def test_signature(spark):
     rows = [(0, 0, 100, 80, 7, 64, 64, 1, None, None), (0, 1, 50, 40, None, None, None, 1, None, None)]
     assert pr.structural_signature(pr.build_profiles(ifds(spark, rows))).first()["signature"] == "n=2 [0:100x80/c=7/tiled=64x64] [1:50x40/c=?/strip]"
