@@ -139,6 +139,11 @@ def _halves(rows: DataFrame, keys: list[str], low: int, bits: int, ball: bool) -
     return sides[0].unionByName(sides[1])
 
 
+def _meet(balls: DataFrame, exact: DataFrame, on: list[str]) -> DataFrame:
+    """Variants (fp as a) with the fingerprints (fp as b) that have them: never a broadcast, whatever the session's threshold, as Spark takes an exploded table for no larger than what it is made of."""
+    return balls.withColumnRenamed("fp", "a").join(exact.withColumnRenamed("fp", "b").hint("merge"), on)
+
+
 def links(prints: DataFrame, radius: int = 3, hot: int = HOT_KEY, within: tuple[str, ...] = ()) -> DataFrame:
     """(src, dst), src > dst: all pairs of distinct fingerprints (``fp`` long) that differ in ``radius`` (at most 3) bits or fewer.
 
@@ -168,7 +173,7 @@ def links(prints: DataFrame, radius: int = 3, hot: int = HOT_KEY, within: tuple[
         e0 = exact.join(crowd, on, "left_anti")
         b0 = balls.join(crowd, on, "left_anti")
     once = (F.col("half") == 0) | (_popcount(_part(F.col("a").bitwiseXOR(F.col("b")), 32, 32)) > 1)
-    met = b0.withColumnRenamed("fp", "a").join(e0.withColumnRenamed("fp", "b"), on)
+    met = _meet(b0, e0, on)
     out = met.where((F.col("a") > F.col("b")) & near(F.col("a"), F.col("b")) & once).select(*keys, "a", "b")
     if any_hot:
         for side, low in ((0, 0), (1, 32)):  # a key that fixes the upper half leaves the lower 32 bits open
@@ -193,7 +198,7 @@ def _hot(exact: DataFrame, balls: DataFrame, crowd: DataFrame, side: int, keys:
         more = materialize(e.groupBy(*on).count().where(F.col("count") > hot).select(*on), "hot-keys")
         e0, b0 = e.join(more, on, "left_anti"), b.join(more, on, "left_anti")
         deeper = [x for half, at in ((0, low), (1, low + 16)) for x in _hot(e, b, more, half, own, f"{name}2", at, 16, near, hot)]
-    met = b0.withColumnRenamed("fp", "a").join(e0.withColumnRenamed("fp", "b"), on)
+    met = _meet(b0, e0, on)
     return [materialize(met.where((F.col("a") > F.col("b")) & near(F.col("a"), F.col("b"))), "hot-pairs"), *deeper]
 
 

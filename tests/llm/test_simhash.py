@@ -6,6 +6,7 @@ import pytest
 import xxhash
 
 from corpuskin.llm import simhash
+from corpuskin.plans import shared
 from tests.llm import cases
 
 
@@ -90,6 +91,31 @@ def test_links_of_crowded_keys_in_small_plans(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 6
 
 
+@pytest.mark.parametrize("hot", [10**6, 5])
+def test_variants_are_not_broadcast_whatever_the_threshold(spark, monkeypatch, hot):
+    """Spark takes the 66 variants of a fingerprint for two rows: by its threshold it would build them all on the driver."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    plans = []
+    write = shared.materialize
+
+    def noted(df, label):
+        plans.append((label, df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(df, label)
+
+    monkeypatch.setattr(shared, "small_broadcasts", lambda _: None)
+    monkeypatch.setattr(simhash, "materialize", noted)
+    try:
+        spark.conf.set(name, "10m")
+        rows = [(x | y << 20,) for x in range(40) for y in range(3)]
+        found = simhash.links(spark.createDataFrame(rows, "fp long"), 3, hot)
+        plans.append(("links", found._jdf.queryExecution().optimizedPlan().toString()))
+        joins = [line for label, plan in plans if label in ("links", "hot-pairs") for line in plan.splitlines() if "Join Inner" in line]
+        assert joins and all("strategy=merge" in line for line in joins), joins
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_drop_keeps_one(spark):
     kept = simhash.drop_near_duplicates(cases.docs(spark))
     assert kept.columns == cases.docs(spark).columns
