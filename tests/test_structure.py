@@ -181,6 +181,31 @@ def test_copies_are_one_node_of_the_token_graph(spark, monkeypatch):
     assert met == [4]
 
 
+def test_sets_are_put_in_order_where_they_are(spark, monkeypatch):
+    """No token of a set is dealt to be told its number of files."""
+    plans = {}
+    write = at.materialize
+    monkeypatch.setattr(at, "materialize", lambda df, label: plans.update({label: df._jdf.queryExecution().optimizedPlan().toString()}) or write(df, label))
+    monkeypatch.setattr(at, "COMMON_TOKENS", 2, raising=False)
+    rows = [(0, (1,), ["aa", "bb", "cc"]), (1, (1,), ["aa", "bb", "dd"]), (2, (1,), ["aa", "ee"]), (3, (1,), ["aa", "bb", "ff"]), (4, (2,), ["aa", "bb"])]
+    got = at.token_links(spark.createDataFrame(rows, "file_id long, skeleton struct<k:int>, description_tokens array<string>")).collect()
+    assert {(r["a"], r["b"]) for r in got} == {(0, 1), (0, 3), (1, 3)}
+    assert "Join" not in plans["ordered"] and "Aggregate" not in plans["ordered"]
+
+
+def test_tokens_of_copies_are_counted_by_classes(spark, monkeypatch):
+    """Neither the tokens of each copy nor those of an archetype of one class are listed."""
+    held = []
+    write = at.materialize
+    monkeypatch.setattr(at, "materialize", lambda df, label: held.append((label, write(df, label))) or held[-1][1])
+    rows = sum([simple(i, 2, "aa|bb|cc") for i in range(9)] + [simple(9, 2, "aa|bb|dd")] + [simple(i, 3, "xx|yy") for i in (10, 11)], [])
+    found, members = at.derive_archetypes(pr.build_profiles(ifds(spark, rows)))
+    got = {r["archetype_id"]: (r["n_files"], r["first_file"], r["common_tokens"], r["variable_tokens"]) for r in found.collect()}
+    assert got == {0: (10, 0, ["aa", "bb"], ["cc", "dd"]), 1: (2, 10, ["xx", "yy"], [])}
+    assert {r["file_id"]: r["archetype_id"] for r in members.collect()} == {**dict.fromkeys(range(10), 0), 10: 1, 11: 1}
+    assert [df.columns for label, df in held if label == "classes"] == [["file_id", "skeleton", "description_tokens", "first_file", "n", "n_files", "classes"]]
+
+
 def test_variable_tokens(spark):
     rows = simple(0, 2, "aa|bb|cc") + simple(1, 2, "aa|bb|dd")
     found, _ = at.derive_archetypes(pr.build_profiles(ifds(spark, rows)))
