@@ -380,7 +380,7 @@ def near_copies(docs: DataFrame, key: str, text: str = "text", width: int = 5, t
     apart = sum((_popcount(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in bits), F.lit(0))
     once = F.array_intersect("bands", "_bands")[0] == F.col("band")  # a pair is made in the first band that it shares
     open_ = (F.col("node") > F.col("_node")) & (F.col("component") != F.col("_component"))
-    pairs = rest.join(other, "band").where(open_ & enough("", "_") & (apart <= most) & once)
+    pairs = rest.join(other.hint("merge"), "band").where(open_ & enough("", "_") & (apart <= most) & once)
     pairs = pairs.select(F.col("node").alias("src"), F.col("_node").alias("dst")).join(first, ["src", "dst"], "left_anti")
     graph = connected_components(edges.unionByName(verified(materialize(pairs, "pairs"), "links")))
 

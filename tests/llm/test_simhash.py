@@ -116,6 +116,16 @@ def test_variants_are_not_broadcast_whatever_the_threshold(spark, monkeypatch, h
         spark.conf.set(name, before)
 
 
+def test_open_pairs_of_bands_are_not_broadcast(spark, monkeypatch):
+    """A node's bands stand in each of its rows: files of such rows are far smaller than what the driver would build of them."""
+    plans = []
+    write = simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, label: plans.append((label, df._jdf.queryExecution().optimizedPlan().toString())) or write(df, label))
+    simhash.near_copies(spark.createDataFrame([(i, f"a b c d e f g h {i % 3}") for i in range(6)], "doc_id long, text string"), "doc_id")
+    last = [plan for label, plan in plans if label == "pairs"][-1]
+    assert "strategy=merge" in last
+
+
 def test_drop_keeps_one(spark):
     kept = simhash.drop_near_duplicates(cases.docs(spark))
     assert kept.columns == cases.docs(spark).columns
