@@ -206,6 +206,14 @@ def test_tokens_of_copies_are_counted_by_classes(spark, monkeypatch):
     assert [df.columns for label, df in held if label == "classes"] == [["file_id", "skeleton", "description_tokens", "first_file", "n", "n_files", "classes"]]
 
 
+def test_lines_of_archetypes_deal_no_sets(spark):
+    """Equal common tokens meet on 128 bits, not on the sets themselves."""
+    rows = simple(0, 2, "aa|bb") + simple(1, 3, "aa|bb")
+    lines = reports.archetype_lines(at.derive_archetypes(pr.build_profiles(ifds(spark, rows)))[0])
+    assert "hashpartitioning(common_tokens" not in lines._jdf.queryExecution().executedPlan().toString()
+    assert [r["line"] for r in lines.where("part = 2").orderBy("archetype_id").collect()] == ["    tokens (2 common): [same as B]", "    tokens (2 common): [same as A]"]
+
+
 def test_variable_tokens(spark):
     rows = simple(0, 2, "aa|bb|cc") + simple(1, 2, "aa|bb|dd")
     found, _ = at.derive_archetypes(pr.build_profiles(ifds(spark, rows)))
