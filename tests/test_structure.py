@@ -146,6 +146,18 @@ def test_names_are_joined_before_pairs_are_made(spark):
     assert "Join" in plan and plan.index("MapInArrow") < plan.index("Join")
 
 
+def test_json_of_all_pairs_deals_tokens_as_small_numbers(spark, monkeypatch):
+    """A file goes to a task for each block: its common tokens go as their places, not as hashes that don't compress."""
+    taken = []
+    rows_of = structural.scored_rows
+    monkeypatch.setattr(structural, "scored_rows", lambda p, *a, **b: taken.append(p) or rows_of(p, *a, **b))
+    rows = simple(0, 2, "aa|bb|cc") + simple(1, 2, "aa|bb|dd") + simple(2, 3, None)
+    names = spark.createDataFrame([(i, f"f{i}") for i in range(3)], "file_id long, name string")
+    assert reports.all_pairs_json(pr.build_profiles(ifds(spark, rows)), names).count() == 3
+    got = {r["file_id"]: r["t"] for r in taken[0].select("file_id", "t").collect()}
+    assert [sum(0 <= t < 2 for t in got[i]) for i in range(3)] == [2, 2, 0] and [len(got[i]) for i in range(3)] == [3, 3, 0]
+
+
 def test_signature(spark):
     rows = [(0, 0, 100, 80, 7, 64, 64, 1, None, None), (0, 1, 50, 40, None, None, None, 1, None, None)]
     assert pr.structural_signature(pr.build_profiles(ifds(spark, rows))).first()["signature"] == "n=2 [0:100x80/c=7/tiled=64x64] [1:50x40/c=?/strip]"
